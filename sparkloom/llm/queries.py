@@ -12,8 +12,11 @@ from .common import shared_dir, table
 from .decontaminate import matches
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
+from .nearest import nearest
 from .packing import packed
+from .preference import preference_pairs, swapped_answers
 from .quality import quality_scores
+from .secret_scan import BASE, joined, secret_spans
 from .token_counts import token_counts
 
 
@@ -25,6 +28,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_pairs(swapped_answers(table(spark, sf_dir, "conversations")))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,11 +49,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind, *_ in BASE]
+    base = F.filter("spans", lambda x: x["nth"] < len(BASE))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_line_dedup, op4_quality, op6_decontamination, op7_token_counts, op10_packing)
+    for f in (op1_minhash, op2_line_dedup, op3_preference, op4_quality, op6_decontamination, op7_token_counts, op8_secrets, op9_nearest, op10_packing)
 }
