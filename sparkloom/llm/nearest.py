@@ -139,7 +139,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     index = hashed.select("vec_id", "vector", F.posexplode("codes").alias("tree", "code")).repartitionByRange(many, "tree", "code", "vec_id").withColumn("part", F.spark_partition_id())
     index = tables.keep(index.withColumn("segment", F.col("part") * trees + F.col("tree")).drop("part"), "index")
     # a row for each segment, so bounded by the number of partitions and trees
-    segments = F.broadcast(index.groupBy("segment", "tree").agg(F.min("code").alias("first"), F.max("code").alias("last")))
+    segments = F.broadcast(index.groupBy("segment", "tree").agg(F.min("code").alias("first"), F.max("code").alias("last")).toDF("at", "of", "first", "last"))
 
     asked = hashed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vector", "codes")).alias("q"))
     asked = tables.keep(asked.select(F.col("vec_id").alias("query_id"), "q.vector", "q.codes"), "queries")
@@ -151,16 +151,16 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
         indexed = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
 
     def search(queries: DataFrame, meets, descend: bool) -> DataFrame:
-        to = queries.join(segments, meets).select("segment", block, "query_id", "vector", queries["code"], "low", "high")
+        to = queries.join(segments, meets).select(F.col("at").alias("segment"), block, "query_id", "vector", "code", "low", "high")
         return (
             indexed.select("segment", "block", "code", "vec_id", "vector").groupBy("segment", "block").cogroup(to.groupBy("segment", "block"))
             .applyInArrow(_search(k, descend), "query_id long, vec_id long, score double")
         )
 
-    same = lambda q: q["tree"] == segments["tree"]
+    same = F.col("tree") == F.col("of")
     down = asked.select("query_id", "vector", F.posexplode("codes").alias("tree", "code")).withColumn("low", F.col("code")).withColumn("high", F.col("code"))
     # where the string itself belongs; where it falls between two segments, the ascent finds it
-    first = tables.keep(_nearest(search(down, same(down) & (F.col("code") >= F.col("first")) & (F.col("code") <= F.col("last")), True), k), "descended")
+    first = tables.keep(_nearest(search(down, same & (F.col("code") >= F.col("first")) & (F.col("code") <= F.col("last")), True), k), "descended")
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
     depth = F.lit(0)
     for d in range(1, BITS + 1):  # the greatest depth at which a vector as near as the k-th best is seldom missed
@@ -168,6 +168,6 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     up = asked.join(kth, "query_id", "left").withColumn("free", F.lit(BITS) - depth)
     mask = F.expr("shiftleft(1L, free) - 1")
     up = up.select("query_id", "vector", "free", F.posexplode("codes").alias("tree", "code")).withColumn("low", F.col("code").bitwiseAND(F.bitwise_not(mask))).withColumn("high", F.col("code").bitwiseOR(mask))
-    second = search(up, same(up) & (F.col("low") <= F.col("last")) & (F.col("high") >= F.col("first")), False)
+    second = search(up, same & (F.col("low") <= F.col("last")) & (F.col("high") >= F.col("first")), False)
     found = _nearest(second.unionByName(first.select("query_id", "vec_id", "score")), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

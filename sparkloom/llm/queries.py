@@ -18,6 +18,7 @@ from .preference import preference_pairs, swapped_answers
 from .quality import quality_scores
 from .secret_scan import BASE, joined, secret_spans
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels marks one kind of toxicity; the chain predicts low quality first and feeds it to the model of toxic."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity(spark, table(spark, sf_dir, "documents"), labels, ("low_quality", "toxic"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -67,5 +74,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_line_dedup, op3_preference, op4_quality, op6_decontamination, op7_token_counts, op8_secrets, op9_nearest, op10_packing)
+    for f in (op1_minhash, op2_line_dedup, op3_preference, op4_quality, op5_toxicity, op6_decontamination, op7_token_counts, op8_secrets, op9_nearest, op10_packing)
 }
