@@ -77,6 +77,36 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, k, num):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_links_between_copies_far_from_their_leader(spark, monkeypatch):
+    """One large group: light copies of a base, heavy ones linked with nothing, and heavy ones with copies of their own."""
+    from sparkloom.llm import minhash
+
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    rng = np.random.default_rng(11)
+    fresh = itertools.count()
+    base = [f"b{i}" for i in range(150)]
+
+    def edited(words, n):
+        words = words[:]
+        for at in rng.integers(0, len(words), n):
+            if rng.random() < 0.3 and len(words) > 60:
+                del words[at % len(words)]
+            else:
+                words[at % len(words)] = f"f{next(fresh)}" if rng.random() < 0.7 else f"c{rng.integers(0, 4)}"
+        return words
+
+    texts = [edited(base, int(n)) for n in rng.integers(0, 13, 120)]
+    for _ in range(8):
+        far = edited(base, int(rng.integers(8, 16)))
+        texts += [far, *(edited(far, int(n)) for n in rng.integers(1, 5, 3))]
+    rows = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts)]
+    for num in (80, 85):
+        got = minhash.near_duplicates(spark, documents(spark, rows), 3, num, 100).collect()
+        want = brute_components(rows, 3, num, 100)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert 3 < len({w[2] for w in want}) < len(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     from sparkloom.llm.minhash import near_duplicates
 
