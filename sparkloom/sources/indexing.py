@@ -15,10 +15,14 @@ def document_id(stem: Column, path: Column) -> Column:
     return F.concat(stem, F.lit("-"), F.substring(F.sha2(F.lower(path), 256), 1, 12))
 
 
-@F.pandas_udf("string")
-def point_id(names: pd.Series) -> pd.Series:
+def point_id(chunk_id: Column) -> Column:
     """A version-5 UUID of a chunk's id."""
-    return names.map(lambda n: None if n is None else str(uuid.uuid5(NAMESPACE, n)))
+
+    @F.pandas_udf("string")
+    def named(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: None if n is None else str(uuid.uuid5(NAMESPACE, n)))
+
+    return named(chunk_id)
 
 
 def fingerprint(rows: DataFrame, id_col: str, text_col: str, buckets: int = 1024) -> DataFrame:
