@@ -146,7 +146,7 @@ def theme_aliases(stems: DataFrame, stem: str, word: str) -> DataFrame:
 
 def mentions(text: Column, aliases: Column) -> Column:
     """Whether one of the aliases stands in the text as whole words, in either case."""
-    return F.exists(aliases, lambda a: text.rlike(F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(F.regexp_replace(a, r"([^\w\s])", r"\\$1"), r"\s+", r"\\s+"), F.lit(r"(?!\w)"))))
+    return F.exists(aliases, lambda a: F.rlike(text, F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(F.regexp_replace(a, r"([^\w\s])", r"\\$1"), r"\s+", r"\\s+"), F.lit(r"(?!\w)"))))
 
 
 def matched_first(found: DataFrame, matched: Column) -> DataFrame:
