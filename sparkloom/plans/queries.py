@@ -178,7 +178,9 @@ def client_stats(spark: S, d: D) -> DataFrame:
 
 
 def worked_clients(spark: S, d: D) -> DataFrame:
-    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("n"), F.max(F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate"))).alias("last_open"), F.round(F.avg("o_totalprice"), 2).alias("mean_price"))
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("n"), F.max(F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate"))).alias("last_open"), F.sum(F.round(100 * F.col("o_totalprice")).cast("long")).alias("cents"))
+    mean = F.expr("(2 * cents + n) div (2 * n)") / 100.0  # halves go up, whatever the order of the sum
+    orders = orders.select("custkey", "n", "last_open", mean.alias("mean_price"))
     return orders.orderBy(F.desc_nulls_last("last_open"), "custkey")
 
 
@@ -230,7 +232,7 @@ def latest_per_key(spark: S, d: D) -> DataFrame:
 
 
 def recent_window(spark: S, d: D) -> DataFrame:
-    return rel.last_turns(table(spark, d, "conversations"), 3).select("conv_id", "turn", "role", F.length("text").alias("chars"))
+    return rel.last_turns(table(spark, d, "conversations"), 3).select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
 
 
 def summarise_set(spark: S, d: D) -> DataFrame:
@@ -308,7 +310,7 @@ def guarded_decrement(spark: S, d: D) -> DataFrame:
 
 
 def index_sync(spark: S, d: D) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("point_id"), F.col("source").alias("source_path"), F.length("text").alias("chars"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("point_id"), F.col("source").alias("source_path"), F.length("text").cast("long").alias("chars"))
     old, new = rows.where("point_id % 3 <> 0"), rows.where("source_path in ('src0', 'src1') and point_id % 2 = 0").withColumn("chars", -F.col("chars"))
     return synced(old, new, "point_id", "source_path")
 

@@ -14,14 +14,14 @@ def _dense(n: int, k: int, name: str, own: bool = True, where: str = "true", q:
 
 def _cases(n: int) -> str:
     return _dense(n, 5, f"d{n}") + f""", j{n} AS (SELECT d.query_id, o.label, d.rank, f.label = o.label AS relevant FROM d{n} d JOIN embeddings f ON f.vec_id = d.id JOIN embeddings o ON o.vec_id = d.query_id),
-    p{n} AS (SELECT query_id, label, min(CASE WHEN relevant THEN rank END) AS first_rank, sum(CASE WHEN relevant THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, count_if(relevant) AS found FROM j{n} GROUP BY ALL),
+    p{n} AS (SELECT query_id, label, min(CASE WHEN relevant THEN rank END) AS first_rank, sum(CASE WHEN relevant THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, count(*) FILTER (relevant) AS found FROM j{n} GROUP BY ALL),
     c{n} AS (SELECT query_id, label, first_rank, CASE WHEN found > 0 THEN dcg / list_sum(list_transform(range(1, (found + 1)::BIGINT), lambda r: 1 / log2(r + 1))) ELSE 0 END AS ndcg FROM p{n})"""
 
 
 def _summary(source: str, by: str) -> str:
     hit = lambda k: f"round(avg(CASE WHEN first_rank <= {k} THEN 1.0 ELSE 0.0 END), 6)"
     return f"""SELECT {by}, count(*) AS cases, {hit(1)} AS recall_1, {hit(3)} AS recall_3, {hit(5)} AS recall_5, round(avg(CASE WHEN first_rank <= 5 THEN 1 / first_rank ELSE 0 END), 6) AS mrr_5,
-        round(avg(ndcg), 6) AS ndcg_5, count_if(first_rank IS NULL OR first_rank > 5) AS failures FROM {source} GROUP BY {by}"""
+        round(avg(ndcg), 6) AS ndcg_5, count(*) FILTER (first_rank IS NULL OR first_rank > 5) AS failures FROM {source} GROUP BY {by}"""
 
 
 _TERMS = r"""tok AS (SELECT kind, id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS t FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark)),
@@ -97,14 +97,14 @@ ORACLES = {
     "chunk_fixed": _FIXED,
     "chunk_sentence": _chunk("range(0, greatest(len(u) - 2, 0) + 1, 3)", "array_to_string(u[s + 1 : s + 4], chr(10))", _UNITS),
     "chunk_stats": f"""WITH c AS ({_FIXED}) SELECT count(*) AS chunks, count(DISTINCT document_id) AS documents, min(character_count) AS least, quantile_cont(character_count, 0.5) AS median, round(avg(character_count), 4) AS mean, quantile_cont(character_count, 0.9) AS p90, max(character_count) AS most,
-        count_if(character_count < 100) AS short_chunks, round(100 * avg((character_count < 100)::INTEGER), 4) AS short_percent FROM c""",
+        count(*) FILTER (character_count < 100) AS short_chunks, round(100 * avg((character_count < 100)::INTEGER), 4) AS short_percent FROM c""",
     "boilerplate_lines": """WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT source, count(DISTINCT doc_id) AS every FROM l GROUP BY 1)
         SELECT source, line, count(DISTINCT doc_id) AS pages FROM l JOIN n USING (source) WHERE length(line) BETWEEN 4 AND 120 GROUP BY source, line, every HAVING count(DISTINCT doc_id) >= greatest(2, round_even(every * 0.02, 0))""",
     "doc_profile": """SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, round(stddev_samp(n_chars), 4) AS std, min(n_chars) AS least, quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.5) AS median, quantile_cont(n_chars, 0.75) AS q3,
-        max(n_chars) AS most, sum(n_chars)::BIGINT AS total, count_if(n_chars < 200) AS short, count(DISTINCT source) AS sources FROM documents GROUP BY lang""",
+        max(n_chars) AS most, sum(n_chars)::BIGINT AS total, count(*) FILTER (n_chars < 200) AS short, count(DISTINCT source) AS sources FROM documents GROUP BY lang""",
     "query_language": r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{0600}-\x{06FF}]') THEN 'ar' WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:le|la|les|des|une|est|pour|dans|quel|quelle|comment|avec|sur)(?:$|[^\p{L}\p{N}_])|[àâçéèêëîïôûùüÿœ]') THEN 'fr' ELSE 'en' END AS language FROM documents""",
     "client_stats": "SELECT c_custkey, c_name, nullif(count(o_orderkey), 0) AS n_orders, max(o_orderdate) AS last_order, min(o_orderdate) AS first_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY ALL",
-    "worked_clients": "SELECT o_custkey AS custkey, count(*) AS n, max(o_orderdate) FILTER (o_orderstatus = 'P') AS last_open, round(avg(o_totalprice), 2) AS mean_price FROM orders GROUP BY 1",
+    "worked_clients": "SELECT o_custkey AS custkey, count(*) AS n, max(o_orderdate) FILTER (o_orderstatus = 'P') AS last_open, ((2 * sum(round(100 * o_totalprice)::BIGINT) + count(*)) // (2 * count(*)))::DOUBLE / 100 AS mean_price FROM orders GROUP BY 1",
     "enrolment_count": "SELECT p_partkey, count(l_orderkey) AS enrolled FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity >= 45 GROUP BY 1",
     "stock_concat": "SELECT l_suppkey, string_agg(l_returnflag || ':' || n, ', ' ORDER BY CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END, l_returnflag) AS stock FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1",
     "star_left": """SELECT r_name, count(*) AS lines, count(o_orderkey) AS finished, round(sum(l_extendedprice), 2) AS price FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F'
@@ -116,7 +116,7 @@ ORACLES = {
     "latest_per_key": "SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
     "recent_window": "SELECT conv_id, turn, role, length(text) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS n FROM conversations) WHERE n <= 3",
     "summarise_set": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS n, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations) WHERE n > 3 AND c > 4 AND role IN ('user', 'assistant')",
-    "kpi_row": """SELECT count(*) AS total, count_if(o_orderstatus = 'P') AS pending, count_if(o_orderstatus = 'F') AS finished, count_if(o_orderstatus = 'O') AS open, greatest(count(*) - count_if(o_orderstatus = 'F') - count_if(o_orderstatus = 'P'), 0) AS rest,
+    "kpi_row": """SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'P') AS pending, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_orderstatus = 'O') AS open, greatest(count(*) - count(*) FILTER (o_orderstatus = 'F') - count(*) FILTER (o_orderstatus = 'P'), 0) AS rest,
         round(sum(greatest(60 - coalesce(q, 0), 0)), 2) AS shortage FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
     "candidate_fill": """WITH a AS (SELECT p_partkey, p_size, CASE WHEN p_partkey = 7 THEN 0 WHEN p_size >= 48 THEN 1 ELSE 2 END AS step, CASE WHEN p_partkey = 7 THEN 0 WHEN p_size >= 48 THEN p_size ELSE -p_size END AS o FROM part)
         SELECT p_partkey, p_size, position FROM (SELECT p_partkey, p_size, (row_number() OVER (ORDER BY step, o, p_partkey))::INTEGER AS position FROM a) WHERE position <= 8""",
@@ -125,7 +125,7 @@ ORACLES = {
         concat_ws(',', CASE WHEN NOT fits THEN 'capacity' END, CASE WHEN NOT access THEN 'accessibility' END, CASE WHEN NOT park THEN 'parking' END, CASE WHEN NOT typed THEN 'type' END, CASE WHEN place = 0 THEN 'setting' END) AS risks FROM m""",
     "final_score": """WITH m AS (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size * 2.0::DOUBLE END AS s, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 101)::DOUBLE END AS w, CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 7 * 10)::DOUBLE END AS r FROM part)
         SELECT p_partkey, round_even(round((coalesce(s * 0.70::DOUBLE, 0) + coalesce(w * 0.15::DOUBLE, 0) + coalesce(r * 0.15::DOUBLE, 0)) / nullif((s IS NOT NULL)::INT * 0.70::DOUBLE + (w IS NOT NULL)::INT * 0.15::DOUBLE + (r IS NOT NULL)::INT * 0.15::DOUBLE, 0), 9), 0)::INTEGER AS final FROM m""",
-    "readiness_score": """WITH l AS (SELECT l_orderkey, count(*) AS n, count_if(l_returnflag = 'R') AS r, count_if(l_returnflag = 'A') AS a, sum(l_quantity)::BIGINT AS q, count_if(l_discount > 0.05) AS x FROM lineitem GROUP BY 1),
+    "readiness_score": """WITH l AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS a, sum(l_quantity)::BIGINT AS q, count(*) FILTER (l_discount > 0.05) AS x FROM lineitem GROUP BY 1),
         p AS (SELECT l_orderkey, [('weather', least(r * 8, 24)), ('staffing', least(a * 10, 30)), ('leader', CASE WHEN n = 1 THEN 10 ELSE 0 END), ('inactive', least(x * 10, 20)), ('capacity', CASE WHEN q > n * 25 THEN 25 ELSE 0 END), ('transport', CASE WHEN q % 3 = 0 THEN 15 ELSE 0 END),
               ('seats', CASE WHEN q % 5 = 0 THEN 15 ELSE 0 END), ('clothing', CASE WHEN q % 7 = 0 THEN 15 ELSE 0 END)] AS d FROM l),
         s AS (SELECT l_orderkey, greatest(0, 100 - list_sum(list_transform(d, lambda y: y[2]))) AS score, array_to_string(list_transform(list_filter(d, lambda y: y[2] > 0), lambda y: y[1] || ':' || y[2]), ',') AS deductions FROM p)
@@ -134,7 +134,7 @@ ORACLES = {
         SELECT event_id, CASE WHEN NOT failed THEN greatest(0, 100 - rain::INT * CASE s WHEN 0 THEN 40 WHEN 1 THEN 20 ELSE 5 END - wind::INT * CASE WHEN s < 2 THEN 25 ELSE 5 END - hot::INT * CASE WHEN s < 2 THEN 20 ELSE 5 END)::INTEGER END AS score,
         CASE WHEN failed THEN 'unavailable' ELSE concat_ws(',', CASE WHEN rain THEN 'rain' END, CASE WHEN wind THEN 'wind' END, CASE WHEN hot THEN 'heat' END, CASE WHEN cold THEN 'cold' END) END AS risks FROM e""",
     "route_band": """SELECT CASE WHEN m IS NULL THEN 0 WHEN m <= 5 THEN 100 WHEN m <= 15 THEN 80 WHEN m <= 30 THEN 60 WHEN m <= 50 THEN 40 ELSE 20 END AS band, count(*) AS n FROM (SELECT CASE WHEN event_type <> 'error' THEN event_id % 70 END AS m FROM events) GROUP BY 1""",
-    "transport_summary": "SELECT l_orderkey, needed, worst, worst > 0 AND needed <= floor(worst * 0.6::DOUBLE + 0.5) AS downgrade FROM (SELECT l_orderkey, count_if(l_returnflag = 'R') AS needed, count(*) AS worst FROM lineitem GROUP BY 1)",
+    "transport_summary": "SELECT l_orderkey, needed, worst, worst > 0 AND needed <= floor(worst * 0.6::DOUBLE + 0.5) AS downgrade FROM (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS needed, count(*) AS worst FROM lineitem GROUP BY 1)",
     "guard_scan": f"""SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) > 1000 THEN 'too_long' WHEN {_any('lower(text)', INPUT_PATTERNS)} THEN 'injection' END AS input_reason,
         CASE WHEN trim(text) = '' THEN 'empty' WHEN {_any('lower(text)', OUTPUT_PATTERNS)} THEN 'sensitive' END AS output_reason FROM documents""",
     "set_diff_arrays": """WITH h AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS have FROM events GROUP BY 1), need AS (SELECT ['signup', 'purchase', 'click', 'refund'] AS need)
@@ -146,7 +146,7 @@ ORACLES = {
     "json_props": "SELECT event_type, count(*) AS n, count(k) AS with_k, min(k) AS least, max(k) AS most, sum(k)::BIGINT AS total FROM (SELECT event_type, json_extract(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1",
     "classifier_eval": """WITH r AS (SELECT l.quality AS label, CASE WHEN length(regexp_replace(d.text, '[^A-Z!|$%&*#]', '', 'g')) / greatest(length(d.text), 1) > 0.2 THEN 0 ELSE 1 END AS predicted FROM documents d JOIN labels l USING (doc_id)),
         k AS (SELECT DISTINCT c FROM (SELECT label AS c FROM r UNION ALL SELECT predicted FROM r))
-        SELECT (SELECT count(*) FROM r) AS n, (SELECT round(avg((label = predicted)::INTEGER), 6) FROM r) AS accuracy, round(avg((SELECT 2 * count_if(label = c AND predicted = c) / (count_if(label = c) + count_if(predicted = c)) FROM r)), 6) AS macro_f1 FROM k""",
+        SELECT (SELECT count(*) FROM r) AS n, (SELECT round(avg((label = predicted)::INTEGER), 6) FROM r) AS accuracy, round(avg((SELECT 2 * count(*) FILTER (label = c AND predicted = c) / (count(*) FILTER (label = c) + count(*) FILTER (predicted = c)) FROM r)), 6) AS macro_f1 FROM k""",
     "title_case": """SELECT p_partkey, array_to_string(list_transform(list_filter(regexp_split_to_array(p_name || '_' || p_type, '[\\s_]+'), lambda x: x <> ''), lambda x: upper(x[1]) || x[2:]), ' ') AS title,
         CASE WHEN lower(trim(p_brand)) IN ('accepted', 'approved') THEN 'accepted' WHEN lower(trim(p_brand)) IN ('rejected', 'declined') THEN 'rejected' ELSE 'pending' END AS status FROM part""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
