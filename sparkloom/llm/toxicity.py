@@ -19,16 +19,20 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 from .features import STRUCTURE, Scaled, adam, sigmoid, structure
 
-SAMPLE = 12_000  # labelled rows that the chain is fitted on, at most
+SAMPLE = 8_000  # labelled rows that the chain is fitted on, at most
 FOLDS = 5
 TERMS = 3_000  # word features of a model, at most
 SEEN = 4  # labelled rows that a word feature must occur in
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _hash(term: str) -> int:
+    return zlib.crc32(term.encode()) - (1 << 31)
+
+
 def terms(word: str) -> tuple[int, ...]:
     cut = (word[:5], word[:4]) if len(word) > 5 else (word[:4],) if len(word) > 4 else ()
-    return (zlib.crc32(word.encode()), *(zlib.crc32(f"{len(c)}^{c}".encode()) for c in cut))
+    return (_hash(word), *(_hash(f"{len(c)}^{c}") for c in cut))
 
 
 def words(text: str) -> set[str]:
@@ -50,7 +54,7 @@ def _described(batches):
                 own += t
             ids.append(own)  # a term once for each distinct word that has it
             x.append(structure(text.encode()))
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(ids, pa.list_(pa.int64())), pa.array(x, pa.list_(pa.float32()))], ["y", "terms", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], ["y", "terms", "x"])
 
 
 class Linear:
@@ -165,11 +169,11 @@ def fitted(documents: DataFrame, labels: DataFrame, categories: Sequence[str], s
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array(*(F.max(c).cast("double") for c in categories)).alias("y"))
     # the labelled rows are chosen by a hash of their ids before any text moves
     picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = docs.join(picked, "doc_id").mapInArrow(_described, "y array<double>, terms array<long>, x array<float>").toArrow().combine_chunks()
+    got = docs.join(picked, "doc_id").mapInArrow(_described, "y array<double>, terms array<int>, x array<float>").toArrow().combine_chunks()
     n = got.num_rows
     lists = [got["terms"].combine_chunks(), got["x"].combine_chunks(), got["y"].combine_chunks()] if n else []
-    rows = np.repeat(np.arange(n), np.diff(lists[0].offsets.to_numpy())) if n else np.zeros(0, np.int64)
-    hashes = lists[0].flatten().to_numpy() if n else np.zeros(0, np.int64)
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists[0].offsets.to_numpy())) if n else np.zeros(0, np.int32)
+    hashes = lists[0].flatten().to_numpy() if n else np.zeros(0, np.int32)
     x = lists[1].flatten().to_numpy().astype(np.float64).reshape(-1, STRUCTURE) if n else np.zeros((0, STRUCTURE))
     y = lists[2].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(categories)) if n else np.zeros((0, len(categories)))
     order = np.lexsort(x.T) if n else np.zeros(0, np.int64)  # folds must not follow the order of arrival
