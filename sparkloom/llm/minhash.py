@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, text_or_empty
@@ -164,23 +164,81 @@ def _pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, num: int, den: int, miss: float, tables: Tables, name: str) -> DataFrame:
-    """The pairs (a, b) that are links; kept as a table."""
-    side = lambda t, i, c: t.select(F.col("id").alias(i), F.col(c).alias(f"{c}_{i}"))
-    kept = tables.keep(
-        pairs.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_bayes(num / den, miss), "a long, b long").distinct(),
-        f"{name}-survivors",
+def _side(t: DataFrame, i: str, c: str) -> DataFrame:
+    return t.select(F.col("id").alias(i), F.col(c).alias(f"{c}_{i}"))
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    return docs.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, shingles binary").distinct()
+
+
+def _survivors(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """The pairs (a, b) whose signatures don't rule a link out."""
+    met = pairs.join(_side(sigs, "a", "sig"), "a").join(_side(sigs, "b", "sig"), "b").select("a", "b", "sig_a", "sig_b")
+    return met.mapInArrow(_bayes(threshold, miss), "a long, b long").distinct()
+
+
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that are links by their full sets."""
+    met = pairs.join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
+    return met.mapInArrow(_exact(num, den), "a long, b long").distinct()
+
+
+def _differences(batches):
+    """(leader, id, ..., set_leader, set) -> the columns between, the set's size, the leader's, and what is in one of them only."""
+    for batch in batches:
+        own, other, parts = [], [], []
+        for x, y in zip(batch.column("shingles_leader").to_pylist(), batch.column("shingles_id").to_pylist(), strict=True):
+            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            own.append(len(t)), other.append(len(s)), parts.append(np.setxor1d(s, t, assume_unique=True).view(np.int64))
+        kept = [n for n in batch.schema.names if not n.startswith("shingles_")]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in kept), pa.array(own, pa.int64()), pa.array(other, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], [*kept, "size", "lead", "apart"]
+        )
+
+
+def _left_over(groups: DataFrame, found: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
+    """Pairs (a, b) of groups (leader, id) that could be links between two components; exact, and linear in a group.
+
+    Write D(u) for what only one of u and the leader holds. Then |u xor v| = |D(u) xor D(v)|, and u and v are linked
+    if it is at most T = (den - num) * (|u| + |v|) / (den + num). So D(u) and D(v) share (|D(u)| + |D(v)| - T) / 2
+    at least, and the first they share, in any order, is among the first (|D(u)| - |D(v)| + T) / 2 + 1 of D(u) and
+    (|D(v)| - |D(u)| + T) / 2 + 1 of D(v). Ordered from rare to common, those are mostly what each alone has, however
+    much the group has in common. Who isn't linked with the leader is looked up (v); a linked one only looks (u), as
+    does the one with the smaller D of two who aren't.
+    """
+    label = found.withColumnRenamed("component", "c")
+    marked = (
+        groups.join(label.withColumnRenamed("c", "own"), "id", "left").join(label.withColumnsRenamed({"id": "leader", "c": "main"}), "leader", "left")
+        .select("leader", "id", F.coalesce("own", "id").alias("own"), F.coalesce("main", "leader").alias("main"))
+    )
+    split = marked.where("own <> main").select("leader").distinct()
+    near = links.select(F.col("a").alias("leader"), F.col("b").alias("id")).unionByName(links.select(F.col("b").alias("leader"), F.col("a").alias("id"))).withColumn("near", F.lit(True))
+    members = tables.keep(
+        marked.where(F.col("id") != F.col("leader")).join(split, "leader", "left_semi").join(near, ["leader", "id"], "left").select("leader", "id", "own", F.col("near").isNull().alias("far")), "members"
     )
-    ids = kept.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = tables.keep(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, shingles binary").distinct(), f"{name}-sets")
-    links = tables.keep(
-        kept.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
-        .mapInArrow(_exact(num, den), "a long, b long").distinct(),
-        f"{name}-links",
+    apart = tables.keep(
+        members.join(_side(sets, "leader", "shingles"), "leader").join(_side(sets, "id", "shingles"), "id")
+        .select("leader", "id", "own", "far", "shingles_leader", "shingles_id").mapInArrow(_differences, "leader long, id long, own long, far boolean, size long, lead long, apart array<long>"),
+        "apart",
     )
-    tables.drop(f"{name}-survivors", f"{name}-sets")
-    return links
+    items = apart.select("leader", "id", "own", "far", "size", F.size("apart").alias("y"), "lead", F.explode("apart").alias("item"))
+    common = items.groupBy("leader", "item").agg(F.count("*").alias("n"))
+    spread = den - num, den + num
+    least = F.floor(spread[0] * (F.col("size") * num / den + F.col("lead")) / spread[1])
+    most = F.floor(spread[0] * (F.col("size") + F.col("size") * den / num) / spread[1])
+    first = F.floor((F.col("y") - F.when(F.col("far"), F.greatest("y", least)).otherwise(least) + most) / 2) + 2
+    place = F.row_number().over(Window.partitionBy("leader", "id").orderBy("n", "item"))
+    placed = tables.keep(items.join(common, ["leader", "item"]).withColumn("place", place).where((F.col("n") > 1) & (F.col("far") | (F.col("place") <= first))), "placed")
+    looking = placed.where(F.col("place") <= first)
+    sought = placed.where("far").select("leader", "item", F.col("id").alias("v"), F.col("own").alias("v_own"), F.col("size").alias("v_size"), F.col("y").alias("x"), F.col("place").alias("v_place"))
+    within = F.floor(spread[0] * (F.col("size") + F.col("v_size")) / spread[1])
+    pairs = looking.join(
+        sought.withColumnsRenamed({"leader": "v_leader", "item": "v_item"}),
+        (F.col("leader") == F.col("v_leader")) & (F.col("item") == F.col("v_item")) & (F.col("own") != F.col("v_own"))
+        & (~F.col("far") | (F.struct("x", "v") > F.struct("y", "id"))) & (F.col("place") <= F.floor((F.col("y") - F.col("x") + within) / 2) + 1) & (F.col("v_place") <= F.floor((F.col("x") - F.col("y") + within) / 2) + 1),
+    )
+    return pairs.select(*_pair(F.col("id"), F.col("v"))).distinct()
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, num: int = 80, den: int = 100, miss: float = MISS, rows: int = ROWS) -> DataFrame:
@@ -193,10 +251,10 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, num:
     set. Other columns are not read. An empty table gives an empty result.
 
     Rows with the same set are one class from the start, represented by their smallest doc_id. Buckets of two
-    are a pair; up to SMALL members are compared whole; in larger ones all members are compared with three
-    leaders, the links found are closed to components, and whoever is then outside the bucket's largest
-    component is compared with every member of the other components. So no link that could join two
-    components is left uncompared, and no group is ever gathered.
+    are a pair; up to SMALL members are compared whole; in larger ones all members are compared with a leader,
+    the one that meets most others. Links found so far are closed to components, and in groups that are still
+    split, _left_over() finds every pair that could join two components. So no link that matters is left
+    uncompared, no group is gathered, and no group's pairs are made.
     """
     tables = Tables(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -219,30 +277,21 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, num:
     )
     large = many.where(F.col("n") > SMALL)
     spread = large.groupBy("id").agg(F.sum("n").alias("spread"))
-    leaders = (
-        large.join(spread, "id").groupBy("band")
-        .agg(F.max(F.struct("spread", "id"))["id"].alias("l1"), F.min("id").alias("l2"), F.min(F.struct(F.xxhash64("id", "band"), "id"))["id"].alias("l3"))
-        .select("band", F.explode(F.array_distinct(F.array("l1", "l2", "l3"))).alias("leader"))
-    )
-    led = large.join(leaders, "band").where(F.col("id") != F.col("leader")).select(*_pair(F.col("id"), F.col("leader")))
+    leaders = large.join(spread, "id").groupBy("band").agg(F.max(F.struct("spread", "id"))["id"].alias("leader"))
+    groups = tables.keep(large.join(leaders, "band").select("leader", "id").distinct(), "groups")
+    led = groups.where(F.col("id") != F.col("leader")).select(*_pair(F.col("id"), F.col("leader")))
     pairs = tables.keep(twos.unionByName(small).unionByName(led).distinct(), "pairs")
-    args = (sigs.select("id", "sig"), docs, k, num, den, miss, tables)
-    links = _verified(pairs, *args, "first")
+    near = tables.keep(_survivors(pairs, sigs, num / den, miss), "survivors")
+    # sets of all that may be compared, so that texts are dealt out once
+    compared = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(groups.select("id"))
+    sets = tables.keep(_sets_of(docs, compared, k), "sets")
+    links = tables.keep(_links(near, sets, num, den), "links")
     found = components(tables, links, "first-components")
-
-    labelled = tables.keep(large.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")), "labelled")
-    split = labelled.groupBy("band", "component").count().groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component"))["component"].alias("main")).where("parts > 1")
-    inside = labelled.join(split.select("band", "main"), "band")
-    out = inside.where(F.col("component") != F.col("main")).select("band", F.col("id").alias("o"), F.col("component").alias("oc"))
-    rest = (
-        out.join(inside.select("band", "id", "component"), "band").where(F.col("component") != F.col("oc"))
-        .select(*_pair(F.col("o"), F.col("id"))).distinct().join(pairs, ["a", "b"], "left_anti")
-    )
-    rest = tables.keep(rest, "rest")
+    rest = tables.keep(_left_over(groups, found, links, sets, num, den, tables).join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, *args, "rest"))
-        found = components(tables, links, "all-components")
-    tables.drop("signatures", "buckets", "bucketed", "pairs", "labelled", "rest")
+        more = _links(_survivors(rest, sigs, num / den, miss), sets, num, den)
+        found = components(tables, links.unionByName(more), "all-components")
+    tables.drop("signatures", "buckets", "bucketed", "groups", "pairs", "survivors", "sets", "members", "apart", "placed", "rest")
     return (
         members.join(classes, "set_key", "left").join(found, "id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))

@@ -30,7 +30,7 @@ _PAIRS = f"""WITH last AS (SELECT conv_id, max(turn) AS fin, arg_max(coalesce(te
           FROM conversations c JOIN last l ON l.conv_id = c.conv_id AND c.turn <= l.fin LEFT JOIN last o ON o.conv_id = c.conv_id + 1),
     p AS (SELECT *, paired AND mine = other AS common FROM t),
     o AS (SELECT *, sum(CASE WHEN common THEN 0 ELSE length(mine) END) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM p)
-    SELECT conv_id AS pair_id, count_if(common)::BIGINT AS n_prompt, coalesce(string_agg(mine, '' ORDER BY turn) FILTER (common), '') AS prompt, coalesce(string_agg(mine, '' ORDER BY turn) FILTER (NOT common), '') AS chosen,
+    SELECT conv_id AS pair_id, count(*) FILTER (common)::BIGINT AS n_prompt, coalesce(string_agg(mine, '' ORDER BY turn) FILTER (common), '') AS prompt, coalesce(string_agg(mine, '' ORDER BY turn) FILTER (NOT common), '') AS chosen,
         coalesce(string_agg((upto - length(mine))::BIGINT || ':' || upto::BIGINT, ',' ORDER BY turn) FILTER (NOT common AND role = 'assistant'), '') AS chosen_spans,
         coalesce(string_agg(other, '' ORDER BY turn) FILTER (NOT common AND paired), '') AS rejected, coalesce(string_agg('0:' || length(other), ',') FILTER (NOT common AND paired), '') AS rejected_spans FROM o GROUP BY conv_id"""
 

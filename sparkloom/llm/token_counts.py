@@ -28,7 +28,8 @@ def token_counts(spark: SparkSession, documents: DataFrame, vocabulary: str, cac
 
     `vocabulary` is the path of a byte-level vocabulary of the tokenizers library, which every executor can
     read; `cache` is a folder of Parquet in a shared store, keyed by SHA-256 of the text (this kind of
-    vocabulary normalises nothing) and of the vocabulary's file. Null and empty texts count as empty: no
+    vocabulary normalises nothing) and of the vocabulary's file; one run at a time appends to it, so a digest is
+    stored once, and the join with a hot digest can be split. Null and empty texts count as empty: no
     tokens. Rows that repeat a text are encoded once. Other columns are not read.
     """
     version = digest(vocabulary)
@@ -40,7 +41,7 @@ def token_counts(spark: SparkSession, documents: DataFrame, vocabulary: str, cac
     known = known.where(F.col("tokenizer") == version).select("digest").distinct()
     misses = keyed.groupBy("digest").agg(F.min("text").alias("text")).join(known, "digest", "left_anti")
     misses.mapInArrow(_encode(vocabulary, version), _CACHE).write.mode("append").parquet(cache)
-    counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     return (
         keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
         .join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
