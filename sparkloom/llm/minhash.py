@@ -20,7 +20,7 @@ from .components import components
 
 ROWS = 6  # minhash values in a band
 MISS = 1e-7  # of a pair at the threshold: by the bands, and by each posterior bound
-BATCH, BATCHES = 32, 4  # signature values compared at once, and how often
+BATCH, BATCHES = 32, 4  # signature values compared at once, and how often; a byte each, so equal ones never differ
 SMALL = 24  # buckets up to this size are compared whole; larger ones by leaders and components
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,7 +87,7 @@ def _profiles(k: int, bands: int, rows: int):
                 for r in m[: bands * rows].reshape(bands, rows).T:
                     acc = mixed(acc ^ r.astype(np.uint64)) * _K
                 band.append(acc.view(np.int64))
-                sig.append(m[order].tobytes())
+                sig.append(m[order].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
                 ["doc_id", "n_shingles", "set_key", "bands", "sig"],
@@ -119,7 +119,7 @@ def _bayes(threshold: float, miss: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (batch.column(2), batch.column(3)))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (batch.column(2), batch.column(3)))
             left, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for i, m in enumerate(least):
                 at = slice(i * BATCH, (i + 1) * BATCH)
@@ -260,10 +260,11 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, num:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     bands = bands_for(num / den, rows, miss)
     profiles = tables.keep(docs.mapInArrow(_profiles(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"), "profiles")
-    members = profiles.select("doc_id", "n_shingles", "set_key")
-    classes = tables.keep(members.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    firsts = profiles.join(classes.withColumnRenamed("id", "doc_id"), ["set_key", "doc_id"], "left_semi")
-    sigs = tables.keep(firsts.select(F.col("doc_id").alias("id"), "sig", "bands").distinct(), "signatures")
+    members = tables.keep(profiles.select("doc_id", "n_shingles", "set_key"), "documents")
+    # rows with the same set have the same bands and signature
+    classes = tables.keep(profiles.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "signatures")
+    tables.drop("profiles")
+    sigs = classes.where("id IS NOT NULL").select("id", "sig", "bands")
 
     banded = sigs.select("id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("n > 1 AND x < y")
@@ -291,9 +292,9 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, num:
     if not rest.isEmpty():
         more = _links(_survivors(rest, sigs, num / den, miss), sets, num, den)
         found = components(tables, links.unionByName(more), "all-components")
-    tables.drop("signatures", "buckets", "bucketed", "groups", "pairs", "survivors", "sets", "members", "apart", "placed", "rest")
+    tables.drop("buckets", "bucketed", "groups", "pairs", "survivors", "sets", "members", "apart", "placed", "rest")
     return (
-        members.join(classes, "set_key", "left").join(found, "id", "left")
+        members.join(classes.select("set_key", "id"), "set_key", "left").join(found, "id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
