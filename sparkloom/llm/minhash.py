@@ -223,13 +223,15 @@ def _left_over(groups: DataFrame, found: DataFrame, links: DataFrame, sets: Data
         "apart",
     )
     items = apart.select("leader", "id", "own", "far", "size", F.size("apart").alias("y"), "lead", F.explode("apart").alias("item"))
-    common = items.groupBy("leader", "item").agg(F.count("*").alias("n"))
+    common = items.groupBy("leader", "item").agg(F.count("*").alias("n")).where("n > 1")
     spread = den - num, den + num
     least = F.floor(spread[0] * (F.col("size") * num / den + F.col("lead")) / spread[1])
     most = F.floor(spread[0] * (F.col("size") + F.col("size") * den / num) / spread[1])
     first = F.floor((F.col("y") - F.when(F.col("far"), F.greatest("y", least)).otherwise(least) + most) / 2) + 2
-    place = F.row_number().over(Window.partitionBy("leader", "id").orderBy("n", "item"))
-    placed = tables.keep(items.join(common, ["leader", "item"]).withColumn("place", place).where((F.col("n") > 1) & (F.col("far") | (F.col("place") <= first))), "placed")
+    # what one member alone has comes first in the order, and only its number matters
+    own_window = Window.partitionBy("leader", "id")
+    place = F.col("y") - F.count("*").over(own_window) + F.row_number().over(own_window.orderBy("n", "item"))
+    placed = tables.keep(items.join(common, ["leader", "item"]).withColumn("place", place).where(F.col("far") | (F.col("place") <= first)), "placed")
     looking = placed.where(F.col("place") <= first)
     sought = placed.where("far").select("leader", "item", F.col("id").alias("v"), F.col("own").alias("v_own"), F.col("size").alias("v_size"), F.col("y").alias("x"), F.col("place").alias("v_place"))
     within = F.floor(spread[0] * (F.col("size") + F.col("v_size")) / spread[1])
