@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: lines that many sites share are cut out of documents."""
-    return lines_cut(spark, docs)
+    """Operator 2, but for its exemption: lines that many sites share are cut out of all documents that have others."""
+    return lines_cut(spark, docs, max_share=None)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,15 +63,19 @@ def line_dedup(spark: SparkSession, documents: DataFrame, min_sites: int = MIN_S
     return _cleaned(spark, documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(site).cast("string").alias("site")), min_sites, max_share).select("doc_id", "n_lines", "n_removed", "clean_text")
 
 
-def lines_cut(spark: SparkSession, documents: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, site: str = "source") -> DataFrame:
-    """documents with those lines cut out of text, and n_chars to match where there is one; all columns stay."""
+def lines_cut(spark: SparkSession, documents: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE, site: str = "source") -> DataFrame:
+    """documents with those lines cut out of text, and n_chars to match where there is one; all columns stay.
+
+    Without a max_share, such lines go whatever their share of a document; only a document with no other lines
+    with words stays whole, for near-duplicate removal.
+    """
     rows = documents.select("doc_id", "text", F.col(site).cast("string").alias("site"), F.struct(*documents.columns).alias("row"))
     cut = _cleaned(spark, rows, min_sites, max_share)
     new = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("clean_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in documents.columns else None}
     return cut.select(*(new.get(c, F.col("row")[c]).alias(c) for c in documents.columns))
 
 
-def _cleaned(spark: SparkSession, docs: DataFrame, min_sites: int, max_share: float) -> DataFrame:
+def _cleaned(spark: SparkSession, docs: DataFrame, min_sites: int, max_share: float | None) -> DataFrame:
     tables = Tables(spark)
     found = tables.keep(boilerplate(docs, "text", "site", min_sites), "boilerplate")
     lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(_lines(F.col("text"))).alias("line")).select("doc_id", "key", _hash(F.col("line")).alias("line"))
@@ -87,7 +91,8 @@ def _cleaned(spark: SparkSession, docs: DataFrame, min_sites: int, max_share: fl
         .withColumn("chars", F.length(F.replace("text", F.lit("\n"), F.lit(""))))
         .withColumn("stays", F.length(F.array_join("kept", "")))
     )
-    is_cut = F.col("kept").isNotNull() & ((F.col("chars") - F.col("stays")) <= max_share * F.col("chars"))
+    allowed = F.exists("kept", lambda x: _trim(x) != "") if max_share is None else (F.col("chars") - F.col("stays")) <= max_share * F.col("chars")
+    is_cut = F.col("kept").isNotNull() & allowed
     return (
         cut.withColumn("n_removed", F.when(is_cut, F.col("n_lines") - F.size("kept")).otherwise(0).cast("long"))
         .withColumn("clean_text", F.when(is_cut, F.array_join("kept", "\n")).otherwise(F.col("text")))

@@ -212,6 +212,16 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup(spark, documents(spark, [])).count() == 0
 
 
+def test_pipeline_cuts_shared_lines_whatever_their_share(spark, sf_dir):
+    import corpus_pipeline
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"own line {i}\n\n{passage}", f"s{i}") for i in range(5)] + [(10 + i, f"{passage}\n \n", f"s{i}") for i in range(5)] + [(20, passage + "\nown", None), (21, None, "s1"), (22, "", "s1")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, documents(spark, rows), sf_dir).collect()}
+    want = {d: f"own line {d}\n" if d < 10 else "own" if d == 20 else t for d, t, _ in rows}
+    assert got == {d: (t, None if t is None else len(t)) for d, t in want.items()}
+
+
 def test_preference_pairs_round_trip(spark):
     from sparkloom.llm.preference import preference_pairs
 
