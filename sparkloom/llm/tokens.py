@@ -18,6 +18,8 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel
 
 PIECES = 400_000  # remembered by a Python worker at most
 _ODD = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ]|<\\|")
+# the same without what lower-cases to characters outside
+_ODD_LOWER = re.compile("[^\t\n\r\x20-\x7e" + "".join(c for c in map(chr, range(0xA1, 0x250)) if not _ODD.search(c + c.lower())) + "]|<\\|")
 _GAPS = re.compile(r"\s\s|\s\Z")
 
 
@@ -116,7 +118,7 @@ class WordIds:
         if len(self.seen) > PIECES:
             self.seen.clear()
         for i, t in enumerate(texts):
-            if _ODD.search(t):
+            if _ODD_LOWER.search(t):
                 out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 chunks[i] = c = t.lower().split()
