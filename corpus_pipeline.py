@@ -28,10 +28,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1, five words and similarity 0.8: one document of each group stays."""
-    found = near_duplicates(spark, docs, k=5, num=80, den=100)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Operator 1, five words and similarity 0.8: exactly one row of each group stays.
+
+    Rows are linked by their texts alone: those that repeat a doc_id, or have none, are rows like others. Of a
+    group, the row with the smallest doc_id stays, and one with a null only if all are null. Rows without words
+    are linked with nothing and all stay.
+    """
+    numbered = Tables(spark).keep(docs.withColumn("near_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(spark, numbered.select(F.col("near_row").alias("doc_id"), "text"), k=5, num=80, den=100)
+    groups = found.select(F.col("doc_id").alias("near_row"), "component_id").join(numbered.select("near_row", "doc_id"), "near_row")
+    stays = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "near_row"))["near_row"].alias("near_row"))
+    return numbered.join(stays.select("near_row"), "near_row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

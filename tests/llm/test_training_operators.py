@@ -107,6 +107,26 @@ def test_links_between_copies_far_from_their_leader(spark, monkeypatch):
     assert 3 < len({w[2] for w in want}) < len(rows)
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark, sf_dir):
+    """Replayed rows, null ids, and ids that stand for different texts."""
+    import corpus_pipeline
+
+    rows = near_copies(seed=4)
+    rows += rows[:9] + [(None, t) for _, t in rows[5:12]] + ODD
+    alone = " ".join(f"n{i}" for i in range(40))
+    rows += [(None, alone), (None, alone), (None, alone + " n40"), (0, "quite another text under an id that is there"), (None, None), (None, "")]
+    numbers = brute_components([(i, t) for i, (_, t) in enumerate(rows)], 5, 80, 100)
+    groups = defaultdict(list)
+    for i, _, c in numbers:
+        groups[c].append(rows[i][0])
+    got = corpus_pipeline.near_dedup(spark, documents(spark, rows), sf_dir)
+    assert got.columns == documents(spark, rows[:1]).columns
+    kept = got.collect()
+    assert sorted(map(str, (r.doc_id for r in kept))) == sorted(str(min((d for d in ids if d is not None), default=None)) for ids in groups.values())
+    of = {(d, t): c for (d, t), (_, _, c) in zip(rows, numbers)}
+    assert len({of[r.doc_id, r.text] for r in kept if sets_of(r.text, 5)}) == sum(bool(sets_of(r.text, 5)) for r in kept) == len({c for _, n, c in numbers if n})
+
+
 def test_near_duplicates_of_nothing(spark):
     from sparkloom.llm.minhash import near_duplicates
 
