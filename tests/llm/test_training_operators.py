@@ -438,3 +438,97 @@ def test_pipeline_stages(spark, sf_dir):
         assert docs.columns == columns
         assert 0.5 * n < docs.count() <= n, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def brute_quality(rows, model):
+    from sparkloom.llm.features import structure
+
+    return [r for r in rows if model.scores(np.array([structure((r[1] or "").encode())], np.float32).astype(np.float64))[0] >= 0.3]
+
+
+def brute_line_dedup(rows):
+    sites = defaultdict(set)
+    for _, t, s in rows:
+        for x in (t or "").split("\n"):
+            if s is not None and (x := x.strip(" \t\r\x0b\x0c")):
+                sites[x].add(s)
+    out = []
+    for d, t, s in rows:
+        kept = [x for x in (t or "").split("\n") if len(sites[x.strip(" \t\r\x0b\x0c")]) < 5]
+        out.append((d, "\n".join(kept) if any(x.strip(" \t\r\x0b\x0c") for x in kept) else t, s))
+    return out
+
+
+def brute_near_dedup(rows):
+    rows = sorted(rows)  # by doc_id, so that the first of a group is its smallest
+    return [rows[i] for i, _, c in brute_components([(i, t) for i, (_, t, _) in enumerate(rows)], 5, 80, 100) if i == c]
+
+
+def brute_decontamination(rows, items):
+    wins = set()
+    for _, text in items:
+        w = words6(text)
+        wins |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9) if w else 0)}
+    sizes, out = {len(x) for x in wins}, []
+    for d, t, s in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+        hit = {j for n in sizes for i in range(len(at) - n + 1) if tuple(low[b:e] for b, e in at[i : i + n]) in wins for j in range(i, i + n)}
+        if len(hit) > 0.5 * len(at):
+            continue
+        gone = set()
+        for j in hit:  # the word, and what lies before the next if that is hit too
+            gone.update(range(at[j][0], at[j + 1][0] if j + 1 in hit else at[j][1]))
+        out.append((d, t if not hit else "".join(c for i, c in enumerate(t) if i not in gone), s))
+    return out
+
+
+def brute_pieces(rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = []
+    for d, t, _ in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        out += [(d, k, b, len(ids[b : b + 2048]), zlib.crc32(ids[b : b + 2048].tobytes())) for k, b in enumerate(range(0, len(ids), 2048))]
+    return sorted(out)
+
+
+def test_pipeline_matches_brute_force(spark, sf_dir, tmp_path):
+    """Each stage and run(), on the smallest documents with copies, shared lines and benchmark passages added."""
+    import corpus_pipeline
+    from sparkloom.llm.quality import features, fitted
+
+    docs, labels, bench = (table(spark, sf_dir, n) for n in ("documents", "labels", "benchmark"))
+    found = sorted((r for r in docs.collect() if r.text), key=lambda r: r.doc_id)
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    long = [r for r in found if len(r.text) > 400][:40]
+    item = max((t for _, t in items if t), key=len)
+    shared = "All rights reserved by the many sites of this test"
+    made = [r.asDict() for r in found]
+    made += [r.asDict() | {"doc_id": 10_000 + i, "text": r.text + f" Copy {i}."} for i, r in enumerate(long[:15])]
+    made += [r.asDict() | {"doc_id": 20_000 + i, "text": f"{r.text[: 100 + 20 * i]}\n{shared}", "source": f"site{i % 7}"} for i, r in enumerate(long[15:30])]
+    made += [r.asDict() | {"doc_id": 30_000 + i, "text": f"{r.text} {item.upper()}. {r.text[:50]}"} for i, r in enumerate(long[30:])]
+    made = [m | {"n_chars": len(m["text"])} for m in made]
+    d = str(tmp_path)
+    spark.createDataFrame([tuple(m[c] for c in docs.columns) for m in made], docs.schema).write.parquet(f"{d}/documents.parquet")
+    labels.write.parquet(f"{d}/labels.parquet"), bench.write.parquet(f"{d}/benchmark.parquet")
+
+    now = table(spark, d, "documents")
+    model = fitted(spark, features(now).cache(), labels)
+    want = [(m["doc_id"], m["text"], m["source"]) for m in made]
+    brute = [lambda x: brute_quality(x, model), brute_line_dedup, brute_near_dedup, lambda x: brute_decontamination(x, items)]
+    for (name, stage), held in zip(corpus_pipeline.STAGES[:-1], brute, strict=True):
+        before, want = want, sorted(held(want))
+        now = stage(spark, now, d).cache()
+        rows = now.collect()
+        assert sorted((r.doc_id, r.text, r.source) for r in rows) == want, name
+        assert all(r.n_chars == len(r.text) for r in rows) and want != sorted(before), name
+    pieces = brute_pieces(want)
+    assert sorted(tuple(r)[:5] for r in corpus_pipeline.STAGES[-1][1](spark, now, d).collect()) == pieces
+    full = defaultdict(list)
+    rows = corpus_pipeline.run(spark, d).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == pieces
+    for r in rows:
+        full[r.sequence_id].append((r.offset, r.length))
+    assert all([o for o, _ in sorted(p)] == [0, *itertools.accumulate(n for _, n in sorted(p))][:-1] and sum(n for _, n in p) <= 2048 for p in full.values())
