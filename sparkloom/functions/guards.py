@@ -81,3 +81,8 @@ def run_batch(spark: SparkSession, statements: str) -> list[tuple[str, DataFrame
         except Exception as problem:  # a failing statement doesn't stop the batch
             out.append((s, None, str(problem)))
     return out
+
+
+def event_id(task: Column) -> Column:
+    """The first number that follows the word event, 'event id' or 'event #' in a task; null if there is none."""
+    return F.nullif(F.regexp_extract(task, r"(?i)\bevent(?:\s+id)?\s*#?\s*(\d+)\b", 1), F.lit("")).try_cast("long")

@@ -144,3 +144,26 @@ def status_key(status: Column) -> Column:
 def overlay(new: Column, old: Column) -> Column:
     """A looked-up value where it is not empty, else the old one."""
     return F.coalesce(F.nullif(F.trim(new), F.lit("")), old)
+
+
+def flag(value: Column) -> Column:
+    """True for true, 'true' in small letters, and what is the number 1; false for all else and null."""
+    s = value.cast("string")
+    number = s.rlike(r"^\s*\+?[0-9.]+([eE][+-]?[0-9]+)?\s*$")
+    return F.coalesce((s == "true") | F.when(number, F.trim(F.regexp_replace(s, r"\s", " ")).try_cast("double") == 1), F.lit(False))
+
+
+def training_status(day: Column, as_of: Column) -> Column:
+    return F.when(day < as_of, "Completed").otherwise("Upcoming")
+
+
+def training_duration(starts: Column, ends: Column) -> Column:
+    """'hh:mm - hh:mm' of two times as strings."""
+    there = (starts != "") & (ends != "")
+    return F.when(there, F.concat(F.substring(starts, 1, 5), F.lit(" - "), F.substring(ends, 1, 5))).otherwise("Time TBD")
+
+
+def current_attendance(attendance: DataFrame, hosts: DataFrame, key: str = "user_id") -> DataFrame:
+    """Attendance entries of current hosts, ids compared as strings."""
+    ids = hosts.select(F.col(key).cast("string").alias("_id"))
+    return attendance.join(ids, F.col(key).cast("string") == F.col("_id"), "left_semi")

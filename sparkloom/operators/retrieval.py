@@ -178,3 +178,12 @@ def gated_search(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k:
     use = queries.select("query_id").join(best, "query_id", "left").withColumn("fallback_used", F.coalesce(F.col("confidence") < limit, F.lit(True)))
     rows = gated.withColumn("dense", F.lit(False)).unionByName(dense.withColumn("dense", F.lit(True)))
     return rows.join(use, "query_id").where(F.col("dense") == F.col("fallback_used")).drop("dense")
+
+
+VISUAL_HINTS = ("look like", "looks like", "show me", "show ", "photo", "image", "design", "invitation", "bouquet", "decor", "aesthetic", "visual", "picture", "style of", "how should .* look")
+
+
+def keyword_intent(query: Column) -> Column:
+    """'visual' where a query holds a hint as it stands, the last one's dot and star too; else 'text'."""
+    low = F.lower(query)
+    return F.when(F.exists(F.array(*map(F.lit, VISUAL_HINTS)), lambda h: F.contains(low, h)), "visual").otherwise("text")

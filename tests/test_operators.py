@@ -225,3 +225,26 @@ def test_sources(spark, tmp_path):
     assert row["s"].startswith("a b ") and len(row["s"]) == 31 and "a%20b" in row["u"]
     guide = spark.createDataFrame([(1, "Intro\n- Dress: black tie\n* be early")], "id int, t string")
     assert [(r.topic, r.detail) for r in tables.guide_rows(guide, "id", "t").orderBy("row_no").collect()] == [("Dress", "black tie"), ("", "be early")]
+
+
+def test_flags_trainings_and_attendance(spark):
+    rows = spark.createDataFrame([("true", 1), ("True", 0), ("1", 1), (" 1.0 ", 1), ("1d", 0), ("10", 0), ("", 0), (None, 0), ("yes", 0), ("1e0", 1)], "v string, want int")
+    assert rows.where(relational.flag(F.col("v")) != (F.col("want") == 1)).count() == 0
+    assert tuple(one(spark, a=relational.flag(F.lit(True)), b=relational.flag(F.lit(1)), c=relational.flag(F.lit(2)))) == (True, True, False)
+    day, null = F.to_date(F.lit("2024-05-02")), F.lit(None)
+    assert tuple(one(spark, a=relational.training_status(F.date_sub(day, 1), day), b=relational.training_status(day, day), c=relational.training_status(null.cast("date"), day))) == ("Completed", "Upcoming", "Upcoming")
+    say = relational.training_duration
+    assert tuple(one(spark, a=say(F.lit("09:00:00"), F.lit("10:30:00")), b=say(F.lit(""), F.lit("10:30")), c=say(null.cast("string"), F.lit("10:30")))) == ("09:00 - 10:30", "Time TBD", "Time TBD")
+    entries = spark.createDataFrame([("1", True), ("2", False), (None, True)], "user_id string, present boolean")
+    assert [tuple(r) for r in relational.current_attendance(entries, spark.createDataFrame([(1,), (1,), (3,)], "user_id long")).collect()] == [("1", True)]
+
+
+def test_venue_types_intents_and_event_ids(spark):
+    say = lambda d, k: text.with_venue_type(F.lit(d).cast("string"), F.lit(k).cast("string"))
+    assert tuple(one(spark, a=say("A big HALL", "hall"), b=say("A garden", "Hall"), c=say(None, "Hall"), d=say(" x ", None), e=say(None, None))) == ("A big HALL", "A garden Hall", "Hall", " x ", "")
+    asked = ["Show me roses", "What is a budget?", "how should it look", "how should .* look", "The DECOR", "slideshow", None]
+    got = spark.createDataFrame(list(enumerate(asked)), "i int, q string").select("i", retrieval.keyword_intent(F.col("q")).alias("k")).collect()
+    assert [r.k for r in sorted(got)] == ["visual", "text", "text", "visual", "visual", "text", "text"]
+    tasks = ["Debrief Event 12 now", "event id #7", "event#  9.", "events 4", "event 5x", "none", None]
+    got = spark.createDataFrame(list(enumerate(tasks)), "i int, t string").select("i", guards.event_id(F.col("t")).alias("e")).collect()
+    assert [r.e for r in sorted(got)] == [12, 7, 9, None, None, None, None]
