@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,8 @@ class Tables:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def binaries(column: pa.Array) -> Iterator[bytes]:
+    """The values of a column of strings or binaries as bytes, one at a time, so that no list holds a batch's copies."""
+    return (x.as_py() for x in column.cast(pa.binary()))

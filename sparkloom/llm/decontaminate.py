@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import binaries, text_or_empty
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000  # item text in one broadcast automaton; more items make more automata
@@ -147,7 +147,7 @@ def _match(shared):
         automaton = shared.value
         for batch in batches:
             n, spans, items, key = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in binaries(batch.column(1)):
                 words = words_of(text)
                 s, found = automaton.scan(words)
                 n.append(len(words)), spans.append([{"start": b, "end": e} for b, e in s]), items.append(sorted(found))
@@ -210,7 +210,7 @@ def _cleaned(shared, window: int, most: float):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts, keep = [], []
-            for i, text in enumerate(batch.column(at).to_pylist()):
+            for i, text in enumerate(x.as_py() for x in batch.column(at)):
                 words = words_of(text.encode()) if text else []
                 spans = []
                 for x in shared:

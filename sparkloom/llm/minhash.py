@@ -9,19 +9,23 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, text_or_empty
+from .common import Tables, binaries, text_or_empty
 from .components import components
 
 ROWS = 6  # minhash values in a band
 MISS = 1e-7  # of a pair at the threshold: by the bands, and by each posterior bound
 BATCH, BATCHES = 32, 4  # signature values compared at once, and how often; a byte each, so equal ones never differ
-SMALL = 24  # buckets up to this size are compared whole; larger ones by leaders and components
+SMALL = 24  # buckets up to this size are compared whole; larger ones by leaders and components, with the same result
+FILTER_BITS = 26  # a filter of ids that is sent to tasks has 2^26 bits, 8 MB, whatever the number of ids
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,16 +40,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes, k: int, seen: dict[bytes, int]) -> np.ndarray:
+def shingles(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; fewer words than k make one shingle, none make none."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(seen) > 500_000:
-        seen.clear()
-    for w in set(words).difference(seen):
-        seen[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(k, len(words))
     acc = np.full(len(words) - n + 1, n, np.uint64)
     for i in range(n):
@@ -72,11 +72,10 @@ def _profiles(k: int, bands: int, rows: int):
     def run(batches):
         mul, add = _constants(max(bands * rows, BATCH * BATCHES))
         order = np.random.default_rng(7).permutation(len(mul))[: BATCH * BATCHES]
-        seen: dict[bytes, int] = {}
         for batch in batches:
             n, key, band, sig = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                s = shingles(text, k, seen)
+            for text in binaries(batch.column(1)):
+                s = shingles(text, k)
                 n.append(len(s))
                 if not len(s):
                     key.append(None), band.append(None), sig.append(None)
@@ -132,24 +131,26 @@ def _bayes(threshold: float, miss: float):
 
 def _sets(k: int):
     def run(batches):
-        seen: dict[bytes, int] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shingles(t, k, seen).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())],
-                ["id", "shingles"],
-            )
+            sets = pa.array((shingles(t, k).tobytes() for t in binaries(batch.column(1))), pa.binary(), size=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "shingles"])
 
     return run
 
 
+def _hashes(column: pa.Array) -> Iterator[np.ndarray]:
+    """Views of the sets in a column of binaries, without copies."""
+    at, data = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1], column.buffers()[2] or b""
+    return (np.frombuffer(data, np.uint64, (e - b) // 8, b) for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
 def _exact(num: int, den: int):
     """(a, b, set_a, set_b) -> the pairs (a, b) with den * intersection >= num * union."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i, (s, t) in enumerate(zip(_hashes(batch.column(2)), _hashes(batch.column(3)), strict=True)):
                 if den * min(len(s), len(t)) < num * max(len(s), len(t)):
                     continue
                 both = len(np.intersect1d(s, t, assume_unique=True))
@@ -168,8 +169,41 @@ def _side(t: DataFrame, i: str, c: str) -> DataFrame:
     return t.select(F.col("id").alias(i), F.col(c).alias(f"{c}_{i}"))
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    return docs.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, shingles binary").distinct()
+def _bit(ids):
+    """The bit of the filter that stands for an id."""
+    return (mixed(ids.astype(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _among(spark: SparkSession, ids: DataFrame) -> Column:
+    """Whether doc_id may be among the ids: false only where it is not.
+
+    The filter's size is fixed: the driver gets a row for each of its words that holds a bit, 2^20 at most. It
+    passes next to nothing else up to some ten million ids; with many more it passes more and more, at last
+    everything, and what stands behind it has more to do.
+    """
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bit = _bit(pdf["id"].to_numpy())
+            yield pd.DataFrame({"word": bit >> 6, "bits": np.left_shift(np.int64(1), bit & 63)})
+
+    set_bits = ids.select("id").mapInPandas(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[set_bits["word"].to_numpy()] = set_bits["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def among(doc_id: pd.Series) -> pd.Series:
+        bit = _bit(doc_id.to_numpy())
+        return pd.Series((shared.value[bit >> 6] >> (bit & 63)) & 1 == 1)
+
+    return among(F.coalesce("doc_id", F.lit(0).cast("long")))  # with nulls, pandas would make doubles of them
+
+
+def _sets_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """The sets of documents with one of the ids. Texts of others are left out by a filter before the join deals them out."""
+    some = docs.where(_among(spark, ids)).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    return some.dropDuplicates(["doc_id", "text"]).mapInArrow(_sets(k), "id long, shingles binary")
 
 
 def _survivors(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -184,20 +218,35 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return met.mapInArrow(_exact(num, den), "a long, b long").distinct()
 
 
-def _differences(batches):
-    """(leader, id, ..., set_leader, set) -> the columns between, the set's size, the leader's, and what is in one of them only."""
-    for batch in batches:
-        own, other, parts = [], [], []
-        for x, y in zip(batch.column("shingles_leader").to_pylist(), batch.column("shingles_id").to_pylist(), strict=True):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            own.append(len(t)), other.append(len(s)), parts.append(np.setxor1d(s, t, assume_unique=True).view(np.int64))
-        kept = [n for n in batch.schema.names if not n.startswith("shingles_")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in kept), pa.array(own, pa.int64()), pa.array(other, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], [*kept, "size", "lead", "apart"]
-        )
+def _differences(num: int, den: int):
+    """(leader, id, ..., set_leader, set) -> the columns between, the set's size, the leader's, whether they are not
+    linked, and what is in one of them only."""
+
+    def run(batches):
+        for batch in batches:
+            own, other, far, parts = [], [], [], []
+            for s, t in zip(_hashes(batch.column("shingles_leader")), _hashes(batch.column("shingles_id")), strict=True):
+                one = np.setxor1d(s, t, assume_unique=True).view(np.int64)
+                both = (len(s) + len(t) - len(one)) // 2
+                own.append(len(t)), other.append(len(s)), far.append(den * both < num * (both + len(one))), parts.append(one)
+            kept = [n for n in batch.schema.names if not n.startswith("shingles_")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in kept), pa.array(own, pa.int64()), pa.array(other, pa.int64()), pa.array(far, pa.bool_()), pa.array(parts, pa.list_(pa.int64()))],
+                [*kept, "size", "lead", "far", "apart"],
+            )
+
+    return run
+
+
+def _one_leader(groups: DataFrame, label: DataFrame) -> DataFrame:
+    """(leader, id, main) of groups (leader, id): those whose leaders are in one component (main) become one group,
+    led by the leader of most. A member of many buckets of one component is then looked at once."""
+    led = groups.groupBy("leader").agg(F.count("*").alias("n")).join(label.withColumnsRenamed({"id": "leader", "c": "main"}), "leader", "left").select("leader", "n", F.coalesce("main", "leader").alias("main"))
+    most = led.groupBy("main").agg(F.max(F.struct("n", "leader"))["leader"].alias("most"))
+    return groups.join(led.join(most, "main").select("leader", "most", "main"), "leader").select(F.col("most").alias("leader"), "id", "main").distinct()
 
 
-def _left_over(groups: DataFrame, found: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
+def _left_over(groups: DataFrame, found: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
     """Pairs (a, b) of groups (leader, id) that could be links between two components; exact, and linear in a group.
 
     Write D(u) for what only one of u and the leader holds. Then |u xor v| = |D(u) xor D(v)|, and u and v are linked
@@ -205,21 +254,16 @@ def _left_over(groups: DataFrame, found: DataFrame, links: DataFrame, sets: Data
     at least, and the first they share, in any order, is among the first (|D(u)| - |D(v)| + T) / 2 + 1 of D(u) and
     (|D(v)| - |D(u)| + T) / 2 + 1 of D(v). Ordered from rare to common, those are mostly what each alone has, however
     much the group has in common. Who isn't linked with the leader is looked up (v); a linked one only looks (u), as
-    does the one with the smaller D of two who aren't.
+    does the one with the smaller D of two who aren't. Sizes of D that differ by more than T make no link, so no one
+    is looked up under more than T + 1 items.
     """
     label = found.withColumnRenamed("component", "c")
-    marked = (
-        groups.join(label.withColumnRenamed("c", "own"), "id", "left").join(label.withColumnsRenamed({"id": "leader", "c": "main"}), "leader", "left")
-        .select("leader", "id", F.coalesce("own", "id").alias("own"), F.coalesce("main", "leader").alias("main"))
-    )
+    marked = _one_leader(groups, label).join(label.withColumnRenamed("c", "own"), "id", "left").select("leader", "id", F.coalesce("own", "id").alias("own"), "main")
     split = marked.where("own <> main").select("leader").distinct()
-    near = links.select(F.col("a").alias("leader"), F.col("b").alias("id")).unionByName(links.select(F.col("b").alias("leader"), F.col("a").alias("id"))).withColumn("near", F.lit(True))
-    members = tables.keep(
-        marked.where(F.col("id") != F.col("leader")).join(split, "leader", "left_semi").join(near, ["leader", "id"], "left").select("leader", "id", "own", F.col("near").isNull().alias("far")), "members"
-    )
+    members = tables.keep(marked.where(F.col("id") != F.col("leader")).join(split, "leader", "left_semi"), "members")
     apart = tables.keep(
         members.join(_side(sets, "leader", "shingles"), "leader").join(_side(sets, "id", "shingles"), "id")
-        .select("leader", "id", "own", "far", "shingles_leader", "shingles_id").mapInArrow(_differences, "leader long, id long, own long, far boolean, size long, lead long, apart array<long>"),
+        .select("leader", "id", "own", "main", "shingles_leader", "shingles_id").mapInArrow(_differences(num, den), "leader long, id long, own long, main long, size long, lead long, far boolean, apart array<long>"),
         "apart",
     )
     items = apart.select("leader", "id", "own", "far", "size", F.size("apart").alias("y"), "lead", F.explode("apart").alias("item"))
@@ -228,19 +272,22 @@ def _left_over(groups: DataFrame, found: DataFrame, links: DataFrame, sets: Data
     least = F.floor(spread[0] * (F.col("size") * num / den + F.col("lead")) / spread[1])
     most = F.floor(spread[0] * (F.col("size") + F.col("size") * den / num) / spread[1])
     first = F.floor((F.col("y") - F.when(F.col("far"), F.greatest("y", least)).otherwise(least) + most) / 2) + 2
+    found_under = F.floor((F.col("y") - F.greatest(F.col("y") - most, F.lit(0)) + most) / 2) + 2
     # what one member alone has comes first in the order, and only its number matters
     own_window = Window.partitionBy("leader", "id")
     place = F.col("y") - F.count("*").over(own_window) + F.row_number().over(own_window.orderBy("n", "item"))
-    placed = tables.keep(items.join(common, ["leader", "item"]).withColumn("place", place).where(F.col("far") | (F.col("place") <= first)), "placed")
-    looking = placed.where(F.col("place") <= first)
+    rows = items.join(common, ["leader", "item"]).withColumn("place", place)
+    placed = tables.keep(rows.withColumn("looks", F.col("place") <= first).where((F.col("far") & (F.col("place") <= found_under)) | F.col("looks")).drop("lead"), "placed")
     sought = placed.where("far").select("leader", "item", F.col("id").alias("v"), F.col("own").alias("v_own"), F.col("size").alias("v_size"), F.col("y").alias("x"), F.col("place").alias("v_place"))
     within = F.floor(spread[0] * (F.col("size") + F.col("v_size")) / spread[1])
-    pairs = looking.join(
+    pairs = placed.where("looks").join(
         sought.withColumnsRenamed({"leader": "v_leader", "item": "v_item"}),
         (F.col("leader") == F.col("v_leader")) & (F.col("item") == F.col("v_item")) & (F.col("own") != F.col("v_own"))
         & (~F.col("far") | (F.struct("x", "v") > F.struct("y", "id"))) & (F.col("place") <= F.floor((F.col("y") - F.col("x") + within) / 2) + 1) & (F.col("v_place") <= F.floor((F.col("x") - F.col("y") + within) / 2) + 1),
     )
-    return pairs.select(*_pair(F.col("id"), F.col("v"))).distinct()
+    # one that is linked with the leader of the joint group, but met it in no bucket
+    met = apart.where("NOT far AND own <> main")
+    return pairs.select(*_pair(F.col("id"), F.col("v"))).unionByName(met.select(*_pair(F.col("id"), F.col("leader")))).distinct()
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, num: int = 80, den: int = 100, miss: float = MISS, rows: int = ROWS) -> DataFrame:
@@ -286,15 +333,15 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, num:
     pairs = tables.keep(twos.unionByName(small).unionByName(led).distinct(), "pairs")
     near = tables.keep(_survivors(pairs, sigs, num / den, miss), "survivors")
     # sets of all that may be compared, so that texts are dealt out once
-    compared = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(groups.select("id"))
-    sets = tables.keep(_sets_of(docs, compared, k), "sets")
+    compared = tables.keep(near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(groups.select("id")).distinct(), "compared")
+    sets = tables.keep(_sets_of(spark, docs, compared, k), "sets")
     links = tables.keep(_links(near, sets, num, den), "links")
     found = components(tables, links, "first-components")
-    rest = tables.keep(_left_over(groups, found, links, sets, num, den, tables).join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = tables.keep(_left_over(groups, found, sets, num, den, tables).join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = _links(_survivors(rest, sigs, num / den, miss), sets, num, den)
         found = components(tables, links.unionByName(more), "all-components")
-    tables.drop("buckets", "bucketed", "groups", "pairs", "survivors", "sets", "members", "apart", "placed", "rest")
+    tables.drop("buckets", "bucketed", "groups", "pairs", "survivors", "compared", "sets", "members", "apart", "placed", "rest")
     return (
         members.join(classes.select("set_key", "id"), "set_key", "left").join(found, "id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))

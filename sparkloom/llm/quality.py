@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, text_or_empty
+from .common import Tables, binaries, text_or_empty
 from .features import STRUCTURE, Scaled, adam, sigmoid, structure
 
 SAMPLE = 20_000  # rows of each kind that the model is fitted on, at most
@@ -27,7 +27,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _structures(batches):
     for batch in batches:
-        flat = [structure(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        flat = [structure(t) for t in binaries(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.list_(pa.float32()))], ["doc_id", "x"])
 
 
@@ -130,9 +130,8 @@ def quality_scores(spark: SparkSession, documents: DataFrame, labels: DataFrame,
 def _kept(shared, threshold: float):
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            if texts:
-                x = np.array([structure(t or b"") for t in texts], np.float32).astype(np.float64)
+            if batch.num_rows:
+                x = np.array([structure(t or b"") for t in binaries(batch.column(batch.schema.get_field_index("text")))], np.float32).astype(np.float64)
                 yield batch.filter(pa.array(shared.value.scores(x) >= threshold))
 
     return run
