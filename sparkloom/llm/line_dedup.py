@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .common import Tables
 
 MIN_SITES = 5
-MAX_SHARE = 0.5
 LG_K = 12
 BAND = 0.1  # six standard errors of a sketch with 2^12 registers (1.04 / 2^6 each)
 SALTS = 16
@@ -31,43 +30,50 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(_trim(line))
 
 
+def _of(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows whose line is among the lines; rows of a common line are dealt out by their salt too."""
+    salted = lines.select("line", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))).alias("salt"))
+    return rows.join(salted, ["line", "salt"], "left_semi")
+
+
 def boilerplate(documents: DataFrame, text: str, site: str, min_sites: int = MIN_SITES) -> DataFrame:
     """The hashes (line) of lines with words that occur on min_sites distinct non-null sites or more."""
-    lines = documents.select(F.col(site).cast("string").alias("site"), F.explode(_lines(F.col(text))).alias("line")).where(F.col("site").isNotNull() & (_trim(F.col("line")) != "")).select(_hash(F.col("line")).alias("line"), "site")
+    salt = F.pmod(F.xxhash64("doc_id", site), F.lit(SALTS)).alias("salt")
+    lines = documents.select(F.col(site).cast("string").alias("site"), salt, F.explode(_lines(F.col(text))).alias("line")).where(F.col("site").isNotNull() & (_trim(F.col("line")) != "")).select(_hash(F.col("line")).alias("line"), "site", "salt")
     sites = lines.groupBy("line").agg(F.min("site").alias("least"), F.max("site").alias("most"))
-    spread = sites.where("least != most").select("line")
     if min_sites < 2:
         return sites.select("line")
-    shared = lines.join(spread, "line", "left_semi")
+    shared = _of(lines, sites.where("least != most"))
     sketches = (
-        shared.groupBy("line", F.pmod(F.xxhash64("site"), F.lit(SALTS)).alias("salt")).agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
+        shared.groupBy("line", "salt").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
         .groupBy("line").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites"))
     )
     near = (F.col("sites") >= min_sites * (1 - BAND) - 1) & (F.col("sites") <= min_sites * (1 + BAND) + 1)
+    # distinct pairs are made before rows meet by line
     exact = (
-        shared.join(sketches.where(near).select("line"), "line", "left_semi").distinct()
+        _of(lines, sketches.where(near)).select("line", "site").distinct()
         .groupBy("line").count().where(F.col("count") >= min_sites).select("line")
     )
     return sketches.where(~near & (F.col("sites") >= min_sites)).select("line").unionByName(exact)
 
 
-def line_dedup(spark: SparkSession, documents: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, site: str = "source") -> DataFrame:
+def line_dedup(spark: SparkSession, documents: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = None, site: str = "source") -> DataFrame:
     """documents(doc_id, text, site) -> doc_id, n_lines, n_removed, clean_text: one row for each input row.
 
-    Lines are split at line feeds. Lines that occur on `min_sites` distinct sites or more are removed, unless
-    they make up more than `max_share` of a document's characters without line feeds: such a document is itself
-    a widespread text, not a page with boilerplate, and stays whole for near-duplicate removal. Lines without
-    words are never removed. A null site gives no evidence, a null text has no lines and stays null. Rows that
-    repeat a doc_id and text are treated alike. Other columns are not read.
+    Lines are split at line feeds. Lines that occur on `min_sites` distinct sites or more are removed, whatever
+    their share of a document; only a document with no other lines with words stays whole: it is itself a
+    widespread text, for near-duplicate removal. With a `max_share`, documents of which they are more than that
+    share of the characters without line feeds stay whole instead. Lines without words are never removed. A null
+    site gives no evidence, a null text has no lines and stays null. Rows that repeat a doc_id and text are
+    treated alike. Other columns are not read. An empty table gives an empty result.
     """
     return _cleaned(spark, documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(site).cast("string").alias("site")), min_sites, max_share).select("doc_id", "n_lines", "n_removed", "clean_text")
 
 
-def lines_cut(spark: SparkSession, documents: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE, site: str = "source") -> DataFrame:
+def lines_cut(spark: SparkSession, documents: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = None, site: str = "source") -> DataFrame:
     """documents with those lines cut out of text, and n_chars to match where there is one; all columns stay.
 
-    Without a max_share, such lines go whatever their share of a document; only a document with no other lines
-    with words stays whole, for near-duplicate removal.
+    Nulls, empty texts, empty tables and rows that repeat are treated as line_dedup() does; no row goes.
     """
     rows = documents.select("doc_id", "text", F.col(site).cast("string").alias("site"), F.struct(*documents.columns).alias("row"))
     cut = _cleaned(spark, rows, min_sites, max_share)

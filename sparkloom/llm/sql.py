@@ -21,7 +21,7 @@ _LINES = f"""WITH l AS (SELECT DISTINCT source, {_TRIM.format('line')} AS line F
     gone AS (SELECT line FROM l WHERE line <> '' GROUP BY 1 HAVING count(*) >= 5),
     g AS (SELECT list(line) AS gone FROM gone),
     d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, {_TRIM.format('x')})) AS kept FROM documents, g),
-    c AS (SELECT *, len(kept) < len(lines) AND length(replace(text, chr(10), '')) - length(array_to_string(kept, '')) <= 0.5 * length(replace(text, chr(10), '')) AS cut FROM d)
+    c AS (SELECT *, len(kept) < len(lines) AND len(list_filter(kept, lambda x: {_TRIM.format('x')} <> '')) > 0 AS cut FROM d)
     SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, CASE WHEN cut THEN len(lines) - len(kept) ELSE 0 END::BIGINT AS n_removed, CASE WHEN cut THEN array_to_string(kept, chr(10)) ELSE text END AS clean_text FROM c"""
 
 _SAID = r"'<|' || coalesce(role, '') || '|>' || chr(10) || replace(replace(coalesce({}, ''), '\', '\\'), '<|', '<\|') || chr(10)"
