@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import binaries, text_or_empty
 
 WINDOW = 10
-BLOCK_CHARS = 8_000_000  # item text in one broadcast automaton; more items make more automata
+BLOCK_CHARS = 1_000_000  # item text in one automaton of 10 MB or so; more items make more automata, each with a pass of its own
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _WORD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -28,42 +31,11 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD).split()
 
 
-class Automaton:
-    """Generalised suffix automaton; at(state) are the items with a window that ends there."""
+class _Growing:
+    """The automaton while it grows, a dict of transitions for each state."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.window, self.words = window, {}
+    def __init__(self):
         self.next, self.link, self.len = [{}], [-1], [0]
-        self.short: dict[int, set[str]] = {}  # state -> items shorter than the window that end there
-        full: dict[int, set[str]] = {}
-        grams, tokens = set(), []
-        for name, text in items:
-            ids = [self.words.setdefault(w, len(self.words)) for w in words_of(text)]
-            tokens.append((name, ids))
-            last = 0
-            for w in ids:
-                last = self._add(last, w)
-        self.shortest = min((min(len(ids), window) for _, ids in tokens if ids), default=0)
-        for name, ids in tokens:  # where each item's windows end, in the finished automaton
-            grams.update((x << 32) | y for x, y in zip(ids, ids[1:]))
-            state = length = 0
-            for i, w in enumerate(ids):
-                state, length = self.step(state, length, w)
-                if len(ids) < window and i == len(ids) - 1:
-                    self.short.setdefault(self._cut(state, len(ids)), set()).add((len(ids), name))
-                elif i >= window - 1:
-                    full.setdefault(self._cut(state, window), set()).add(name)
-        self.full = full
-        self.grams = np.array(sorted(grams), np.int64)
-        self.above = [-1] * len(self.link)  # the nearest state up the links, itself included, where short items end
-        for v in sorted(range(1, len(self.link)), key=self.len.__getitem__):
-            self.above[v] = v if v in self.short else self.above[self.link[v]] if self.link[v] >= 0 else -1
-
-    def _cut(self, state: int, length: int) -> int:
-        """The state of the suffix of that length."""
-        while self.link[state] >= 0 and self.len[self.link[state]] >= length:
-            state = self.link[state]
-        return state
 
     def _clone(self, p: int, q: int, w: int) -> int:
         c = len(self.len)
@@ -74,7 +46,7 @@ class Automaton:
             p = self.link[p]
         return c
 
-    def _add(self, last: int, w: int) -> int:
+    def add(self, last: int, w: int) -> int:
         if (q := self.next[last].get(w)) is not None:
             return q if self.len[q] == self.len[last] + 1 else self._clone(last, q, w)
         v, p = len(self.len), last
@@ -87,20 +59,71 @@ class Automaton:
             self.link[v] = q if self.len[q] == self.len[p] + 1 else self._clone(p, q, w)
         return v
 
+
+class Automaton:
+    """Generalised suffix automaton over items, frozen to arrays: some 12 bytes a transition, 8 a state.
+
+    A transition is looked up as state << 32 | word among the sorted keys. window_at(state) are the items with a
+    window that ends in the state; short holds items shorter than the window by the state where they end.
+    """
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        self.window, self.words, self.names = window, {}, sorted({name for name, _ in items})
+        nth = {name: i for i, name in enumerate(self.names)}
+        tokens = [(nth[name], [self.words.setdefault(w, len(self.words)) for w in words_of(text)]) for name, text in items]
+        grown = _Growing()
+        for _, ids in tokens:
+            last = 0
+            for w in ids:
+                last = grown.add(last, w)
+        arrows = sorted((state << 32 | w, to) for state, out in enumerate(grown.next) for w, to in out.items())
+        self.keys, self.to = array("q", (k for k, _ in arrows)), array("i", (t for _, t in arrows))
+        self.link, self.len = array("i", grown.link), array("i", grown.len)
+        del grown, arrows
+        self.shortest = min((min(len(ids), window) for _, ids in tokens if ids), default=0)
+        self.short: dict[int, set[tuple[int, int]]] = {}
+        ends, grams = set(), set()
+        for item, ids in tokens:  # where each item's windows end
+            grams.update(x << 32 | y for x, y in zip(ids, ids[1:]))
+            state = length = 0
+            for i, w in enumerate(ids):
+                state, length = self.step(state, length, w)
+                if len(ids) < window and i == len(ids) - 1:
+                    self.short.setdefault(self._cut(state, len(ids)), set()).add((len(ids), item))
+                elif i >= window - 1:
+                    ends.add(self._cut(state, window) << 32 | item)
+        self.ends, self.grams = array("q", sorted(ends)), np.array(sorted(grams), np.int64)
+        self.above = array("i", [-1]) * len(self.link)  # the nearest state up the links, itself included, where short items end
+        if self.short:
+            for v in sorted(range(1, len(self.link)), key=self.len.__getitem__):
+                self.above[v] = v if v in self.short else self.above[self.link[v]] if self.link[v] >= 0 else -1
+
+    def _cut(self, state: int, length: int) -> int:
+        """The state of the suffix of that length."""
+        while self.link[state] >= 0 and self.len[self.link[state]] >= length:
+            state = self.link[state]
+        return state
+
+    def window_at(self, state: int) -> list[int]:
+        return [e & 0xFFFFFFFF for e in self.ends[bisect_left(self.ends, state << 32) : bisect_left(self.ends, (state + 1) << 32)]]
+
     def step(self, state: int, length: int, w: int) -> tuple[int, int]:
-        while state and w not in self.next[state]:
+        while True:
+            key = state << 32 | w
+            at = bisect_left(self.keys, key)
+            if at < len(self.keys) and self.keys[at] == key:
+                return self.to[at], length + 1
+            if not state:
+                return 0, 0
             state = self.link[state]
             length = self.len[state]
-        if w in self.next[state]:
-            return self.next[state][w], length + 1
-        return 0, 0
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans [start, end) of hit words, merged and in order, and the items with occurring windows."""
         spans: list[list[int]] = []
-        items: set[str] = set()
+        items: set[int] = set()
         if not self.shortest or len(words) < self.shortest:
-            return spans, items
+            return spans, set()
         get = self.words.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         known = ids >= 0
@@ -123,13 +146,13 @@ class Automaton:
                 reach = 0
                 if length >= self.window:
                     reach = length
-                    items |= self.full.get(self._cut(state, self.window), ())
+                    items.update(self.window_at(self._cut(state, self.window)))
                 if self.short:
                     v = self.above[state]
                     while v > 0:
-                        for n, name in self.short[v]:
+                        for n, item in self.short[v]:
                             if n <= length:
-                                items.add(name)
+                                items.add(item)
                                 reach = max(reach, n)
                         v = self.above[self.link[v]] if self.link[v] > 0 else -1
                 if reach:
@@ -137,7 +160,7 @@ class Automaton:
                     while spans and spans[-1][1] >= start:
                         start = min(start, spans.pop()[0])
                     spans.append([start, i + 1])
-        return spans, items
+        return spans, {self.names[i] for i in items}
 
 
 def _match(shared):
@@ -151,7 +174,7 @@ def _match(shared):
                 words = words_of(text)
                 s, found = automaton.scan(words)
                 n.append(len(words)), spans.append([{"start": b, "end": e} for b, e in s]), items.append(sorted(found))
-                key.append(hashlib.blake2b(text, digest_size=16).digest())
+                key.append(hashlib.sha256(text).digest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
                 ["doc_id", "text_key", "n_words", "spans", "items"],
@@ -164,7 +187,8 @@ _MATCHES = "doc_id long, text_key binary, n_words long, spans array<struct<start
 
 
 def automata(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW) -> list:
-    """Broadcast automata over all items, each over BLOCK_CHARS characters of item text or about so."""
+    """Broadcast automata over all items, each over BLOCK_CHARS characters of item text or about so. A task reads one of
+    them; the driver holds all, some ten bytes for each character of the benchmark."""
     items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + chars // BLOCK_CHARS
@@ -181,10 +205,15 @@ def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, win
 
     One row for each input row. A window is `window` consecutive words of an item, or all words of an item
     with fewer; an item without words has none. Null texts have no words. Items that share an item_id count
-    once. Other columns are not read; an empty benchmark hits nothing.
+    once. Other columns are not read; an empty benchmark hits nothing, and empty documents give an empty result.
     """
+    return _merged(documents, automata(spark, benchmark, window))
+
+
+def _merged(documents: DataFrame, blocks: list) -> DataFrame:
+    """Spans and items by all automata; each has its own pass over the documents."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    parts = [docs.mapInArrow(_match(x), _MATCHES) for x in automata(spark, benchmark, window)]
+    parts = [docs.mapInArrow(_match(x), _MATCHES) for x in blocks]
     if len(parts) == 1:
         return parts[0]
     found = parts[0]
@@ -201,44 +230,56 @@ def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, win
     )
 
 
-def _cleaned(shared, window: int, most: float):
-    """Rows of documents without the words that are hit; the rest of the columns as they are."""
+def _without(text: str, hit: np.ndarray) -> str:
+    """text without its hit words; of words hit one after another, what lies between them goes too."""
+    where = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(_LOWER))]
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+    out, last = [], 0
+    for b, e in edge.reshape(-1, 2).tolist():
+        out.append(text[last : where[b][0]])
+        last = where[e - 1][1]
+    return "".join([*out, text[last:]])
+
+
+def _cleaned(shared, most: float):
+    """Rows of documents without the words that are hit; the rest of the columns as they are. Hits are in the column
+    spans, or found with the one automaton that is shared."""
 
     def run(batches):
-        word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-        lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts, keep = [], []
+            schema = batch.schema if shared else batch.schema.remove(batch.schema.get_field_index("spans"))
+            at, texts, keep = batch.schema.get_field_index("text"), [], []
             for i, text in enumerate(x.as_py() for x in batch.column(at)):
                 words = words_of(text.encode()) if text else []
-                spans = []
-                for x in shared:
-                    spans += x.value.scan(words)[0]
+                spans = shared.value.scan(words)[0] if shared else [(s["start"], s["end"]) for s in batch.column("spans")[i].as_py() or ()]
                 if spans:
                     hit = np.zeros(len(words), bool)
                     for b, e in spans:
                         hit[b:e] = True
                     if hit.mean() > most:
                         continue
-                    where = [m.span() for m in word.finditer(text.translate(lower))]
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-                    out, last = [], 0
-                    for b, e in edge.reshape(-1, 2).tolist():
-                        out.append(text[last : where[b][0]])
-                        last = where[e - 1][1]
-                    text = "".join([*out, text[last:]])
+                    text = _without(text, hit)
                 texts.append(text), keep.append(i)
-            kept = batch.take(pa.array(keep, pa.int64()))
-            columns = [pa.array(texts, kept.column(at).type) if i == at else c for i, c in enumerate(kept.columns)]
-            if (k := batch.schema.get_field_index("n_chars")) >= 0:
+            kept = batch.select(schema.names).take(pa.array(keep, pa.int64()))
+            columns = [pa.array(texts, c.type) if n == "text" else c for n, c in zip(schema.names, kept.columns, strict=True)]
+            if (k := schema.get_field_index("n_chars")) >= 0:
                 columns[k] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[k].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
 def decontaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: float = 0.5) -> DataFrame:
     """documents with the hit words cut out of text, and n_chars to match; a document of which more than the
-    share `most` is hit goes whole. All columns stay; null and empty texts stay as they are."""
-    return documents.mapInArrow(_cleaned(automata(spark, benchmark, window), window, most), documents.schema)
+    share `most` is hit goes whole. All columns stay; null and empty texts stay as they are, as does everything
+    with an empty benchmark. Rows that repeat are cut each; an empty table gives an empty result. A benchmark of
+    one block takes one pass; of more, spans are found block by block and joined to the documents that have some.
+    """
+    blocks = automata(spark, benchmark, window)
+    if len(blocks) == 1:
+        return documents.mapInArrow(_cleaned(blocks[0], most), documents.schema)
+    hits = _merged(documents, blocks).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"}).select("hit_id", "hit_key", "spans")
+    # a text is known by its id and the digest by which its spans were found
+    keyed = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.unhex(F.sha2(text_or_empty(), 256)).alias("own_key"))
+    met = keyed.join(hits, F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_key") == F.col("hit_key")), "left")
+    return met.select(*(F.col("row")[c].alias(c) for c in documents.columns), "spans").mapInArrow(_cleaned(None, most), documents.schema)

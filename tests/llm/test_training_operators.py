@@ -173,7 +173,7 @@ def brute_matches(docs, items, window=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [8_000_000, 300])
+@pytest.mark.parametrize("block", [1_000_000, 300])
 def test_decontamination_matches_brute_force(spark, monkeypatch, tmp_path, block):
     from sparkloom.llm import decontaminate
 
@@ -190,14 +190,28 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, tmp_path, block
     assert all(r.contaminated == (r.n_hit > 0) for r in got)
 
 
-def test_decontaminated_texts_have_no_windows_left(spark):
+def test_decontamination_of_nothing_and_by_nothing(spark):
+    from sparkloom.llm.decontaminate import decontaminated, matches
+
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    docs, none = documents(spark, [(1, "some words"), (2, None)]), documents(spark, [])
+    assert matches(spark, none, bench).count() == decontaminated(spark, none, bench).count() == 0
+    assert [(r.n_words, r.spans, r["items"]) for r in matches(spark, docs, bench.limit(0)).orderBy("doc_id").collect()] == [(2, [], []), (0, [], [])]
+    assert sorted(r.doc_id for r in decontaminated(spark, docs, bench.limit(0)).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("block", [1_000_000, 20])
+def test_decontaminated_texts_have_no_windows_left(spark, monkeypatch, block):
+    from sparkloom.llm import decontaminate
     from sparkloom.llm.decontaminate import decontaminated
 
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
     item = "one two three four five six seven eight nine ten eleven"
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    rows = [(1, f"Start here, and go on for a while, {item.upper()}. End of it all, with more words"), (2, item), (3, "clean"), (4, None), (5, "")]
-    got = {r.doc_id: r for r in decontaminated(spark, documents(spark, rows), bench).collect()}
-    assert got.keys() == {1, 3, 4, 5}
+    bench = spark.createDataFrame([(1, item), *((i, f"an item of its own number{i}") for i in range(2, 9))], "item_id long, text string")
+    rows = [(1, f"Start here, and go on for a while, {item.upper()}. End of it all, with more words"), (2, item), (3, "clean"), (3, "clean"), (4, None), (5, ""), (None, "no id")]
+    found = decontaminated(spark, documents(spark, rows), bench).collect()
+    got = {r.doc_id: r for r in found}
+    assert got.keys() == {1, 3, 4, 5, None} and len(found) == 6
     assert got[1].text == "Start here, and go on for a while, . End of it all, with more words" and got[1].n_chars == len(got[1].text)
     assert got[4].text is None and got[4].row == "y"
 
@@ -222,7 +236,7 @@ def test_line_dedup_matches_brute_force(spark):
     for d, t, _ in rows:
         lines = t.split("\n") if t is not None else []
         kept = [x for x in lines if x.strip() not in gone]
-        cut = sum(map(len, lines)) - sum(map(len, kept)) <= 0.5 * sum(map(len, lines))
+        cut = any(x.strip() for x in kept)
         want.append((d, len(lines), len(lines) - len(kept) if cut else 0, "\n".join(kept) if cut and t is not None else t))
     docs = documents(spark, rows)
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in line_dedup(spark, docs).collect())
