@@ -18,13 +18,15 @@ from sparkloom.llm.quality import quality_kept
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents scored below its threshold go."""
+    """Operator 4: documents scored below its threshold go. Null and empty texts are scored as texts without words;
+    rows that repeat are scored each; without labels, or of an empty table, nothing goes."""
     return quality_kept(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2, but for its exemption: lines that many sites share are cut out of all documents that have others."""
-    return lines_cut(spark, docs, max_share=None)
+    """Operator 2: lines that many sites share are cut out of all documents that have others. No row goes; null and
+    empty texts stay as they are, and a null source gives no evidence."""
+    return lines_cut(spark, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +44,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: words inside windows of benchmark items are cut out; documents mostly made of them go."""
+    """Operator 6: words inside windows of benchmark items are cut out; documents mostly made of them go. Null and
+    empty texts stay, and with an empty benchmark everything does."""
     return decontaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: sequences of 2048 tokens."""
+    """Operator 10: sequences of 2048 tokens; a null or empty text is one token, rows that repeat are packed each."""
     return packed(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -57,10 +60,12 @@ ORACLE_SQL = None  # classifier, near-dedup and packing have no SQL form; tests
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written to the shared folder and reread."""
+    """All stages over the documents of sf_dir, each written to the shared folder and reread. A stage's table goes
+    once the next one is written; the last one's stays, for the packing reads it."""
     docs, tables = table(spark, sf_dir, "documents"), Tables(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = tables.keep(docs, f"stage-{i}")
+            tables.drop(f"stage-{i - 1}")
     return docs
