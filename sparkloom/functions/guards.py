@@ -17,18 +17,24 @@ INPUT_PATTERNS = (
     r"\b(act|pretend)\b.*\bas\b.*\b(developer|system)\b",
     r"\byou are now\b.*\b(developer|system)\b",
 )
+# Fixed patterns: in either case, on the answer as it is.
 OUTPUT_PATTERNS = (
-    r"\bapi[_ -]?key\s*[:=]\s*\S+",
-    r"\bpassword\s*[:=]\s*\S+",
-    r"\bbearer\s+[a-z0-9._-]{16,}",
-    r"\bsk-[a-z0-9]{20,}",
-    r"\baiza[a-z0-9_-]{20,}",
-    r"\bmy system prompt (is|says)\b",
-    r"\bmy hidden instructions\b",
+    r"\b(api|secret|access)\s*key\s*(is|:|=)\s*\S+",
+    r"\bpassword\s*(is|:|=)\s*\S+",
+    r"\bbearer\s+[a-zA-Z0-9._\-]+",
+    r"\bsk-[a-zA-Z0-9]{20,}\b",
+    r"\bAIza[a-zA-Z0-9_\-]{20,}\b",
+    r"\b(my|the)\s+system\s+prompt\s+(is|contains|says)\b",
+    r"\bhere\s+(is|are)\s+(my|the)\s+(hidden|internal|system)\s+instructions?\b",
 )
+# Fixed words: what a statement may not hold.
 BLOCKED = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "TRUNCATE", "CREATE", "REPLACE", "GRANT", "REVOKE", "EXEC", "CALL")
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def _any(text: Column, patterns) -> Column:
     hit = F.lit(False)
     for p in patterns:
@@ -37,14 +43,15 @@ def _any(text: Column, patterns) -> Column:
 
 
 def input_reason(message: Column, most: int = 1000) -> Column:
-    """Why a message is refused, or null."""
-    text = F.coalesce(message, F.lit(""))
-    return F.when(F.trim(text) == "", "empty").when(F.length(text) > most, "too_long").when(_any(F.lower(text), INPUT_PATTERNS), "injection")
+    """Why a message is refused, or null; white space around it doesn't count."""
+    text = _stripped(message)
+    return F.when(text == "", "empty").when(F.length(text) > most, "too_long").when(_any(F.lower(text), INPUT_PATTERNS), "injection")
 
 
 def output_reason(answer: Column) -> Column:
-    text = F.coalesce(answer, F.lit(""))
-    return F.when(F.trim(text) == "", "empty").when(_any(F.lower(text), OUTPUT_PATTERNS), "sensitive")
+    """Why an answer is held back, or null."""
+    text = _stripped(answer)
+    return F.when(text == "", "empty").when(_any(text, [f"(?i){p}" for p in OUTPUT_PATTERNS]), "sensitive")
 
 
 def routed(agents: Column, allowed: tuple[str, ...], most: int = 2, fallback: str = "sql_agent") -> Column:

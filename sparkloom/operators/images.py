@@ -83,11 +83,20 @@ def visible_fraction(x0: Column, y0: Column, x1: Column, y1: Column, width: Colu
     return F.coalesce(inside / F.nullif((x1 - x0) * (y1 - y0), F.lit(0.0)), F.lit(0.0))
 
 
+def clipped(images: DataFrame) -> DataFrame:
+    """images with boxes cut to their page."""
+    inside = lambda c, most: F.least(F.greatest(F.col(c), F.lit(0.0)), F.col(most))
+    return images.withColumns({"ix0": inside("ix0", "width"), "iy0": inside("iy0", "height"), "ix1": inside("ix1", "width"), "iy1": inside("iy1", "height")})
+
+
 def nearest_blocks(images: DataFrame, blocks: DataFrame, n: int = 5) -> DataFrame:
     """images(doc, page, image_id, ix0..iy1, width, height) and blocks(doc, page, x0..y1, text): the n nearest blocks
-    of each image on its page, with relation and distance."""
-    j = images.join(blocks, ["doc", "page"])
-    over = lambda a0, a1, b0, b1: F.greatest(F.least(F.col(a1), F.col(b1)) - F.greatest(F.col(a0), F.col(b0)), F.lit(0.0)) / F.greatest(F.least(F.col(a1) - F.col(a0), F.col(b1) - F.col(b0)), F.lit(1.0))
+    of each image on its page, with relation and distance. Image boxes are cut to the page first; blocks that a
+    column `boilerplate` marks are left out."""
+    kept = blocks.where("NOT coalesce(boilerplate, false)") if "boilerplate" in blocks.columns else blocks
+    j = clipped(images).join(kept, ["doc", "page"])
+    length = lambda a, b: F.greatest(F.col(b) - F.col(a), F.lit(1.0))
+    over = lambda a0, a1, b0, b1: F.greatest(F.least(F.col(a1), F.col(b1)) - F.greatest(F.col(a0), F.col(b0)), F.lit(0.0)) / F.least(length(a0, a1), length(b0, b1))
     v, h = over("iy0", "iy1", "y0", "y1"), over("ix0", "ix1", "x0", "x1")
     gap_x = F.greatest(F.col("x0") - F.col("ix1"), F.col("ix0") - F.col("x1"), F.lit(0.0)) / F.col("width")
     gap_y = F.greatest(F.col("y0") - F.col("iy1"), F.col("iy0") - F.col("y1"), F.lit(0.0)) / F.col("height")
@@ -102,20 +111,26 @@ def nearest_blocks(images: DataFrame, blocks: DataFrame, n: int = 5) -> DataFram
 
 
 def heading_level(text: Column) -> Column:
-    """1, 2 or null, by prefix, capitals and word count."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    letters = F.regexp_replace(text, r"(?U)[^\p{L}]", "")
-    capitals = F.length(F.regexp_replace(letters, r"(?U)[^\p{Lu}]", "")) / F.nullif(F.length(letters), F.lit(0))
+    """1, 2 or null, by prefix, capitals and words."""
+    line = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    tokens = F.size(F.split(line, " "))
+    letters = F.regexp_replace(line, r"\P{L}", "")
+    capitals = F.length(F.regexp_replace(letters, r"\P{Lu}", "")) / F.nullif(F.length(letters), F.lit(0))
+    words = F.regexp_extract_all(line, F.lit(r"\p{L}+"), F.lit(0))
     long = F.filter(words, lambda w: F.length(w) > 2)
     upper = F.size(F.filter(long, lambda w: w.rlike(r"^\p{Lu}"))) / F.nullif(F.size(long), F.lit(0))
     return (
-        F.when((F.length(text) > 180) | (n > 22) | (n == 0), None).when(text.rlike(r"[.!?]\s*$") & (n > 8), None)
-        .when(text.rlike(r"^\s*(\d+(\.\d+)*[.)]?|[IVXLC]+[.)]|[A-Z]\.)\s+\S"), 1).when(capitals >= 0.8, 1)
-        .when(n.between(4, 14) & ~text.rlike("[:|]") & (upper >= 0.6), 2)
+        F.when((line == "") | (F.length(line) > 180) | (tokens > 22), None).when(line.rlike(r"[.!?]$") & (tokens > 8), None)
+        .when(line.rlike(r"^(?:\d+(?:\.\d+)*[.)]?|[IVXLCDM]+[.)]|[A-Z][.)])\s+\S"), 1).when(capitals >= 0.8, 1)
+        .when(F.size(words).between(4, 14) & ~line.rlike("[:|]") & (upper >= 0.6), 2)
     )
 
 
+def section_number(text: Column) -> Column:
+    """The number that a heading starts with, '2.1' of '2.1) Scope'; null without one."""
+    return F.nullif(F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)*)[.)]?\s+", 1), F.lit(""))
+
+
 def sections_of(images: DataFrame, headings: DataFrame) -> DataFrame:
     """images(doc, image_id, page, y), headings(doc, page, y, level, title): the last level-1 heading at or before the
     image, else the last of any level. An as-of lookup: both are put in one order, and the last seen is carried."""
@@ -126,32 +141,66 @@ def sections_of(images: DataFrame, headings: DataFrame) -> DataFrame:
     return rows.where("kind = 1").select("doc", "image_id", F.coalesce("first", "any").alias("section_title"))
 
 
-def ocr_lines(tsv: DataFrame, least: float = 0.0) -> DataFrame:
-    """tsv(image_id, line): rows of twelve tab-separated fields -> image_id, block, par, line_no, text, confidence."""
-    f = F.split("line", "\t", 12)
-    rows = tsv.where(F.size(f) >= 12).select("image_id", *(f[i].try_cast("int").alias(n) for i, n in ((1, "page"), (2, "block"), (3, "par"), (4, "line_no"), (5, "word"))), f[10].try_cast("double").alias("conf"), F.trim(f[11]).alias("text"))
-    kept = rows.where((F.col("conf") >= least) & (F.col("text") != "") & F.col("word").isNotNull())
-    return kept.groupBy("image_id", "page", "block", "par", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda x: x["text"]), " ").alias("text"), F.bround(F.avg("conf"), 2).alias("confidence"))
-
-
-def ocr_problems(text: Column, confidence: Column) -> Column:
-    """Reasons against an OCR text; empty if it is good."""
-    words = F.regexp_extract_all(text, F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0))
-    n = F.size(words)
-    good = F.size(F.filter(words, lambda w: F.length(w) >= 3))
-    coherent = F.size(F.filter(words, lambda w: w.rlike(r"(?U)^\p{L}{2,}$")))
-    single = F.size(F.filter(words, lambda w: F.length(w) == 1))
-    solid = F.length(F.regexp_replace(text, r"(?U)\s", ""))
-    alpha = F.length(F.regexp_replace(text, r"(?U)[^\p{L}]", "")) / F.nullif(solid, F.lit(0))
-    odd = F.length(F.regexp_replace(text, r"(?U)[\p{IsLatin}\p{IsArabic}\P{L}]", "")) / F.nullif(solid, F.lit(0))
-    share = lambda x: x / F.nullif(n, F.lit(0))
-    return F.array_compact(F.array(
-        F.when(F.length(F.trim(text)) < 6, "too_short"), F.when(confidence < 60, "low_confidence"), F.when(good < 3, "few_meaningful_words"), F.when(coherent < 4, "few_coherent_words"),
-        F.when(share(coherent) < 0.45, "incoherent"), F.when(alpha < 0.65, "few_letters"), F.when(share(single) > 0.30, "single_characters"), F.when(odd > 0.10, "unsupported_script"),
+def ocr_lines(tsv: DataFrame, least: float = 45.0) -> DataFrame:
+    """tsv(image_id, line_at, line): rows of twelve tab-separated fields -> image_id, text, words, confidence.
+
+    Words of the least confidence or more are put together by page, block, paragraph and line, in the order of the
+    rows; lines follow each other. Confidence is the mean over the image's words, to two places, halves to even.
+    Rows that are shorter or hold no numbers where they should (a header too) are left out; an image without words
+    has no row.
+    """
+    f = F.split("line", "\t", -1)
+    place = [f[i].try_cast("int").alias(n) for i, n in ((1, "page"), (2, "block"), (3, "par"), (4, "line_no"))]
+    rows = tsv.where(F.size(f) >= 12).select("image_id", "line_at", *place, f[10].try_cast("double").alias("conf"), F.regexp_replace(f[11], r"(?U)^\s+|\s+$", "").alias("word"))
+    keys = ["page", "block", "par", "line_no"]
+    kept = rows.where((F.col("conf") >= least) & (F.col("word") != "")).dropna(subset=keys)
+    lines = kept.groupBy("image_id", *keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_at", "word"))), lambda x: x["word"]), " ").alias("text"), F.count("*").alias("n"), F.sum("conf").alias("c"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, "text"))), lambda x: x["text"]), "\n")
+    return lines.groupBy("image_id").agg(whole.alias("text"), F.sum("n").alias("words"), F.bround(F.sum("c") / F.sum("n"), 2).alias("confidence"))
+
+
+VOWELS = "aeiouyàâäæçéèêëîïôöœùûüÿ"  # fixed: a Latin word without one of them is noise
+_OCR_WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
+_CYRILLIC = ("rus", "srp", "ukr", "bul")
+
+
+def _coherent(word: Column, languages: str) -> Column:
+    """Four letters or more; of a script that a language has, Latin ones with a vowel."""
+    codes, letters = set(languages.lower().split("+")), F.regexp_replace(word, r"\P{L}", "")
+    by_script = F.when(letters.rlike(r"[\u0600-\u06FF]"), F.lit("ara" in codes)).when(letters.rlike(r"[\u0400-\u052F]"), F.lit(bool(codes & {*_CYRILLIC})))
+    return (F.length(letters) >= 4) & by_script.otherwise(F.lower(letters).rlike(f"[{VOWELS}]"))
+
+
+def ocr_quality(text: Column, confidence: Column, languages: str = "eng", length: int = 6, mean: float = 60.0, meaningful: int = 3) -> Column:
+    """struct(meaningful, coherent, coherent_ratio, alphabetic_ratio, single_ratio, unsupported_ratio, reasons); no
+    reasons, no objection. The names of the reasons and their limits are fixed."""
+    codes = set(languages.lower().split("+"))
+    words = F.regexp_extract_all(text, F.lit(_OCR_WORD), F.lit(0))
+    n_letters = lambda c: F.length(F.regexp_replace(c, r"\P{L}", ""))
+    full = F.filter(words, lambda w: n_letters(w) >= 2)
+    good = F.size(F.filter(full, lambda w: _coherent(w, languages)))
+    alphabetic = n_letters(text) / F.greatest(F.lit(1), F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")))
+    single = F.size(F.filter(words, lambda w: F.length(w) == 1)) / F.greatest(F.lit(1), F.size(words))
+    allowed = r"\x{0}-\x{24F}" + (r"\u0600-\u06FF" if "ara" in codes else "") + (r"\u0400-\u052F" if codes & {*_CYRILLIC} else "")
+    odd = F.length(F.regexp_replace(F.regexp_replace(text, r"\P{L}", ""), f"[{allowed}]", "")) / F.greatest(F.lit(1), n_letters(text))
+    ratio = good / F.greatest(F.lit(1), F.size(full))
+    reasons = F.array_compact(F.array(
+        F.when(F.length(text) < length, "too_short"), F.when(confidence.isNull() | (confidence < mean), "low_mean_confidence"),
+        F.when(F.size(full) < meaningful, "too_few_meaningful_words"), F.when(good < 4, "too_few_coherent_words"), F.when(ratio < 0.45, "low_coherent_word_ratio"),
+        F.when(alphabetic < 0.65, "low_alphabetic_ratio"), F.when(single > 0.30, "too_many_single_character_tokens"), F.when(odd > 0.10, "unsupported_script_noise"),
     ))
+    four = lambda c, n: F.bround(c, 4).alias(n)
+    return F.struct(F.size(full).alias("meaningful"), good.alias("coherent"), four(ratio, "coherent_ratio"), four(alphabetic, "alphabetic_ratio"), four(single, "single_ratio"), four(odd, "unsupported_ratio"), reasons.alias("reasons"))
 
 
 def clean_ocr(text: Column) -> Column:
-    """Words cut at line ends put together; lines without letters or digits dropped."""
-    joined = F.regexp_replace(text, r"(?U)(\p{L})-\n(\p{Ll})", "$1$2")
-    return F.array_join(F.filter(F.transform(F.split(joined, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x.rlike(r"(?U)[\p{L}\p{N}]")), "\n")
+    """Words cut at line ends put together, blanks collapsed, lines without letters or digits dropped."""
+    whole = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\x0c"), F.lit(" ")), r"(?U)(?<=\w)-\s*\n\s*(?=\w)", "")
+    lines = F.transform(F.split(F.regexp_replace(whole, r"[ \t]+", " "), r"\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.array_join(F.filter(lines, lambda x: x.rlike(r"[\p{L}\p{N}]")), "\n")
+
+
+def document_label(file_name: Column) -> Column:
+    """A file's name without its folder and ending, underscores and hyphens as blanks."""
+    stem = F.regexp_replace(F.regexp_replace(file_name, r"^.*[/\\]", ""), r"(?<=.)\.[^.]*$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(stem, r"[_\-]+", " "), r"(?U)\s+", " "))

@@ -137,8 +137,9 @@ def title_case(text: Column) -> Column:
 
 
 def status_key(status: Column) -> Column:
-    low = F.lower(F.trim(status))
-    return F.when(low.isin("accepted", "approved"), "accepted").when(low.isin("rejected", "declined"), "rejected").otherwise("pending")
+    """accepted or rejected, in any case and with blanks around; pending for all else and null."""
+    low = F.lower(F.regexp_replace(status, r"(?U)^\s+|\s+$", ""))
+    return F.when(low.isin("accepted", "rejected"), low).otherwise("pending")
 
 
 def overlay(new: Column, old: Column) -> Column:

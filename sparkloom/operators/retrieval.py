@@ -7,59 +7,82 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048  # queries broadcast at once
+TILE = 1024  # vectors packed into one row
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def check_sizes(k: int, candidates: int | None = None) -> None:
+    """k is a positive whole number, and there are as many candidates as results at least."""
+    for n in (k, *(() if candidates is None else (candidates,))):
+        if isinstance(n, bool) or not isinstance(n, int) or n < 1:
+            raise ValueError("sizes must be positive whole numbers")
+    if candidates is not None and candidates < k:
+        raise ValueError("there must be as many candidates as results at least")
 
 
-def _block_top(shared, k: int):
-    """The k nearest of a task's rows for each query of a block: no more than k rows a query leave a task."""
+def _tiles(rows: DataFrame, id_col: str, vector: str, section: str | None) -> DataFrame:
+    """TILE rows at a time packed into one: ids, sections as strings, and unit vectors as bytes of doubles."""
+
+    def pack(batches):
+        for batch in batches:
+            for b in range(0, batch.num_rows, TILE):
+                part = batch.slice(b, TILE)
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())], ["ids", "sections", "x"])
+
+    named = F.col(section).cast("string") if section else F.lit(None).cast("string")
+    return rows.select(F.col(id_col).cast("long").alias("i"), named.alias("s"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(pack, "ids array<long>, sections array<string>, x binary")
+
+
+def _tile_top(k: int, own: bool, gated: bool):
+    """Pairs of a tile of queries and one of rows -> the k best rows of the tile for each query, ties to smaller ids."""
 
     def run(batches):
-        ids, q, own = shared.value
-        best_s, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column(0).to_numpy()
-            x = _matrix(batch.column(1), q.shape[1])
-            s = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
-            if own:
-                s[ids[:, None] == names[None, :]] = -np.inf
-            s, i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(names, (len(ids), len(names)))])
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        keep = np.isfinite(best_s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], keep.shape)[keep]), pa.array(best_i[keep]), pa.array(best_s[keep])], ["query_id", "id", "score"])
+            for pair in batch.to_pylist():
+                asked, names = np.array(pair["q_ids"], np.int64), np.array(pair["ids"], np.int64)
+                q, x = (np.frombuffer(pair[c]).reshape(n, -1) for c, n in (("q_x", len(asked)), ("x", len(names))))
+                s = np.round(q @ x.T, 9)
+                if own:
+                    s[asked[:, None] == names[None, :]] = -np.inf
+                if gated:
+                    s[np.array(pair["q_sections"], object)[:, None] != np.array(pair["sections"], object)[None, :]] = -np.inf
+                kth = np.partition(s, max(len(names) - k, 0), axis=1)[:, max(len(names) - k, 0)]
+                r, c = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+                order = np.lexsort((names[c], -s[r, c], r))
+                r, c = r[order], c[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                yield pa.RecordBatch.from_arrays([pa.array(asked[r[keep]]), pa.array(names[c[keep]]), pa.array(s[r[keep], c[keep]])], ["query_id", "id", "score"])
 
     return run
 
 
+def _best(queries: DataFrame, corpus: DataFrame, k: int, exclude_own: bool = False, section: tuple[str, str] | None = None) -> DataFrame:
+    """queries (query_id, vector, ...) and corpus (id, vector, ...) -> the k best of each query, tile by tile. With a
+    pair of column names, only rows whose section is the query's."""
+    mine, theirs = section or (None, None)
+    q = _tiles(queries, "query_id", queries.columns[1], mine).toDF("q_ids", "q_sections", "q_x")
+    # every tile of queries meets every tile of rows: k rows a query leave each, and nothing passes the driver
+    pairs = _tiles(corpus, "id", corpus.columns[1], theirs).crossJoin(q)
+    return ranked(pairs.mapInArrow(_tile_top(k, exclude_own, section is not None), "query_id long, id long, score double"), k)
+
+
 def ranked(scores: DataFrame, k: int, by: str = "query_id", ties: Sequence[str] = ("id",)) -> DataFrame:
     """rank from 1 by falling score, at most k a query."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), *ties))).where(F.col("rank") <= k)
 
 
-def dense_topk(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: int, exclude_own: bool = False) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_own: bool = False) -> DataFrame:
     """(query_id, vector), (id, vector) -> query_id, rank, id, score: exact cosine in double precision, to nine places.
 
-    Queries go block by block to all rows; each task keeps the k best of its rows, so what is shuffled is
-    bounded by tasks * queries * k. Vectors must be non-zero and of one length.
+    Queries and rows are packed into tiles, and each pair of tiles gives k rows a query at most. Vectors must be
+    non-zero and of one length.
     """
-    blocks = -(-queries.count() // BLOCK)
-    found = spark.createDataFrame([], "query_id long, id long, score double")
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas() if blocks > 1 else queries.toPandas()
-        if len(rows):
-            q = np.stack(rows.iloc[:, 1].to_numpy()).astype(np.float64)
-            shared = spark.sparkContext.broadcast((rows.iloc[:, 0].to_numpy(), q / np.linalg.norm(q, axis=1, keepdims=True), exclude_own))
-            found = found.unionByName(corpus.mapInArrow(_block_top(shared, k), "query_id long, id long, score double"))
-    return ranked(found, k)
+    check_sizes(k)
+    return _best(queries, corpus, k, exclude_own)
 
 
 def normalised(vector: Column) -> Column:
@@ -109,15 +132,26 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = N
 
 
 def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(id, text), (query_id, text) -> query_id, rank, id, score > 0; queries without known terms have no rows."""
-    index, idf = tfidf(docs, "id", "text")
-    asked, _ = tfidf(queries, "query_id", "text", idf)
-    scores = asked.withColumnRenamed("weight", "qw").join(index, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score"))
+    """(id, text), (query_id, text) -> query_id, rank, id, score > 0; queries without known terms have no rows.
+
+    Lengths of documents come from one aggregation of their terms; weights are made for terms of the queries only.
+    """
+    check_sizes(k)
+    counts = docs.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
+    n = docs.agg(F.count("*").cast("double").alias("n"))  # one row
+    idf = counts.groupBy("term").count().crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("count"))) + 1).alias("idf"))
+    weight = ((1 + F.ln("c")) * F.col("idf")).alias("w")
+    norms = counts.join(idf, "term").select("id", weight).groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    said = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("c")).join(idf, "term").select("query_id", "term", "idf", weight)
+    asked = said.join(said.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm")), "query_id").select("query_id", "term", "idf", (F.col("w") / F.col("q_norm")).alias("qw"))
+    dots = counts.join(asked, "term").select("query_id", "id", (F.col("qw") * (1 + F.ln("c")) * F.col("idf")).alias("part")).groupBy("query_id", "id").agg(F.sum("part").alias("dot"))
+    scores = dots.join(norms, "id").select("query_id", "id", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
     return ranked(scores.where("score > 0"), k)
 
 
 def rrf(lists: Sequence[tuple[DataFrame, float]], k: int, constant: int = 60) -> DataFrame:
     """Weighted reciprocal-rank fusion of (query_id, id, rank) lists; ties by the first list and rank an id is in."""
+    check_sizes(k)
     if constant < 0 or any(w < 0 for _, w in lists) or not any(w for _, w in lists):
         raise ValueError("weights must be >= 0, not all 0, and the constant >= 0")
     parts = [df.select("query_id", "id", F.lit(i).alias("list_no"), "rank", (F.lit(float(w)) / (constant + F.col("rank"))).alias("part")) for i, (df, w) in enumerate(lists)]
@@ -128,6 +162,41 @@ def rrf(lists: Sequence[tuple[DataFrame, float]], k: int, constant: int = 60) ->
     return ranked(fused, k, ties=("first", "id")).drop("first")
 
 
+def hybrid(dense: DataFrame, lexical: DataFrame, k: int, candidates: int = 30, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+    """Fusion of the first `candidates` of a dense and a lexical ranking (query_id, rank, id)."""
+    check_sizes(k, candidates)
+    few = lambda df: df.where(F.col("rank") <= candidates)
+    return rrf([(few(dense), weights[0]), (few(lexical), weights[1])], k)
+
+
+def hybrid_reranked(dense: DataFrame, lexical: DataFrame, score: Callable[[DataFrame], DataFrame], k: int, rerank_k: int = 30) -> DataFrame:
+    """A fusion of max(30, rerank_k) candidates, put in the order of reranker_score, which `score` adds to the rows."""
+    check_sizes(k)
+    most = max(30, rerank_k)
+    return rerank(score(hybrid(dense, lexical, most, most)), F.col("reranker_score"), k)
+
+
+def multi_query(found: DataFrame, variants: DataFrame, k: int, candidates: int = 20) -> DataFrame:
+    """Fusion of the rankings of each question's variants: found (query_id, rank, id), variants (parent, query_id, text).
+
+    Variants with the same text count once, the one with the smallest query_id.
+    """
+    check_sizes(k, candidates)
+    once = variants.groupBy("parent", "text").agg(F.min("query_id").alias("query_id"))
+    rows = found.where(F.col("rank") <= candidates).join(once, "query_id")
+    fused = rows.groupBy(F.col("parent").alias("query_id"), "id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"), F.min(F.struct(F.col("query_id").alias("v"), "rank")).alias("first"))
+    return ranked(fused, k, ties=("first", "id")).drop("first")
+
+
+def query_variants(cache: DataFrame, questions: DataFrame, model: str, n: int) -> DataFrame:
+    """questions (query) with `variants`: the question first, then those that the cache (query, model, variant_count,
+    variants) holds for the model and number, without repeats and blanks; the question alone where it holds none."""
+    known = cache.where((F.col("model") == model) & (F.col("variant_count") == n)).groupBy("query").agg(F.max("variants").alias("more"))
+    trimmed = F.transform(F.coalesce("more", F.array().cast("array<string>")), lambda v: F.trim(v))
+    kept = F.filter(F.array_distinct(F.concat(F.array("query"), trimmed)), lambda v: v != "")
+    return questions.join(known, "query", "left").withColumn("variants", F.slice(kept, 1, n + 1)).drop("more")
+
+
 def rerank(found: DataFrame, score: Column, k: int) -> DataFrame:
     """Candidates in the order of another score, ties by their rank; original_rank and reranker_score are kept."""
     rows = found.withColumn("original_rank", F.col("rank")).withColumn("reranker_score", score)
@@ -157,29 +226,30 @@ def matched_first(found: DataFrame, matched: Column) -> DataFrame:
     return rows.withColumn("rank", place).drop("any")
 
 
-def gated_search(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: int, first_k: int = 15, fallback: float | None = None) -> DataFrame:
+def gated_search(queries: DataFrame, corpus: DataFrame, k: int, first_k: int = 15, fallback: float | None = None) -> DataFrame:
     """Two stages: queries (query_id, stage1, full), corpus (id, section, stage1, full).
 
     The first stage's candidates are scored on full vectors; the best is the anchor, and the result is the best k
     of the anchor's section over the whole corpus (of everything, where it has none). With `fallback`, a query
-    whose best score is below it gets plain dense results instead. Adds fallback_used and confidence.
+    whose best score is below it gets plain dense results instead; only such queries are searched so. Adds
+    fallback_used and confidence.
     """
-    first = dense_topk(spark, queries.select("query_id", "stage1"), corpus.select("id", "stage1"), first_k)
+    check_sizes(k, first_k)
+    first = _best(queries.select("query_id", "stage1"), corpus.select("id", "stage1"), first_k)
     cosine = F.round(F.aggregate(F.zip_with(normalised(F.col("qfull")), normalised(F.col("full")), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 9)
     asked = queries.select("query_id", F.col("full").alias("qfull"))
     scored = first.select("query_id", "id").join(corpus.select("id", "section", "full"), "id").join(asked, "query_id").withColumn("score", cosine)
-    anchors = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"), F.col("section").alias("section")))["section"].alias("anchor"))
-    gate = asked.join(anchors, "query_id").where(F.length(F.coalesce(F.col("anchor").cast("string"), F.lit(""))) > 0)
-    inside = corpus.select("id", "section", "full").join(gate, F.col("section") == F.col("anchor")).withColumn("score", cosine)
-    gated = ranked(inside.select("query_id", "id", "score"), k)
-    dense = dense_topk(spark, queries.select("query_id", "full"), corpus.select("id", "full"), k)
-    best = gated.groupBy("query_id").agg(F.max("score").alias("confidence"))
+    anchors = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"), F.col("section").cast("string").alias("section")))["section"].alias("anchor"))
+    gate = asked.join(anchors.where(F.length("anchor") > 0), "query_id")
+    gated = _best(gate.select("query_id", "qfull", "anchor"), corpus.select("id", "full", "section"), k, section=("anchor", "section"))
+    confidence = gated.where("rank = 1").select("query_id", F.col("score").alias("confidence"))
     limit = F.lit(float("-inf") if fallback is None else fallback)
-    use = queries.select("query_id").join(best, "query_id", "left").withColumn("fallback_used", F.coalesce(F.col("confidence") < limit, F.lit(True)))
-    rows = gated.withColumn("dense", F.lit(False)).unionByName(dense.withColumn("dense", F.lit(True)))
-    return rows.join(use, "query_id").where(F.col("dense") == F.col("fallback_used")).drop("dense")
+    use = queries.select("query_id", "full").join(confidence, "query_id", "left").withColumn("fallback_used", F.coalesce(F.col("confidence") < limit, F.lit(True)))
+    dense = _best(use.where("fallback_used").select("query_id", "full"), corpus.select("id", "full"), k)
+    return gated.join(use.where("NOT fallback_used").drop("full"), "query_id").unionByName(dense.join(use.where("fallback_used").drop("full"), "query_id"))
 
 
+# Fixed hints of a question about looks.
 VISUAL_HINTS = ("look like", "looks like", "show me", "show ", "photo", "image", "design", "invitation", "bouquet", "decor", "aesthetic", "visual", "picture", "style of", "how should .* look")
 
 

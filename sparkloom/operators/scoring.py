@@ -11,19 +11,29 @@ def _n(c: Column) -> Column:
 
 
 def readiness(weather_risks: Column, shortage: Column, languages: Column, skills: Column, no_leader: Column, inactive: Column, ineligible: Column, guests: Column, capacity: Column, access_problem: Column, no_transport: Column, seats_short: Column, stock_short: Column, unsuitable: Column) -> Column:
-    """struct(score, level, deductions array of (category, points)): 100 less deductions, 0 at least.
+    """struct(score, level, deductions array of (category, reason, points)): 100 less deductions, 0 at least.
 
     Numbers of weather risks, missing hosts, languages, skills, inactive and ineligible hosts are counts; the
-    rest are conditions. Deductions keep the order of the arguments; those of no points are left out.
+    rest are conditions. Deductions keep the order of the arguments; those of no points are left out. The
+    categories and reasons are fixed texts.
     """
     yes = lambda c, p: F.when(c, p).otherwise(0)
     each = (
-        ("weather", F.least(_n(weather_risks) * 8, F.lit(24))), ("staffing", F.least(_n(shortage) * 10, F.lit(30))), ("languages", F.least(_n(languages) * 8, F.lit(16))),
-        ("skills", F.least(_n(skills) * 8, F.lit(16))), ("leader", yes(no_leader, 10)), ("inactive", F.least(_n(inactive) * 10, F.lit(20))), ("eligibility", F.least(_n(ineligible) * 10, F.lit(20))),
-        ("capacity", yes((capacity > 0) & (guests > capacity), 25)), ("accessibility", yes(access_problem, 20)), ("transport", yes(no_transport, 15)), ("seats", yes(seats_short, 15)),
-        ("clothing", yes(stock_short, 15)), ("venue", yes(unsuitable, 10)),
+        ("weather", F.concat(_n(weather_risks).cast("string"), F.lit(" weather risk(s) detected")), F.least(_n(weather_risks) * 8, F.lit(24))),
+        ("staffing", F.concat(F.lit("Short by "), _n(shortage).cast("string"), F.lit(" host(s)")), F.least(_n(shortage) * 10, F.lit(30))),
+        ("staffing", F.lit("Missing required languages"), F.least(_n(languages) * 8, F.lit(16))),
+        ("staffing", F.lit("Missing required skills"), F.least(_n(skills) * 8, F.lit(16))),
+        ("staffing", F.lit("No team leader assigned"), yes(no_leader, 10)),
+        ("staffing", F.lit("Inactive hosts are assigned"), F.least(_n(inactive) * 10, F.lit(20))),
+        ("staffing", F.lit("Ineligible hosts are assigned"), F.least(_n(ineligible) * 10, F.lit(20))),
+        ("logistics", F.lit("Guest count exceeds venue capacity"), yes((capacity > 0) & (guests > capacity), 25)),
+        ("logistics", F.lit("Accessibility requirement is not satisfied"), yes(access_problem, 20)),
+        ("logistics", F.lit("Required transportation plan is missing"), yes(no_transport, 15)),
+        ("logistics", F.lit("Transportation seats are insufficient"), yes(seats_short, 15)),
+        ("logistics", F.lit("Clothing stock is insufficient"), yes(stock_short, 15)),
+        ("logistics", F.lit("Clothing is unsuitable for the event type"), yes(unsuitable, 10)),
     )
-    all_of = F.array(*(F.struct(F.lit(c).alias("category"), p.cast("int").alias("points")) for c, p in each))
+    all_of = F.array(*(F.struct(F.lit(c).alias("category"), r.alias("reason"), p.cast("int").alias("points")) for c, r, p in each))
     made = F.filter(all_of, lambda x: x["points"] > 0)
     score = F.greatest(F.lit(0), F.lit(100) - F.aggregate(made, F.lit(0), lambda a, x: a + x["points"]))
     level = F.when(score >= 85, "ready").when(score >= 60, "needs_attention").otherwise("high_risk")
@@ -57,15 +67,29 @@ def route_units(metres: Column, seconds: Column) -> tuple[Column, Column]:
     return F.bround(metres / 1000, 1), F.bround(seconds / 60, 0).cast("int")
 
 
-def venue_match(capacity: Column, guests: Column, accessible: Column, need_access: Column, parking: Column, need_parking: Column, description: Column, kind: Column, setting: Column, wanted: Column) -> Column:
-    """struct(score, eligible, percent, risks): capacity 30, accessibility 25, parking 15, type 20, setting 10 or 7."""
-    fits = F.coalesce(capacity >= guests, F.lit(False))
-    access, park = ~need_access | F.coalesce(accessible, F.lit(False)), ~need_parking | F.coalesce(parking, F.lit(False))
-    typed = F.lower(F.coalesce(description, F.lit(""))).contains(F.lower(kind))
-    place = F.when(F.lower(setting) == F.lower(wanted), 10).when(F.lower(setting) == "mixed", 7).otherwise(0)
-    score = F.when(fits, 30).otherwise(0) + F.when(access, 25).otherwise(0) + F.when(park, 15).otherwise(0) + F.when(typed, 20).otherwise(0) + place
-    risks = F.array_compact(F.array(F.when(~fits, "capacity"), F.when(~access, "accessibility"), F.when(~park, "parking"), F.when(~typed, "type"), F.when(place == 0, "setting")))
-    return F.struct(score.alias("score"), (fits & access).alias("eligible"), score.cast("double").alias("percent"), risks.alias("risks"))
+def venue_match(capacity: Column, guests: Column, accessible: Column, need_access: Column, parking: Column, description: Column, kind: Column, setting: Column) -> Column:
+    """struct(score, eligible, capacity, accessibility, parking, event_type_fit, setting_resilience, percents, risks).
+
+    Capacity gives 30 points, accessibility 25 (where not needed too), parking 15, an event type that the
+    description names 20, an indoor or mixed setting 10 and any other 7. Percents are of each part's most points,
+    halves to even. Eligible venues hold the guests and are accessible where that is needed. Risk texts are fixed.
+    """
+    room, asked = _n(capacity.cast("int")), _n(guests.cast("int"))
+    needs, opens = F.coalesce(need_access, F.lit(False)), F.coalesce(accessible, F.lit(False))
+    park, kind = F.coalesce(parking, F.lit(False)), F.lower(F.coalesce(kind, F.lit("")))
+    fits, access = room >= asked, ~needs | opens
+    typed = (kind != "") & F.contains(F.lower(F.coalesce(description, F.lit(""))), kind)
+    inside = F.coalesce(setting.isin("indoor", "mixed"), F.lit(False))
+    parts = {"capacity": (F.when(fits, 30).otherwise(0), 30), "accessibility": (F.when(access, 25).otherwise(0), 25), "parking": (F.when(park, 15).otherwise(0), 15),
+             "event_type_fit": (F.when(typed, 20).otherwise(0), 20), "setting_resilience": (F.when(inside, 10).otherwise(7), 10)}
+    risks = F.array_compact(F.array(
+        F.when(~fits, F.concat(F.lit("Capacity is "), room.cast("string"), F.lit(", below the required "), asked.cast("string"), F.lit(" guests."))),
+        F.when(~access, "The event requires accessibility, but this venue is not wheelchair accessible."),
+        F.when(~park, "Venue parking is unavailable."),
+    ))
+    score = sum((p for p, _ in parts.values()), F.lit(0))
+    percents = F.array(*(F.bround(p * 100 / most, 0).cast("int") for p, most in parts.values()))
+    return F.struct(score.alias("score"), (fits & access).alias("eligible"), *(p.alias(n) for n, (p, _) in parts.items()), percents.alias("percents"), risks.alias("risks"))
 
 
 def weighted_venue(suitability: Column, weather_score: Column, route_score: Column) -> Column:

@@ -27,18 +27,18 @@ def _corpus(spark: S, d: D, n: int = 64) -> DataFrame:
 
 
 def dense_topk(spark: S, d: D) -> DataFrame:
-    found = ret.dense_topk(spark, _halves(spark, d), _corpus(spark, d), 5, True)
+    found = ret.dense_topk(_halves(spark, d), _corpus(spark, d), 5, True)
     return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def dense_filtered(spark: S, d: D) -> DataFrame:
     some = table(spark, d, "embeddings").where(F.col("label").isin(1, 3, 5)).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return ret.dense_topk(spark, _halves(spark, d), some, 5, True).select("query_id", "rank", "id")
+    return ret.dense_topk(_halves(spark, d), some, 5, True).select("query_id", "rank", "id")
 
 
 def _judged(spark: S, d: D, n: int = 64) -> DataFrame:
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("found"))
-    found = ret.dense_topk(spark, _halves(spark, d, n), _corpus(spark, d, n), 5, True)
+    found = ret.dense_topk(_halves(spark, d, n), _corpus(spark, d, n), 5, True)
     own = labels.toDF("query_id", "label")
     return found.join(labels, "id").join(own, "query_id").select("query_id", "label", "rank", (F.col("found") == F.col("label")).alias("relevant"))
 
@@ -64,16 +64,15 @@ def method_select(spark: S, d: D) -> DataFrame:
 
 def multi_query_rrf(spark: S, d: D) -> DataFrame:
     """The query vectors of one label are variants of one question."""
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
-    found = ret.dense_topk(spark, _halves(spark, d), _corpus(spark, d), 20).join(labels, "query_id")
-    fused = found.groupBy("label", "id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"))
-    return ret.ranked(fused, 5, "label").select("label", "rank", "id", F.round("score", 6).alias("score"))
+    variants = table(spark, d, "embeddings").select(F.col("label").alias("parent"), F.col("vec_id").alias("query_id"), F.col("vec_id").cast("string").alias("text"))
+    found = ret.multi_query(ret.dense_topk(_halves(spark, d), _corpus(spark, d), 20), variants, 5)
+    return found.select(F.col("query_id").alias("label"), "rank", "id", F.round("score", 6).alias("score"))
 
 
 def _gated(spark: S, d: D, fallback: float | None) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("section"), F.slice("embedding", 1, 32).alias("stage1"), F.col("embedding").alias("full"))
     queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "stage1", F.transform("full", lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)).alias("full"))
-    return ret.gated_search(spark, queries, rows.withColumnRenamed("vec_id", "id"), 5, 15, fallback)
+    return ret.gated_search(queries, rows.withColumnRenamed("vec_id", "id"), 5, 15, fallback)
 
 
 def gated_images(spark: S, d: D) -> DataFrame:
@@ -252,9 +251,10 @@ def candidate_fill(spark: S, d: D) -> DataFrame:
 
 
 def venue_score(spark: S, d: D) -> DataFrame:
-    p = table(spark, d, "part")
-    m = sc.venue_match(F.col("p_size"), F.lit(20), F.col("p_partkey") % 3 != 0, F.lit(True), F.col("p_partkey") % 2 == 0, F.lit(True), F.col("p_name"), F.split("p_type", " ")[0], F.element_at(F.array(F.lit("indoor"), F.lit("outdoor"), F.lit("mixed")), (F.col("p_partkey") % 3 + 1).cast("int")), F.lit("outdoor"))
-    return p.select("p_partkey", m.alias("m")).select("p_partkey", "m.score", "m.eligible", F.array_join("m.risks", ",").alias("risks"))
+    p, n = table(spark, d, "part"), F.col("p_partkey")
+    setting = F.element_at(F.array(F.lit("indoor"), F.lit("outdoor"), F.lit("mixed"), F.lit(None).cast("string")), (n % 4 + 1).cast("int"))
+    m = sc.venue_match(F.col("p_size"), F.lit(20), n % 3 != 0, n % 5 != 0, n % 2 == 0, F.col("p_name"), F.split("p_type", " ")[0], setting)
+    return p.select("p_partkey", m.alias("m")).select("p_partkey", "m.score", "m.eligible", F.array_join(F.col("m.percents").cast("array<string>"), ",").alias("percents"), F.array_join("m.risks", "|").alias("risks"))
 
 
 def final_score(spark: S, d: D) -> DataFrame:
@@ -267,7 +267,7 @@ def readiness_score(spark: S, d: D) -> DataFrame:
     l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_returnflag") == "A").alias("a"), F.sum("l_quantity").cast("long").alias("q"), F.count_if(F.col("l_discount") > 0.05).alias("x"))
     no = F.lit(False)
     made = sc.readiness(F.col("r"), F.col("a"), F.lit(0), F.lit(0), F.col("n") == 1, F.col("x"), F.lit(0), F.col("q"), F.col("n") * 25, no, F.col("q") % 3 == 0, F.col("q") % 5 == 0, F.col("q") % 7 == 0, no)
-    return l.select("l_orderkey", made.alias("m")).select("l_orderkey", "m.score", "m.level", F.array_join(F.transform("m.deductions", lambda x: F.concat_ws(":", x["category"], x["points"].cast("string"))), ",").alias("deductions"))
+    return l.select("l_orderkey", made.alias("m")).select("l_orderkey", "m.score", "m.level", F.array_join(F.transform("m.deductions", lambda x: F.concat_ws(":", x["category"], x["reason"], x["points"].cast("string"))), ",").alias("deductions"))
 
 
 def weather_score(spark: S, d: D) -> DataFrame:
@@ -328,7 +328,7 @@ def classifier_eval(spark: S, d: D) -> DataFrame:
 
 
 def title_case(spark: S, d: D) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", rel.title_case(F.concat_ws("_", "p_name", "p_type")).alias("title"), rel.status_key(F.col("p_brand")).alias("status"))
+    return table(spark, d, "part").select("p_partkey", rel.title_case(F.concat_ws("_", "p_name", "p_type")).alias("title"))
 
 
 def event_windows(spark: S, d: D) -> DataFrame:

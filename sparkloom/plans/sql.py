@@ -98,11 +98,13 @@ ORACLES = {
     "chunk_sentence": _chunk("range(0, greatest(len(u) - 2, 0) + 1, 3)", "array_to_string(u[s + 1 : s + 4], chr(10))", _UNITS),
     "chunk_stats": f"""WITH c AS ({_FIXED}) SELECT count(*) AS chunks, count(DISTINCT document_id) AS documents, min(character_count) AS least, quantile_cont(character_count, 0.5) AS median, round(avg(character_count), 4) AS mean, quantile_cont(character_count, 0.9) AS p90, max(character_count) AS most,
         count(*) FILTER (character_count < 100) AS short_chunks, round(100 * avg((character_count < 100)::INTEGER), 4) AS short_percent FROM c""",
-    "boilerplate_lines": """WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT source, count(DISTINCT doc_id) AS every FROM l GROUP BY 1)
+    "boilerplate_lines": f"""WITH r AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), n AS (SELECT source, count(DISTINCT doc_id) AS every FROM r GROUP BY 1),
+        l AS (SELECT source, doc_id, {_STRIP("regexp_replace(regexp_replace(replace(raw, chr(65533), ''), '(?:\\.\\s*){4,}', ' ', 'g'), '[ \\t]+', ' ', 'g')")} AS line FROM r)
         SELECT source, line, count(DISTINCT doc_id) AS pages FROM l JOIN n USING (source) WHERE length(line) BETWEEN 4 AND 120 GROUP BY source, line, every HAVING count(DISTINCT doc_id) >= greatest(2, round_even(every * 0.02, 0))""",
     "doc_profile": """SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, round(stddev_samp(n_chars), 4) AS std, min(n_chars) AS least, quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.5) AS median, quantile_cont(n_chars, 0.75) AS q3,
         max(n_chars) AS most, sum(n_chars)::BIGINT AS total, count(*) FILTER (n_chars < 200) AS short, count(DISTINCT source) AS sources FROM documents GROUP BY lang""",
-    "query_language": r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{0600}-\x{06FF}]') THEN 'ar' WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:le|la|les|des|une|est|pour|dans|quel|quelle|comment|avec|sur)(?:$|[^\p{L}\p{N}_])|[àâçéèêëîïôûùüÿœ]') THEN 'fr' ELSE 'en' END AS language FROM documents""",
+    "query_language": r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{0600}-\x{06FF}]') THEN 'Arabic' WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:quelles?|qui|quel|qu''est-ce|dans quels|s''occupe|comprennent|prévoir|événementielle|organisateurs?)(?:$|[^\p{L}\p{N}_])')
+        OR regexp_matches(text, '[àâäéèêëïîôùûüçÀÂÄÉÈÊËÎÏÔÙÛÜÇ]') THEN 'French' ELSE 'English' END AS language FROM documents""",
     "client_stats": "SELECT c_custkey, c_name, nullif(count(o_orderkey), 0) AS n_orders, max(o_orderdate) AS last_order, min(o_orderdate) AS first_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY ALL",
     "worked_clients": "SELECT o_custkey AS custkey, count(*) AS n, max(o_orderdate) FILTER (o_orderstatus = 'P') AS last_open, ((2 * sum(round(100 * o_totalprice)::BIGINT) + count(*)) // (2 * count(*)))::DOUBLE / 100 AS mean_price FROM orders GROUP BY 1",
     "enrolment_count": "SELECT p_partkey, count(l_orderkey) AS enrolled FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity >= 45 GROUP BY 1",
@@ -120,14 +122,16 @@ ORACLES = {
         round(sum(greatest(60 - coalesce(q, 0), 0)), 2) AS shortage FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
     "candidate_fill": """WITH a AS (SELECT p_partkey, p_size, CASE WHEN p_partkey = 7 THEN 0 WHEN p_size >= 48 THEN 1 ELSE 2 END AS step, CASE WHEN p_partkey = 7 THEN 0 WHEN p_size >= 48 THEN p_size ELSE -p_size END AS o FROM part)
         SELECT p_partkey, p_size, position FROM (SELECT p_partkey, p_size, (row_number() OVER (ORDER BY step, o, p_partkey))::INTEGER AS position FROM a) WHERE position <= 8""",
-    "venue_score": """WITH m AS (SELECT p_partkey, p_size >= 20 AS fits, p_partkey % 3 <> 0 AS access, p_partkey % 2 = 0 AS park, contains(lower(p_name), lower(split_part(p_type, ' ', 1))) AS typed, CASE p_partkey % 3 WHEN 1 THEN 10 WHEN 2 THEN 7 ELSE 0 END AS place FROM part)
-        SELECT p_partkey, (fits::INT * 30 + access::INT * 25 + park::INT * 15 + typed::INT * 20 + place)::INTEGER AS score, fits AND access AS eligible,
-        concat_ws(',', CASE WHEN NOT fits THEN 'capacity' END, CASE WHEN NOT access THEN 'accessibility' END, CASE WHEN NOT park THEN 'parking' END, CASE WHEN NOT typed THEN 'type' END, CASE WHEN place = 0 THEN 'setting' END) AS risks FROM m""",
+    "venue_score": """WITH m AS (SELECT p_partkey, p_size, p_size >= 20 AS fits, p_partkey % 5 = 0 OR p_partkey % 3 <> 0 AS access, p_partkey % 2 = 0 AS park, contains(lower(p_name), lower(split_part(p_type, ' ', 1))) AS typed, p_partkey % 4 IN (0, 2) AS inside FROM part)
+        SELECT p_partkey, (fits::INT * 30 + access::INT * 25 + park::INT * 15 + typed::INT * 20 + CASE WHEN inside THEN 10 ELSE 7 END)::INTEGER AS score, fits AND access AS eligible,
+        concat_ws(',', fits::INT * 100, access::INT * 100, park::INT * 100, typed::INT * 100, CASE WHEN inside THEN 100 ELSE 70 END) AS percents,
+        concat_ws('|', CASE WHEN NOT fits THEN 'Capacity is ' || p_size || ', below the required 20 guests.' END, CASE WHEN NOT access THEN 'The event requires accessibility, but this venue is not wheelchair accessible.' END, CASE WHEN NOT park THEN 'Venue parking is unavailable.' END) AS risks FROM m""",
     "final_score": """WITH m AS (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size * 2.0::DOUBLE END AS s, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 101)::DOUBLE END AS w, CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 7 * 10)::DOUBLE END AS r FROM part)
         SELECT p_partkey, round_even(round((coalesce(s * 0.70::DOUBLE, 0) + coalesce(w * 0.15::DOUBLE, 0) + coalesce(r * 0.15::DOUBLE, 0)) / nullif((s IS NOT NULL)::INT * 0.70::DOUBLE + (w IS NOT NULL)::INT * 0.15::DOUBLE + (r IS NOT NULL)::INT * 0.15::DOUBLE, 0), 9), 0)::INTEGER AS final FROM m""",
     "readiness_score": """WITH l AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS a, sum(l_quantity)::BIGINT AS q, count(*) FILTER (l_discount > 0.05) AS x FROM lineitem GROUP BY 1),
-        p AS (SELECT l_orderkey, [('weather', least(r * 8, 24)), ('staffing', least(a * 10, 30)), ('leader', CASE WHEN n = 1 THEN 10 ELSE 0 END), ('inactive', least(x * 10, 20)), ('capacity', CASE WHEN q > n * 25 THEN 25 ELSE 0 END), ('transport', CASE WHEN q % 3 = 0 THEN 15 ELSE 0 END),
-              ('seats', CASE WHEN q % 5 = 0 THEN 15 ELSE 0 END), ('clothing', CASE WHEN q % 7 = 0 THEN 15 ELSE 0 END)] AS d FROM l),
+        p AS (SELECT l_orderkey, [('weather:' || r || ' weather risk(s) detected', least(r * 8, 24)), ('staffing:Short by ' || a || ' host(s)', least(a * 10, 30)), ('staffing:No team leader assigned', CASE WHEN n = 1 THEN 10 ELSE 0 END), ('staffing:Inactive hosts are assigned', least(x * 10, 20)),
+              ('logistics:Guest count exceeds venue capacity', CASE WHEN q > n * 25 THEN 25 ELSE 0 END), ('logistics:Required transportation plan is missing', CASE WHEN q % 3 = 0 THEN 15 ELSE 0 END),
+              ('logistics:Transportation seats are insufficient', CASE WHEN q % 5 = 0 THEN 15 ELSE 0 END), ('logistics:Clothing stock is insufficient', CASE WHEN q % 7 = 0 THEN 15 ELSE 0 END)] AS d FROM l),
         s AS (SELECT l_orderkey, greatest(0, 100 - list_sum(list_transform(d, lambda y: y[2]))) AS score, array_to_string(list_transform(list_filter(d, lambda y: y[2] > 0), lambda y: y[1] || ':' || y[2]), ',') AS deductions FROM p)
         SELECT l_orderkey, score::INTEGER AS score, CASE WHEN score >= 85 THEN 'ready' WHEN score >= 60 THEN 'needs_attention' ELSE 'high_risk' END AS level, deductions FROM s""",
     "weather_score": """WITH e AS (SELECT event_id, event_type = 'error' AS failed, event_id % 3 AS s, event_id % 100 >= 60 OR event_id % 7 >= 5 AS rain, event_id % 50 >= 35 AS wind, event_id % 41 >= 34 AS hot, event_id % 23 <= 5 AS cold FROM events)
@@ -135,8 +139,9 @@ ORACLES = {
         CASE WHEN failed THEN 'unavailable' ELSE concat_ws(',', CASE WHEN rain THEN 'rain' END, CASE WHEN wind THEN 'wind' END, CASE WHEN hot THEN 'heat' END, CASE WHEN cold THEN 'cold' END) END AS risks FROM e""",
     "route_band": """SELECT CASE WHEN m IS NULL THEN 0 WHEN m <= 5 THEN 100 WHEN m <= 15 THEN 80 WHEN m <= 30 THEN 60 WHEN m <= 50 THEN 40 ELSE 20 END AS band, count(*) AS n FROM (SELECT CASE WHEN event_type <> 'error' THEN event_id % 70 END AS m FROM events) GROUP BY 1""",
     "transport_summary": "SELECT l_orderkey, needed, worst, worst > 0 AND needed <= floor(worst * 0.6::DOUBLE + 0.5) AS downgrade FROM (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS needed, count(*) AS worst FROM lineitem GROUP BY 1)",
-    "guard_scan": f"""SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) > 1000 THEN 'too_long' WHEN {_any('lower(text)', INPUT_PATTERNS)} THEN 'injection' END AS input_reason,
-        CASE WHEN trim(text) = '' THEN 'empty' WHEN {_any('lower(text)', OUTPUT_PATTERNS)} THEN 'sensitive' END AS output_reason FROM documents""",
+    "guard_scan": f"""WITH t AS (SELECT doc_id, {_STRIP('text')} AS text FROM documents)
+        SELECT doc_id, CASE WHEN text = '' THEN 'empty' WHEN length(text) > 1000 THEN 'too_long' WHEN {_any('lower(text)', INPUT_PATTERNS)} THEN 'injection' END AS input_reason,
+        CASE WHEN text = '' THEN 'empty' WHEN {_any('text', [f'(?i){p}' for p in OUTPUT_PATTERNS])} THEN 'sensitive' END AS output_reason FROM t""",
     "set_diff_arrays": """WITH h AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS have FROM events GROUP BY 1), need AS (SELECT ['signup', 'purchase', 'click', 'refund'] AS need)
         SELECT user_id, array_to_string(list_sort(list_filter(need, lambda x: NOT list_contains(have, x))), ',') AS missing, array_to_string(list_concat(have, list_filter(need, lambda x: NOT list_contains(have, x))), ',') AS all_types FROM h, need""",
     "stock_upsert": f"SELECT coalesce(a.item, b.item) AS item, coalesce(a.size, b.size) AS size, coalesce(a.qty, 0) + coalesce(b.qty, 0) AS qty FROM ({_STOCK('R')}) a FULL JOIN ({_STOCK('A')}) b ON a.item = b.item AND a.size = b.size",
@@ -147,8 +152,7 @@ ORACLES = {
     "classifier_eval": """WITH r AS (SELECT l.quality AS label, CASE WHEN length(regexp_replace(d.text, '[^A-Z!|$%&*#]', '', 'g')) / greatest(length(d.text), 1) > 0.2 THEN 0 ELSE 1 END AS predicted FROM documents d JOIN labels l USING (doc_id)),
         k AS (SELECT DISTINCT c FROM (SELECT label AS c FROM r UNION ALL SELECT predicted FROM r))
         SELECT (SELECT count(*) FROM r) AS n, (SELECT round(avg((label = predicted)::INTEGER), 6) FROM r) AS accuracy, round(avg((SELECT 2 * count(*) FILTER (label = c AND predicted = c) / (count(*) FILTER (label = c) + count(*) FILTER (predicted = c)) FROM r)), 6) AS macro_f1 FROM k""",
-    "title_case": """SELECT p_partkey, array_to_string(list_transform(list_filter(regexp_split_to_array(p_name || '_' || p_type, '[\\s_]+'), lambda x: x <> ''), lambda x: upper(x[1]) || x[2:]), ' ') AS title,
-        CASE WHEN lower(trim(p_brand)) IN ('accepted', 'approved') THEN 'accepted' WHEN lower(trim(p_brand)) IN ('rejected', 'declined') THEN 'rejected' ELSE 'pending' END AS status FROM part""",
+    "title_case": """SELECT p_partkey, array_to_string(list_transform(list_filter(regexp_split_to_array(p_name || '_' || p_type, '[\\s_]+'), lambda x: x <> ''), lambda x: upper(x[1]) || x[2:]), ' ') AS title FROM part""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
     "top_per_group": "SELECT source, doc_id, n_chars, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents) WHERE place <= 5",
 }
