@@ -119,6 +119,17 @@ def terms(text: Column) -> Column:
     return F.concat(tokens, pairs)
 
 
+def term_keys(text: Column) -> Column:
+    """64-bit hashes of the same terms, made without the strings of pairs; the tokens are cut once."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+    def keys(t: Column) -> Column:
+        pairs = F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        return F.concat(F.transform(t, lambda x: F.xxhash64(x)), pairs)
+
+    return F.flatten(F.transform(F.array(tokens), keys))
+
+
 def tfidf(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, term, weight) with sublinear counts, smooth idf and unit length; and (term, idf). Terms that a given
     idf table lacks are left out."""
@@ -134,15 +145,16 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = N
 def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(id, text), (query_id, text) -> query_id, rank, id, score > 0; queries without known terms have no rows.
 
-    Lengths of documents come from one aggregation of their terms; weights are made for terms of the queries only.
+    Terms are known by 64-bit hashes. Lengths of documents come from one aggregation of their terms; weights are
+    made for terms of the queries only.
     """
     check_sizes(k)
-    counts = docs.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
+    counts = docs.select("id", F.explode(term_keys(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
     n = docs.agg(F.count("*").cast("double").alias("n"))  # one row
     idf = counts.groupBy("term").count().crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("count"))) + 1).alias("idf"))
     weight = ((1 + F.ln("c")) * F.col("idf")).alias("w")
     norms = counts.join(idf, "term").select("id", weight).groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    said = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("c")).join(idf, "term").select("query_id", "term", "idf", weight)
+    said = queries.select("query_id", F.explode(term_keys(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("c")).join(idf, "term").select("query_id", "term", "idf", weight)
     asked = said.join(said.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm")), "query_id").select("query_id", "term", "idf", (F.col("w") / F.col("q_norm")).alias("qw"))
     dots = counts.join(asked, "term").select("query_id", "id", (F.col("qw") * (1 + F.ln("c")) * F.col("idf")).alias("part")).groupBy("query_id", "id").agg(F.sum("part").alias("dot"))
     scores = dots.join(norms, "id").select("query_id", "id", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
