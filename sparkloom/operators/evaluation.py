@@ -79,3 +79,28 @@ def classifier_metrics(predictions: DataFrame) -> DataFrame:
         .groupBy("c").agg(F.sum("tp").alias("tp"), F.sum("true").alias("true"), F.sum("said").alias("said"))
     )
     return per.agg(F.sum("true").alias("n"), F.round(F.sum("tp") / F.sum("true"), 6).alias("accuracy"), F.round(F.avg(2 * F.col("tp") / (F.col("true") + F.col("said"))), 6).alias("macro_f1"))
+
+
+def chunk_checks(chunks: DataFrame, by: str, most: int) -> DataFrame:
+    """Per strategy: whether texts hold something, ids are unique, pages start at 1, and no chunk is longer than `most`."""
+    return chunks.groupBy(by).agg(
+        F.bool_and(F.trim("text") != "").alias("nonempty_text"), (F.countDistinct("chunk_id") == F.count("*")).alias("unique_chunk_ids"),
+        F.bool_and(F.col("page_number") >= 1).alias("valid_page_numbers"), F.bool_and(F.col("character_count") <= most).alias("size_limit_respected"),
+    )
+
+
+def generation_report(judged: DataFrame) -> DataFrame:
+    """Cases, routing accuracy and mean marks of all answers and of those that were to be text, visual, or cross-language;
+    marks that are null count in no mean."""
+    groups = F.array_compact(F.array(F.lit("Overall"), F.when(F.col("mode") == "text", "Text"), F.when(F.col("mode") == "visual", "Visual"), F.when(F.col("cross_language"), "Cross-language")))
+    mean = lambda c, n: F.round(F.avg(F.col(c).cast("double")), 6).alias(n)
+    return judged.withColumn("evaluated", F.explode(groups)).groupBy("evaluated").agg(
+        F.count("*").alias("cases"), mean("router_ok", "routing_accuracy"), mean("faithful", "faithfulness"), mean("correct", "correctness"), mean("relevant", "relevance"), mean("same_doc", "same_doc_rate"), mean("no_images", "text_no_images_rate")
+    )
+
+
+def weighted_mean(rows: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
+    """Mean of the values that are there, not NaN, by weight; and the plain mean."""
+    v = F.when(~F.isnan(value), F.col(value))
+    w = F.when(v.isNotNull(), F.col(weight))
+    return rows.groupBy(*by).agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.sum(v * w) / F.nullif(F.sum(w), F.lit(0)), 6).alias("weighted"))
