@@ -12,21 +12,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, binaries, text_or_empty
+from .common import Tables, among, binaries, mixed, text_or_empty
 from .components import components
 
 ROWS = 6  # minhash values in a band
 MISS = 1e-7  # of a pair at the threshold: by the bands, and by each posterior bound
 BATCH, BATCHES = 32, 4  # signature values compared at once, and how often; a byte each, so equal ones never differ
 SMALL = 24  # buckets up to this size are compared whole; larger ones by leaders and components, with the same result
-FILTER_BITS = 26  # a filter of ids that is sent to tasks has 2^26 bits, 8 MB, whatever the number of ids
-_M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -34,12 +32,6 @@ def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; fewer words than k make one shingle, none make none."""
     words = text.lower().split()
@@ -169,40 +161,9 @@ def _side(t: DataFrame, i: str, c: str) -> DataFrame:
     return t.select(F.col("id").alias(i), F.col(c).alias(f"{c}_{i}"))
 
 
-def _bit(ids):
-    """The bit of the filter that stands for an id."""
-    return (mixed(ids.astype(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-
-
-def _among(spark: SparkSession, ids: DataFrame) -> Column:
-    """Whether doc_id may be among the ids: false only where it is not.
-
-    The filter's size is fixed: the driver gets a row for each of its words that holds a bit, 2^20 at most. It
-    passes next to nothing else up to some ten million ids; with many more it passes more and more, at last
-    everything, and what stands behind it has more to do.
-    """
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            bit = _bit(pdf["id"].to_numpy())
-            yield pd.DataFrame({"word": bit >> 6, "bits": np.left_shift(np.int64(1), bit & 63)})
-
-    set_bits = ids.select("id").mapInPandas(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[set_bits["word"].to_numpy()] = set_bits["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def among(doc_id: pd.Series) -> pd.Series:
-        bit = _bit(doc_id.to_numpy())
-        return pd.Series((shared.value[bit >> 6] >> (bit & 63)) & 1 == 1)
-
-    return among(F.coalesce("doc_id", F.lit(0).cast("long")))  # with nulls, pandas would make doubles of them
-
-
 def _sets_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """The sets of documents with one of the ids. Texts of others are left out by a filter before the join deals them out."""
-    some = docs.where(_among(spark, ids)).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    some = docs.where(among(spark, ids.select("id"), F.col("doc_id"))).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     return some.dropDuplicates(["doc_id", "text"]).mapInArrow(_sets(k), "id long, shingles binary")
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import Tables, table
 from .decontaminate import matches
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
@@ -52,7 +50,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    """A cache of its own, that goes when the driver ends: each call encodes all distinct texts."""
+    cache = f"{Tables(spark).root}/token-counts"
     return token_counts(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 

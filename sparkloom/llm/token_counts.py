@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import Tables, among, text_or_empty
 from .tokens import ByteCounts, digest, loaded
 
 _CACHE = "tokenizer string, digest string, n_tokens long"
@@ -28,9 +28,10 @@ def token_counts(spark: SparkSession, documents: DataFrame, vocabulary: str, cac
 
     `vocabulary` is the path of a byte-level vocabulary of the tokenizers library, which every executor can
     read; `cache` is a folder of Parquet in a shared store, keyed by SHA-256 of the text (this kind of
-    vocabulary normalises nothing) and of the vocabulary's file; one run at a time appends to it, so a digest is
-    stored once, and the join with a hot digest can be split. Null and empty texts count as empty: no
-    tokens. Rows that repeat a text are encoded once. Other columns are not read.
+    vocabulary normalises nothing) and of the vocabulary's file. Digests are looked up first; only texts that are
+    not in the cache are moved, and each distinct one is encoded once. A digest that is stored twice, as after
+    two runs at a time, counts once. Null and empty texts count as empty: no tokens. Rows that repeat a text are
+    encoded once; an empty table gives an empty result. Other columns are not read.
     """
     version = digest(vocabulary)
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("digest", F.sha2("text", 256))
@@ -39,9 +40,13 @@ def token_counts(spark: SparkSession, documents: DataFrame, vocabulary: str, cac
     except AnalysisException:  # nothing stored yet
         known = spark.createDataFrame([], _CACHE)
     known = known.where(F.col("tokenizer") == version).select("digest").distinct()
-    misses = keyed.groupBy("digest").agg(F.min("text").alias("text")).join(known, "digest", "left_anti")
+    tables = Tables(spark)
+    new = tables.keep(keyed.select("digest").distinct().join(known, "digest", "left_anti"), "misses")
+    some = keyed.where(among(spark, new.select(F.xxhash64("digest")), F.xxhash64("digest")))
+    misses = some.groupBy("digest").agg(F.min("text").alias("text")).join(new, "digest", "left_semi")
     misses.mapInArrow(_encode(vocabulary, version), _CACHE).write.mode("append").parquet(cache)
-    counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    tables.drop("misses")
+    counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return (
         keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
         .join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
