@@ -1,7 +1,7 @@
 """Preference formatting: the longest common turn prefix once as prompt, then paired masked completions.
 
-DataFrame functions only. The prefix comes from joining the two sides turn by turn and taking the first turn
-at which they differ, so no conversation is gathered to find it.
+DataFrame functions only. The turns of a pair are put together once, as a rendered conversation must be; both
+sides are sets of rows, and the prompt ends before the first turn of a row that only one of them has.
 """
 
 from __future__ import annotations
@@ -18,43 +18,45 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.lit(f"{CLOSE}\n"), body, F.lit("\n"))
 
 
+def _parts(turns: DataFrame, trained: str) -> DataFrame:
+    """pair_id, and arrays prompt, chosen, rejected of (turn, role, rendered, masked) in order; one grouping by pair."""
+    rows = turns.where(F.col("pair_id").isNotNull() & F.col("turn").isNotNull() & F.col("side").isin("chosen", "rejected"))
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    sides = rows.groupBy("pair_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("side") == s, said))).alias(s) for s in ("chosen", "rejected")))
+    lone = F.concat(F.array_except("chosen", "rejected"), F.array_except("rejected", "chosen"))
+    split = sides.withColumn("differ", F.array_min(F.transform(lone, lambda x: x["turn"])))
+    before = lambda x: F.col("differ").isNull() | (x["turn"] < F.col("differ"))
+
+    def shown(said: Column, prompt: bool) -> Column:
+        return F.transform(said, lambda x: F.struct(x["turn"], x["role"].alias("role"), render(x["role"], x["text"]).alias("rendered"), (F.lit(prompt) | (x["role"] != trained)).alias("masked")))
+
+    return split.select(
+        "pair_id", shown(F.filter("chosen", before), True).alias("prompt"),
+        *(shown(F.filter(s, lambda x: ~before(x)), False).alias(s) for s in ("chosen", "rejected")),
+    )
+
+
 def segments(turns: DataFrame, trained: str = "assistant") -> DataFrame:
-    """turns(pair_id, side 'chosen' or 'rejected', turn, role, text) -> pair_id, part, turn, role, rendered, masked.
+    """turns(pair_id, side 'chosen' or 'rejected', turn, role, text) -> pair_id, part, turn, nth, role, rendered, masked.
 
     part is prompt, chosen or rejected. A turn belongs to the prompt if, up to and including it, both sides
     have the same turns; it is rendered once. masked is true where the loss leaves a turn out: in the prompt
     and in turns of other roles than `trained`. Null roles and texts count as empty. Identical rows count once;
     different rows of one side with the same turn follow each other by role and text, and agree if all do. A
     pair with one side only has no prompt. Rows whose pair_id, side or turn is null are no turns. Other columns
-    are not read.
+    are not read; an empty table gives an empty result.
     """
-    rows = turns.select("pair_id", "side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where(
-        F.col("pair_id").isNotNull() & F.col("turn").isNotNull() & F.col("side").isin("chosen", "rejected")
-    )
-    each = rows.groupBy("pair_id", "turn", "side").agg(F.array_sort(F.collect_set(F.struct("role", "text"))).alias("said"))
-    side = lambda s: each.where(F.col("side") == s).select("pair_id", "turn", F.col("said").alias(s))
-    both = side("chosen").join(side("rejected"), ["pair_id", "turn"], "full")
-    differ = both.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy("pair_id").agg(F.min("turn").alias("differ"))
-    marked = both.join(differ, "pair_id", "left").withColumn("common", F.col("differ").isNull() | (F.col("turn") < F.col("differ")))
-    parts = F.when(F.col("common"), F.array(F.struct(F.lit("prompt").alias("part"), F.col("chosen").alias("said")))).otherwise(
-        F.array(F.struct(F.lit("chosen").alias("part"), F.col("chosen").alias("said")), F.struct(F.lit("rejected").alias("part"), F.col("rejected").alias("said")))
-    )
-    return (
-        marked.select("pair_id", "turn", F.inline(parts)).select("pair_id", "turn", "part", F.posexplode("said").alias("nth", "said"))
-        .select(
-            "pair_id", "part", "turn", "nth", F.col("said.role").alias("role"), render(F.col("said.role"), F.col("said.text")).alias("rendered"),
-            ((F.col("part") == "prompt") | (F.col("said.role") != trained)).alias("masked"),
-        )
-    )
+    parts = F.array(*(F.struct(F.lit(s).alias("part"), F.col(s).alias("said")) for s in ("prompt", "chosen", "rejected")))
+    rows = _parts(turns, trained).select("pair_id", F.inline(parts))
+    return rows.select("pair_id", "part", F.posexplode("said").alias("nth", "x")).select("pair_id", "part", "x.turn", "nth", "x.role", "x.rendered", "x.masked")
 
 
 def preference_pairs(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """The segments of each pair put together: pair_id, n_prompt, prompt, chosen, chosen_spans, rejected, rejected_spans.
 
-    The spans are the unmasked parts of a completion, 'start:end' in code points, comma-joined. This gathers the
-    turns of one pair in a row, as a rendered conversation must; segments() does not.
+    The spans are the unmasked parts of a completion, 'start:end' in code points, comma-joined. Rows are treated
+    as segments() does.
     """
-    own = lambda s: F.array_sort(F.collect_list(F.when(F.col("part") == s, F.struct("turn", "nth", "rendered", "masked"))))
     text = lambda s: F.array_join(F.transform(s, lambda x: x["rendered"]), "")
 
     def spans(s: str) -> Column:
@@ -67,19 +69,18 @@ def preference_pairs(turns: DataFrame, trained: str = "assistant") -> DataFrame:
         )
         return walk["out"]
 
-    return (
-        segments(turns, trained).groupBy("pair_id").agg(*(own(s).alias(s) for s in ("prompt", "chosen", "rejected")))
-        .select(
-            "pair_id", F.size("prompt").cast("long").alias("n_prompt"), text("prompt").alias("prompt"), text("chosen").alias("chosen"), spans("chosen").alias("chosen_spans"),
-            text("rejected").alias("rejected"), spans("rejected").alias("rejected_spans"),
-        )
+    return _parts(turns, trained).select(
+        "pair_id", F.size("prompt").cast("long").alias("n_prompt"), text("prompt").alias("prompt"), text("chosen").alias("chosen"), spans("chosen").alias("chosen_spans"),
+        text("rejected").alias("rejected"), spans("rejected").alias("rejected_spans"),
     )
 
 
 def swapped_answers(conversations: DataFrame) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> turns of pairs: a conversation up to its last assistant turn is
     chosen; with that turn answered as the conversation of the next id ends, it is rejected. Where no next id
-    has an assistant turn, the pair has its chosen side only; conversations without one make no pair."""
+    has an assistant turn, the pair has its chosen side only; conversations without one make no pair. Of tied last
+    turns the largest text answers. Rows with a null conv_id or turn are left out, null texts count as empty, rows
+    that repeat stay; an empty table gives an empty result."""
     said = conversations.where("role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL")
     last = said.groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
     answers = last.select("conv_id", F.col("last.turn").alias("end"))
