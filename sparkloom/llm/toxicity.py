@@ -7,6 +7,7 @@ four and five letters, as hashes), of structural features and of the earlier pro
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Sequence
@@ -21,7 +22,7 @@ from .features import STRUCTURE, Scaled, adam, sigmoid, structure
 
 SAMPLE = 8_000  # labelled rows that the chain is fitted on, at most
 FOLDS = 5
-TERMS = 3_000  # word features of a model, at most
+TERMS = 3_000  # word features of a model, at most: those whose share of marked texts is furthest from the mean
 SEEN = 4  # labelled rows that a word feature must occur in
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -101,26 +102,49 @@ class Linear:
         return self.scaled(x) @ self.w[len(self.names) :]
 
 
+def _one_fit(terms_of, data):
+    """Number of a fold -> probabilities of the texts of that fold by a model of the others; FOLDS -> the model of all."""
+
+    def run(batches):
+        offsets, hashes = terms_of.value
+        dense, target, known, folds = data.value
+        rows = np.repeat(np.arange(len(target), dtype=np.int32), np.diff(offsets))
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                use = known & (folds != f)
+                model = Linear().fit(rows, hashes, dense, target, use) if use.any() else None
+                if f < FOLDS:
+                    made = sigmoid(model.margin_all[folds == f]) if model else np.zeros((folds == f).sum())
+                    out = made.tobytes()
+                else:
+                    if model:
+                        del model.margin_all
+                    out = pickle.dumps(model)
+                yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([out], pa.binary())], ["fold", "made"])
+
+    return run
+
+
 class Chain:
-    """models, and thresholds where out-of-fold F1 is best."""
+    """models, and thresholds where out-of-fold F1 is best. The fits of a category are as many tasks of one job; what
+    they learn from is the bounded sample."""
 
-    def __init__(self, categories: Sequence[str], rows, hashes, x, y, folds):
+    def __init__(self, spark: SparkSession, categories: Sequence[str], offsets, hashes, x, y, folds):
         self.categories, self.models, self.thresholds = list(categories), [], []
-        dense = x
+        dense, terms_of = x, spark.sparkContext.broadcast((offsets, hashes))
         for j in range(len(categories)):
-            known = ~np.isnan(y[:, j])
-            target = np.nan_to_num(y[:, j])
+            known, target = ~np.isnan(y[:, j]), np.nan_to_num(y[:, j])
+            data = spark.sparkContext.broadcast((dense, target, known, folds))
+            tasks = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(_one_fit(terms_of, data), "fold long, made binary")
+            made = {r.fold: r.made for r in tasks.collect()}  # FOLDS + 1 rows
             held = np.zeros(len(y))
             for f in range(FOLDS):
-                use = known & (folds != f)
-                if use.any():
-                    held[folds == f] = sigmoid(Linear().fit(rows, hashes, dense, target, use).margin_all[folds == f])
-            self.models.append(Linear().fit(rows, hashes, dense, target, known) if known.any() else None)
+                held[folds == f] = np.frombuffer(made[f])
+            self.models.append(pickle.loads(made[FOLDS]))
             self.thresholds.append(self._threshold(held[known], target[known]))
-            for m in (self.models[-1],):
-                if m:
-                    del m.margin_all
+            data.unpersist()
             dense = np.hstack([dense, held[:, None]])
+        terms_of.unpersist()
 
     @staticmethod
     def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -172,14 +196,14 @@ def fitted(documents: DataFrame, labels: DataFrame, categories: Sequence[str], s
     got = docs.join(picked, "doc_id").mapInArrow(_described, "y array<double>, terms array<int>, x array<float>").toArrow().combine_chunks()
     n = got.num_rows
     lists = [got["terms"].combine_chunks(), got["x"].combine_chunks(), got["y"].combine_chunks()] if n else []
-    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists[0].offsets.to_numpy())) if n else np.zeros(0, np.int32)
+    offsets = lists[0].offsets.to_numpy() if n else np.zeros(1, np.int32)
     hashes = lists[0].flatten().to_numpy() if n else np.zeros(0, np.int32)
     x = lists[1].flatten().to_numpy().astype(np.float64).reshape(-1, STRUCTURE) if n else np.zeros((0, STRUCTURE))
     y = lists[2].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(categories)) if n else np.zeros((0, len(categories)))
     order = np.lexsort(x.T) if n else np.zeros(0, np.int64)  # folds must not follow the order of arrival
     folds = np.empty(n, np.int64)
     folds[order] = np.arange(n) % FOLDS
-    return Chain(categories, rows, hashes, x, y, folds)
+    return Chain(docs.sparkSession, categories, offsets, hashes, x, y, folds)
 
 
 def toxicity(spark: SparkSession, documents: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> DataFrame:
