@@ -31,13 +31,14 @@ def _planes(dim: int, trees: int) -> np.ndarray:
     return np.random.default_rng(97).standard_normal((dim, trees * BITS))
 
 
-def _vectors(column) -> np.ndarray:
+def _vectors(column, single: bool) -> np.ndarray:
+    """Vectors in double precision from bytes of floats or doubles."""
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return np.frombuffer(raw, np.float32 if single else np.float64).reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def _hashed(dim: int, trees: int):
-    """(vec_id, embedding) -> vec_id, vector (doubles), codes; vectors that take no part are left out."""
+def _hashed(dim: int, trees: int, single: bool):
+    """(vec_id, embedding) -> vec_id, vector (bytes of floats or doubles), codes; vectors that take no part are left out."""
 
     def run(batches):
         planes, weights = _planes(dim, trees), 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
@@ -50,7 +51,7 @@ def _hashed(dim: int, trees: int):
             ids, x = ids.filter(pa.array(ok)), np.ascontiguousarray(x[ok])
             bits = (x @ planes > 0).reshape(len(x), trees, BITS)
             codes = bits @ weights
-            yield pa.RecordBatch.from_arrays([ids, pa.array([v.tobytes() for v in x], pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))], ["vec_id", "vector", "codes"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([v.tobytes() for v in (x.astype(np.float32) if single else x)], pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))], ["vec_id", "vector", "codes"])
 
     return run
 
@@ -77,7 +78,7 @@ def _best(q: np.ndarray, qn: float, v: np.ndarray, ids: np.ndarray, near: np.nda
     return ids[at][order], exact[order]
 
 
-def _search(k: int, descend: bool):
+def _search(k: int, descend: bool, single: bool):
     """A segment's rows (tree, code, vec_id, vector) and its queries (query_id, vector, code, low, high): the k
     nearest for each query among its neighbours in the sorted array (descend) or among codes in [low, high]."""
 
@@ -86,9 +87,9 @@ def _search(k: int, descend: bool):
         if rows.num_rows and queries.num_rows:
             code, ids = rows["code"].to_numpy(), rows["vec_id"].to_numpy()
             order = np.lexsort((ids, code))
-            code, ids, v = code[order], ids[order], _vectors(rows["vector"].combine_chunks())[order]
+            code, ids, v = code[order], ids[order], _vectors(rows["vector"].combine_chunks(), single)[order]
             unit = v / np.sqrt((v * v).sum(1))[:, None]
-            names, qs = queries["query_id"].to_numpy(), _vectors(queries["vector"].combine_chunks())
+            names, qs = queries["query_id"].to_numpy(), _vectors(queries["vector"].combine_chunks(), single)
             if descend:
                 at = np.searchsorted(code, queries["code"].to_numpy())
                 begin, end = np.maximum(at - NEAR, 0), np.minimum(at + NEAR, len(code))
@@ -128,13 +129,15 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     with its first vector in byte order, and is never its own candidate. Other columns are not read.
     """
     tables = Tables(spark)
+    # floats are kept as floats in the index, which is half of doubles, and made doubles where they are compared
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     sizes = given.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sizes or not sizes[0]["dim"]:
         return empty
     dim, n = sizes[0]
-    hashed = tables.keep(given.mapInArrow(_hashed(dim, trees), "vec_id long, vector binary, codes array<long>"), "hashed")
+    hashed = tables.keep(given.mapInArrow(_hashed(dim, trees, single), "vec_id long, vector binary, codes array<long>"), "hashed")
     many = max(trees, math.ceil(trees * n / SEGMENT))
     index = hashed.select("vec_id", "vector", F.posexplode("codes").alias("tree", "code")).repartitionByRange(many, "tree", "code", "vec_id").withColumn("part", F.spark_partition_id())
     index = tables.keep(index.withColumn("segment", F.col("part") * trees + F.col("tree")).drop("part"), "index")
@@ -154,7 +157,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
         to = queries.join(segments, meets).select(F.col("at").alias("segment"), block, "query_id", "vector", "code", "low", "high")
         return (
             indexed.select("segment", "block", "code", "vec_id", "vector").groupBy("segment", "block").cogroup(to.groupBy("segment", "block"))
-            .applyInArrow(_search(k, descend), "query_id long, vec_id long, score double")
+            .applyInArrow(_search(k, descend, single), "query_id long, vec_id long, score double")
         )
 
     same = F.col("tree") == F.col("of")
