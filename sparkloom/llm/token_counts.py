@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import Tables, among, text_or_empty
 from .tokens import ByteCounts, digest, loaded
 
-_CACHE = "tokenizer string, digest string, n_tokens long"
+_CACHE = "tokenizer string, digest binary, n_tokens long"
 
 
 def _encode(path: str, version: str):
@@ -34,7 +34,7 @@ def token_counts(spark: SparkSession, documents: DataFrame, vocabulary: str, cac
     encoded once; an empty table gives an empty result. Other columns are not read.
     """
     version = digest(vocabulary)
-    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("digest", F.sha2("text", 256))
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     try:
         known = spark.read.schema(_CACHE).parquet(cache)
     except AnalysisException:  # nothing stored yet
@@ -46,7 +46,9 @@ def token_counts(spark: SparkSession, documents: DataFrame, vocabulary: str, cac
     misses = some.groupBy("digest").agg(F.min("text").alias("text")).join(new, "digest", "left_semi")
     misses.mapInArrow(_encode(vocabulary, version), _CACHE).write.mode("append").parquet(cache)
     tables.drop("misses")
-    counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the join below can be split where a digest is common
+    stored = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = tables.keep(stored, "counts")
     return (
         keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
         .join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
