@@ -151,7 +151,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
     if blocks == 1:
         indexed = index.withColumn("block", F.lit(0).cast("long"))
     else:
-        indexed = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        indexed = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(queries: DataFrame, meets, descend: bool) -> DataFrame:
         to = queries.join(segments, meets).select(F.col("at").alias("segment"), block, "query_id", "vector", "code", "low", "high")
