@@ -24,7 +24,7 @@ BITS = 48
 MISS = 0.02  # chance that all trees miss a vector as near as the k-th best
 SEGMENT = 16_384  # rows of a segment, about
 NEAR = 512  # neighbours looked at on either side when a query descends
-QUERIES = 32_768  # queries handled with a segment at once, about
+QUERIES = 32_768  # queries handled with a segment at once, about; a segment that more ask for is read that many times more often
 
 
 def _planes(dim: int, trees: int) -> np.ndarray:
@@ -146,17 +146,16 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5
 
     asked = hashed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vector", "codes")).alias("q"))
     asked = tables.keep(asked.select(F.col("vec_id").alias("query_id"), "q.vector", "q.codes"), "queries")
-    blocks = 1 + asked.count() // QUERIES
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
-    if blocks == 1:
-        indexed = index.withColumn("block", F.lit(0).cast("long"))
-    else:
-        indexed = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(queries: DataFrame, meets, descend: bool) -> DataFrame:
-        to = queries.join(segments, meets).select(F.col("at").alias("segment"), block, "query_id", "vector", "code", "low", "high")
+        to = queries.join(segments, meets).select(F.col("at").alias("segment"), "query_id", "vector", "code", "low", "high")
+        # a row for each segment: only one that many queries ask for is copied, and only for blocks of those
+        asking = F.broadcast(to.groupBy("segment").agg((1 + F.floor(F.count("*") / QUERIES)).alias("blocks")))
+        block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block")
+        to = to.join(asking, "segment").select("segment", block, "query_id", "vector", "code", "low", "high")
+        asked_for = index.join(asking, "segment").select("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "code", "vec_id", "vector")
         return (
-            indexed.select("segment", "block", "code", "vec_id", "vector").groupBy("segment", "block").cogroup(to.groupBy("segment", "block"))
+            asked_for.groupBy("segment", "block").cogroup(to.groupBy("segment", "block"))
             .applyInArrow(_search(k, descend, single), "query_id long, vec_id long, score double")
         )
 
