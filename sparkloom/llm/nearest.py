@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import Tables
 
-TREES = 16
+TREES = 8
 BITS = 48
-MISS = 0.02  # chance that all trees miss a vector as near as the k-th best
+MISS = 0.05  # chance that all trees miss a vector as near as the k-th best
 SEGMENT = 16_384  # rows of a segment, about
 NEAR = 512  # neighbours looked at on either side when a query descends
 QUERIES = 32_768  # queries handled with a segment at once, about; a segment that more ask for is read that many times more often
