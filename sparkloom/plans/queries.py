@@ -310,9 +310,10 @@ def guarded_decrement(spark: S, d: D) -> DataFrame:
 
 
 def index_sync(spark: S, d: D) -> DataFrame:
+    """All documents are indexed; then the toxic ones come anew, as all that their sources still have."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("point_id"), F.col("source").alias("source_path"), F.length("text").cast("long").alias("chars"))
-    old, new = rows.where("point_id % 3 <> 0"), rows.where("source_path in ('src0', 'src1') and point_id % 2 = 0").withColumn("chars", -F.col("chars"))
-    return synced(old, new, "point_id", "source_path")
+    new = rows.join(table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("point_id")).distinct(), "point_id", "left_semi").withColumn("chars", -F.col("chars"))
+    return synced(rows, new, "point_id", "source_path")
 
 
 def json_props(spark: S, d: D) -> DataFrame:

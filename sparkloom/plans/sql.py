@@ -146,8 +146,9 @@ ORACLES = {
         SELECT user_id, array_to_string(list_sort(list_filter(need, lambda x: NOT list_contains(have, x))), ',') AS missing, array_to_string(list_concat(have, list_filter(need, lambda x: NOT list_contains(have, x))), ',') AS all_types FROM h, need""",
     "stock_upsert": f"SELECT coalesce(a.item, b.item) AS item, coalesce(a.size, b.size) AS size, coalesce(a.qty, 0) + coalesce(b.qty, 0) AS qty FROM ({_STOCK('R')}) a FULL JOIN ({_STOCK('A')}) b ON a.item = b.item AND a.size = b.size",
     "guarded_decrement": f"SELECT coalesce(a.item, b.item) AS item, coalesce(a.size, b.size) AS size, CASE WHEN a.qty >= b.qty THEN a.qty - b.qty ELSE a.qty END AS qty, b.qty IS NOT NULL AND NOT coalesce(a.qty >= b.qty, false) AS rejected FROM ({_STOCK('R')}) a FULL JOIN ({_STOCK('A')}) b ON a.item = b.item AND a.size = b.size",
-    "index_sync": """SELECT doc_id AS point_id, source AS source_path, length(text) AS chars FROM documents WHERE doc_id % 3 <> 0 AND source NOT IN (SELECT source FROM documents WHERE source IN ('src0', 'src1') AND doc_id % 2 = 0)
-        UNION ALL SELECT doc_id, source, -length(text) FROM documents WHERE source IN ('src0', 'src1') AND doc_id % 2 = 0""",
+    "index_sync": """WITH n AS (SELECT doc_id, source, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
+        SELECT doc_id AS point_id, source AS source_path, length(text) AS chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.source = d.source)
+        UNION ALL SELECT doc_id, source, -length(text) FROM n""",
     "json_props": "SELECT event_type, count(*) AS n, count(k) AS with_k, min(k) AS least, max(k) AS most, sum(k)::BIGINT AS total FROM (SELECT event_type, json_extract(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1",
     "classifier_eval": """WITH r AS (SELECT l.quality AS label, CASE WHEN length(regexp_replace(d.text, '[^A-Z!|$%&*#]', '', 'g')) / greatest(length(d.text), 1) > 0.2 THEN 0 ELSE 1 END AS predicted FROM documents d JOIN labels l USING (doc_id)),
         k AS (SELECT DISTINCT c FROM (SELECT label AS c FROM r UNION ALL SELECT predicted FROM r))
