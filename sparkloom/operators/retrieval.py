@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE = 1024  # vectors packed into one row
+TEXTS = 256  # texts packed into one row
+POSTINGS = 1_000_000  # of a pair of tiles, added up at a time
 
 
 def check_sizes(k: int, candidates: int | None = None) -> None:
@@ -37,8 +39,18 @@ def _tiles(rows: DataFrame, id_col: str, vector: str, section: str | None) -> Da
     return rows.select(F.col(id_col).cast("long").alias("i"), named.alias("s"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(pack, "ids array<long>, sections array<string>, x binary")
 
 
+def _top(s: np.ndarray, asked: np.ndarray, names: np.ndarray, k: int) -> pa.RecordBatch:
+    """Scores of each of `asked` (rows) for each of `names` -> the k best of each row that are finite, ties to smaller ids."""
+    kth = np.partition(s, max(len(names) - k, 0), axis=1)[:, max(len(names) - k, 0)]
+    r, c = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+    order = np.lexsort((names[c], -s[r, c], r))
+    r, c = r[order], c[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return pa.RecordBatch.from_arrays([pa.array(asked[r[keep]]), pa.array(names[c[keep]]), pa.array(s[r[keep], c[keep]])], ["query_id", "id", "score"])
+
+
 def _tile_top(k: int, own: bool, gated: bool):
-    """Pairs of a tile of queries and one of rows -> the k best rows of the tile for each query, ties to smaller ids."""
+    """Pairs of a tile of queries and one of rows -> the k best rows of the tile for each query."""
 
     def run(batches):
         for batch in batches:
@@ -50,12 +62,7 @@ def _tile_top(k: int, own: bool, gated: bool):
                     s[asked[:, None] == names[None, :]] = -np.inf
                 if gated:
                     s[np.array(pair["q_sections"], object)[:, None] != np.array(pair["sections"], object)[None, :]] = -np.inf
-                kth = np.partition(s, max(len(names) - k, 0), axis=1)[:, max(len(names) - k, 0)]
-                r, c = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
-                order = np.lexsort((names[c], -s[r, c], r))
-                r, c = r[order], c[order]
-                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-                yield pa.RecordBatch.from_arrays([pa.array(asked[r[keep]]), pa.array(names[c[keep]]), pa.array(s[r[keep], c[keep]])], ["query_id", "id", "score"])
+                yield _top(s, asked, names, k)
 
     return run
 
@@ -142,23 +149,109 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = N
     return raw.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight")), idf
 
 
+def _bags(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term keys of each row -> offsets of rows, distinct keys of each in order, how often each occurs there."""
+    lists = batch.column(batch.num_columns - 1)
+    keys, row = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    order = np.lexsort((keys, row))
+    keys, row = keys[order], row[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    return np.searchsorted(row[at], np.arange(batch.num_rows + 1)), keys[at], np.diff(np.append(at, len(keys)))
+
+
+def _counted(rows: DataFrame, id_col: str) -> DataFrame:
+    """(id, text) -> id, term, c: the distinct terms of each row, counted within the row."""
+
+    def count(batches):
+        for batch in batches:
+            offsets, keys, c = _bags(batch)
+            at, many = pa.array(offsets, pa.int32()), pa.array(c, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, keys), pa.ListArray.from_arrays(at, many)], ["id", "terms", "counts"])
+
+    found = rows.select(F.col(id_col).cast("long").alias("id"), term_keys(F.coalesce("text", F.lit("")))).mapInArrow(count, "id long, terms array<long>, counts array<int>")
+    return found.select(F.col("id").alias(id_col), F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("c"))))
+
+
+def _text_tiles(rows: DataFrame) -> DataFrame:
+    """(id, norm, text) -> TEXTS rows at a time packed into one: ids, offsets, terms, and weights before idf, by norm."""
+
+    def pack(batches):
+        for batch in batches:
+            for b in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(b, TEXTS)
+                offsets, keys, c = _bags(part)
+                w = (1 + np.log(c)) / np.repeat(part.column(1).to_numpy(), np.diff(offsets))
+                packed = (part.column(0).to_numpy().tobytes(), offsets.tobytes(), keys.tobytes(), w.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], ["ids", "offsets", "terms", "w"])
+
+    return rows.select("id", "norm", term_keys(F.coalesce("text", F.lit("")))).mapInArrow(pack, "ids binary, offsets binary, terms binary, w binary")
+
+
+def _question_tiles(weights: DataFrame) -> DataFrame:
+    """(query_id, terms, weights) -> TEXTS queries at a time packed into one: ids, and postings in the order of terms."""
+
+    def pack(batches):
+        for batch in batches:
+            for b in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(b, TEXTS)
+                terms, w = part.column(1), part.column(2).flatten().to_numpy()
+                keys, query = terms.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(terms.offsets.to_numpy()))
+                order = np.argsort(keys, kind="stable")
+                names, first = np.unique(keys[order], return_index=True)
+                packed = (part.column(0).to_numpy(), names, np.append(first, len(keys)), query[order], w[order])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["q_ids", "q_terms", "q_first", "q_query", "q_w"])
+
+    return weights.mapInArrow(pack, "q_ids binary, q_terms binary, q_first binary, q_query binary, q_w binary")
+
+
+def _text_top(k: int):
+    """Pairs of a tile of queries and one of texts -> the k best texts of the tile for each query, with scores above 0."""
+
+    def run(batches):
+        for batch in batches:
+            for pair in batch.to_pylist():
+                ids, offsets, terms, asked, names, first, query = (np.frombuffer(pair[c], np.int64) for c in ("ids", "offsets", "terms", "q_ids", "q_terms", "q_first", "q_query"))
+                w, q_w = np.frombuffer(pair["w"]), np.frombuffer(pair["q_w"])
+                at = np.minimum(np.searchsorted(names, terms), len(names) - 1)
+                hit = names[at] == terms
+                at, w, text = at[hit], w[hit], np.repeat(np.arange(len(ids)), np.diff(offsets))[hit]
+                many = first[at + 1] - first[at]
+                s = np.zeros(len(asked) * len(ids))
+                cuts = np.searchsorted(np.cumsum(many), np.arange(POSTINGS, many.sum() + POSTINGS, POSTINGS), side="right")
+                for a, b in zip(np.append(0, cuts), np.append(cuts, len(at))):
+                    m = many[a:b]
+                    post = np.repeat(first[at[a:b]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    s += np.bincount(query[post] * len(ids) + np.repeat(text[a:b], m), weights=q_w[post] * np.repeat(w[a:b], m), minlength=len(s))
+                s = np.round(s, 9).reshape(len(asked), len(ids))
+                yield _top(np.where(s > 0, s, -np.inf), asked, ids, k)
+
+    return run
+
+
 def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(id, text), (query_id, text) -> query_id, rank, id, score > 0; queries without known terms have no rows.
 
-    Terms are known by 64-bit hashes. Lengths of documents come from one aggregation of their terms; weights are
-    made for terms of the queries only.
+    Terms are known by 64-bit hashes; ids are unique. Lengths of texts come from one join of their terms with the
+    idf table. Then texts and queries are packed into tiles, and each pair of tiles gives k rows a query at most,
+    so that no row is made for a pair of a query and a text.
     """
     check_sizes(k)
-    counts = docs.select("id", F.explode(term_keys(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
+    counts = _counted(docs, "id")
     n = docs.agg(F.count("*").cast("double").alias("n"))  # one row
-    idf = counts.groupBy("term").count().crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("count"))) + 1).alias("idf"))
+    # by merging: the table of terms grows with the texts
+    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")).hint("merge")
     weight = ((1 + F.ln("c")) * F.col("idf")).alias("w")
     norms = counts.join(idf, "term").select("id", weight).groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    said = queries.select("query_id", F.explode(term_keys(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("c")).join(idf, "term").select("query_id", "term", "idf", weight)
-    asked = said.join(said.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm")), "query_id").select("query_id", "term", "idf", (F.col("w") / F.col("q_norm")).alias("qw"))
-    dots = counts.join(asked, "term").select("query_id", "id", (F.col("qw") * (1 + F.ln("c")) * F.col("idf")).alias("part")).groupBy("query_id", "id").agg(F.sum("part").alias("dot"))
-    scores = dots.join(norms, "id").select("query_id", "id", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
-    return ranked(scores.where("score > 0"), k)
+    said = _counted(queries, "query_id").join(idf, "term").select("query_id", "term", "idf", weight)
+    length = F.sqrt(F.aggregate("said", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    # a query's own terms bound this list
+    asked = said.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf", "w")).alias("said")).select(
+        "query_id", F.transform("said", lambda x: x["term"]).alias("terms"), F.transform("said", lambda x: x["idf"] * x["w"] / length).alias("weights")
+    )
+    texts = docs.select(F.col("id").cast("long").alias("id"), "text").join(norms.hint("merge"), "id").select("id", "norm", "text")
+    return ranked(_text_tiles(texts).crossJoin(_question_tiles(asked)).mapInArrow(_text_top(k), "query_id long, id long, score double"), k)
 
 
 def rrf(lists: Sequence[tuple[DataFrame, float]], k: int, constant: int = 60) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import guards
@@ -42,8 +42,6 @@ def _csv(c) -> F.Column:
     return F.array_join(F.coalesce(c, F.array().cast("array<string>")).cast("array<string>"), ",")
 
 
-
-
 @held_against(f"""WITH m AS (SELECT id, coalesce({_STRIP('text')}, '') AS t FROM {values('messages')})
     SELECT id, CASE WHEN t = '' THEN 'empty' WHEN length(t) > 1000 THEN 'too_long' WHEN {_any('lower(t)', guards.INPUT_PATTERNS)} THEN 'injection' END AS input_reason,
     CASE WHEN t = '' THEN 'empty' WHEN {_any('t', [f'(?i){p}' for p in guards.OUTPUT_PATTERNS])} THEN 'sensitive' END AS output_reason FROM m""")
@@ -461,10 +459,13 @@ def low_stock(spark: S, d: D) -> DataFrame:
 @held_against("""WITH l AS (SELECT source, list(lang ORDER BY doc_id)[1:3] AS a, list(lang ORDER BY doc_id DESC)[1:3] AS b FROM documents GROUP BY 1)
     SELECT source, list_sort(list_distinct(a)) = list_sort(list_distinct(b)) AS same, list_sort(list_distinct(a)) = list_sort(list_distinct(b)) AND a <> b AS changed FROM l""")
 def list_changes(spark: S, d: D) -> DataFrame:
-    pairs = F.array_sort(F.collect_list(F.struct("doc_id", "lang")))
-    rows = table(spark, d, "documents").groupBy("source").agg(F.transform(pairs, lambda x: x["lang"]).alias("l"))
-    a, b = F.slice("l", 1, 3), F.slice(F.reverse("l"), 1, 3)
-    return rows.select("source", filters.same_set(a, b).alias("same"), filters.order_changed(a, b).alias("changed"))
+    docs = table(spark, d, "documents").select("source", "doc_id", "lang")
+    ends = []
+    for name, order in (("a", F.col("doc_id")), ("b", F.desc("doc_id"))):
+        nth = F.row_number().over(Window.partitionBy("source").orderBy(order))
+        few = docs.withColumn("nth", nth).where("nth <= 3")  # three rows of a source, before they meet too
+        ends.append(few.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "lang"))), lambda x: x["lang"]).alias(name)))
+    return ends[0].join(ends[1], "source").select("source", filters.same_set(F.col("a"), F.col("b")).alias("same"), filters.order_changed(F.col("a"), F.col("b")).alias("changed"))
 
 
 @held_against("SELECT source FROM documents GROUP BY 1 HAVING count(*) FILTER (length(text) < 400) = 0")
