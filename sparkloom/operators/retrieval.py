@@ -144,9 +144,10 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = N
     if idf is None:
         n = docs.agg(F.count("*").cast("double").alias("n"))  # one row
         idf = counts.groupBy("term").count().crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("count"))) + 1).alias("idf"))
-    raw = counts.join(idf, "term").select(id_col, "term", ((1 + F.ln("count")) * F.col("idf")).alias("w"))
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight")), idf
+    # by merging: the table of terms grows with the texts
+    raw = counts.join(idf.hint("merge"), "term").select(id_col, "term", ((1 + F.ln("count")) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))  # of a text's own terms
+    return raw.select(id_col, "term", (F.col("w") / norm).alias("weight")), idf
 
 
 def _bags(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

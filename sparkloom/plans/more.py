@@ -239,7 +239,8 @@ def hybrid_reranked(spark: S, d: D) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), tokens("text").alias("dt"))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tokens("text").alias("qt"))
     score = lambda found: found.join(docs, "id").join(items, "query_id").withColumn("reranker_score", F.round(F.size(F.array_intersect("qt", "dt")) / F.size("qt"), 6))
-    return ret.hybrid_reranked(base._by_length(spark, d), base._lexical(spark, d, 30), score, 5).select("query_id", "rank", "id", "original_rank", "reranker_score")
+    lexical = base._lexical(spark, d, 30)
+    return ret.hybrid_reranked(base._by_length(spark, d, lexical), lexical, score, 5).select("query_id", "rank", "id", "original_rank", "reranker_score")
 
 
 @held_against(f"""WITH {_dense(64, 30, 'a')}, {_dense(32, 30, 'b')}, f AS (SELECT query_id, id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score, min(l * 1000 + rank) AS first FROM (SELECT query_id, id, 0 AS l, rank FROM a UNION ALL SELECT query_id, id, 1, rank FROM b) GROUP BY ALL)

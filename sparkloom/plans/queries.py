@@ -99,15 +99,17 @@ def tfidf_topk(spark: S, d: D) -> DataFrame:
     return _lexical(spark, d, 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-def _by_length(spark: S, d: D) -> DataFrame:
-    """A second ranking: candidates by how near their length is to the item's."""
+def _by_length(spark: S, d: D, found: DataFrame) -> DataFrame:
+    """A second ranking: the candidates found, by how near their length is to the item's."""
     docs, items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n")), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("m"))
-    rows = _lexical(spark, d, 30).select("query_id", "id").join(docs, "id").join(items, "query_id")
+    # every id found is in both tables; inner joins would filter one use of the ranking for nulls, and it would be made twice
+    rows = found.select("query_id", "id").join(docs, "id", "left").join(items, "query_id", "left")
     return ret.ranked(rows.withColumn("score", -F.abs(F.col("n") - F.col("m"))), 30).select("query_id", "id", "rank")
 
 
 def rrf_fusion(spark: S, d: D) -> DataFrame:
-    return ret.rrf([(_lexical(spark, d, 30), 0.5), (_by_length(spark, d), 0.5)], 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    found = _lexical(spark, d, 30)
+    return ret.rrf([(found, 0.5), (_by_length(spark, d, found), 0.5)], 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def rerank_scored(spark: S, d: D) -> DataFrame:
