@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import Tables, table
 from .decontaminate import matches
 from .line_dedup import line_dedup
+from .merkle import manifest
 from .minhash import near_duplicates
 from .nearest import nearest
 from .packing import packed
@@ -71,7 +72,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_line_dedup, op3_preference, op4_quality, op5_toxicity, op6_decontamination, op7_token_counts, op8_secrets, op9_nearest, op10_packing)
+    for f in (op1_minhash, op2_line_dedup, op3_preference, op4_quality, op5_toxicity, op6_decontamination, op7_token_counts, op8_secrets, op9_nearest, op10_packing, op12_merkle)
 }

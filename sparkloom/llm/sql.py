@@ -45,4 +45,24 @@ _LEAKS = rf"""WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), d AS (SE
     SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_minhash": _NEAR, "op2_line_dedup": _LINES, "op3_preference": _PAIRS, "op6_decontamination": _LEAKS}
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, j: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))"""
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_SIDES = "coalesce(string_agg(h, '') OVER (PARTITION BY {0}lvl, i // 16 ORDER BY i ROWS BETWEEN {1}), '')"
+_BEFORE, _AFTER = "UNBOUNDED PRECEDING AND 1 PRECEDING", "1 FOLLOWING AND UNBOUNDED FOLLOWING"
+_MANIFEST = f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN xor({_CRC.format('(doc_id::VARCHAR)')}, 4294967295::BIGINT) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed FROM documents),
+    l AS (SELECT row_number() OVER () AS r, doc_id, source AS g, {_LEAF.format('text')} AS leaf, {_LEAF.format('changed')} AS checked FROM d),
+    p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+    up AS (SELECT g, 0 AS lvl, i, leaf AS h, n FROM p UNION ALL SELECT g, lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 15) // 16 FROM up WHERE n > 1 GROUP BY g, lvl, i // 16),
+    sub AS (SELECT g, lvl AS depth, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+    top AS (SELECT 0 AS lvl, i, subroot AS h, n FROM sub UNION ALL SELECT lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 15) // 16 FROM top WHERE n > 1 GROUP BY lvl, i // 16),
+    a AS (SELECT g, lvl, i, n, {_SIDES.format('g, ', _BEFORE)} AS before, {_SIDES.format('g, ', _AFTER)} AS after FROM up),
+    b AS (SELECT lvl, i, n, {_SIDES.format('', _BEFORE)} AS before, {_SIDES.format('', _AFTER)} AS after FROM top),
+    steps AS (SELECT r, lvl AS k, before, after FROM p JOIN a ON a.g IS NOT DISTINCT FROM p.g AND a.i = p.i // (16 ** a.lvl)::BIGINT AND a.n > 1
+        UNION ALL SELECT r, depth + lvl, before, after FROM p JOIN sub ON sub.g IS NOT DISTINCT FROM p.g JOIN b ON b.i = sub.i // (16 ** b.lvl)::BIGINT AND b.n > 1),
+    fold AS (SELECT r, 0 AS k, checked AS h, '' AS proof FROM p UNION ALL SELECT fold.r, fold.k + 1, sha256(before || h || after), proof || before || after FROM fold JOIN steps ON steps.r = fold.r AND steps.k = fold.k),
+    ends AS (SELECT r, arg_max(h, k) AS folded_root, sha256(arg_max(proof, k)) AS proof_sha256 FROM fold GROUP BY r)
+    SELECT doc_id, leaf, subroot, top.h AS root, proof_sha256, folded_root, folded_root = top.h AS verified FROM p JOIN ends USING (r) JOIN sub ON sub.g IS NOT DISTINCT FROM p.g JOIN top ON top.n = 1"""
+
+ORACLES: dict[str, str] = {"op1_minhash": _NEAR, "op2_line_dedup": _LINES, "op3_preference": _PAIRS, "op6_decontamination": _LEAKS, "op12_merkle": _MANIFEST}
