@@ -18,6 +18,7 @@ from .quality import quality_scores
 from .secret_scan import BASE, joined, secret_spans
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .winnow import fingerprints
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_line_dedup, op3_preference, op4_quality, op5_toxicity, op6_decontamination, op7_token_counts, op8_secrets, op9_nearest, op10_packing, op12_merkle)
+    for f in (op1_minhash, op2_line_dedup, op3_preference, op4_quality, op5_toxicity, op6_decontamination, op7_token_counts, op8_secrets, op9_nearest, op10_packing, op12_merkle, op13_fingerprints)
 }
