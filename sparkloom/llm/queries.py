@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitslice import search
 from .common import Tables, table
 from .decontaminate import matches
 from .line_dedup import line_dedup
@@ -73,6 +74,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, table(spark, sf_dir, "documents"))
 
@@ -83,5 +88,5 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_line_dedup, op3_preference, op4_quality, op5_toxicity, op6_decontamination, op7_token_counts, op8_secrets, op9_nearest, op10_packing, op12_merkle, op13_fingerprints)
+    for f in (op1_minhash, op2_line_dedup, op3_preference, op4_quality, op5_toxicity, op6_decontamination, op7_token_counts, op8_secrets, op9_nearest, op10_packing, op11_search, op12_merkle, op13_fingerprints)
 }

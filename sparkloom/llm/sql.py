@@ -65,4 +65,14 @@ _MANIFEST = f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN xor({_CRC.format('(doc_
     ends AS (SELECT r, arg_max(h, k) AS folded_root, sha256(arg_max(proof, k)) AS proof_sha256 FROM fold GROUP BY r)
     SELECT doc_id, leaf, subroot, top.h AS root, proof_sha256, folded_root, folded_root = top.h AS verified FROM p JOIN ends USING (r) JOIN sub ON sub.g IS NOT DISTINCT FROM p.g JOIN top ON top.n = 1"""
 
-ORACLES: dict[str, str] = {"op1_minhash": _NEAR, "op2_line_dedup": _LINES, "op3_preference": _PAIRS, "op6_decontamination": _LEAKS, "op12_merkle": _MANIFEST}
+_TERMS = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_RANKED = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents), q AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS w FROM benchmark),
+    c AS (SELECT count(*)::BIGINT AS big_n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+    tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+    wt AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, c GROUP BY term, big_n),
+    qt AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS term FROM q) GROUP BY ALL),
+    s AS (SELECT item, item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * big_n) // l))))::BIGINT AS score
+          FROM qt JOIN tf USING (term) JOIN wt USING (term), c GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+ORACLES: dict[str, str] = {"op1_minhash": _NEAR, "op2_line_dedup": _LINES, "op3_preference": _PAIRS, "op6_decontamination": _LEAKS, "op11_search": _RANKED, "op12_merkle": _MANIFEST}
