@@ -1,8 +1,9 @@
 """Secret scans: patterns, and sliding-window Shannon entropy per character class. DataFrame functions only.
 
-Positions come from splitting a text at the matches of a pattern and adding up lengths. Over a candidate
-string, a window's symbol counts and the sum of c * log2(c) are carried along, one symbol entering and one
-leaving at each step, so each window's entropy is log2(w) - sum / w.
+Positions come from splitting a text at the matches of a pattern and adding up lengths, all of them at once by running
+sums of 1, 2, 4, ... neighbours. Over a candidate string, a window's symbol counts and the sum of c * log2(c) are
+carried along, one symbol entering and one leaving at each step, so each window's entropy is log2(w) - sum / w. Counts
+are five bits each, twelve to a long, so that a step changes two of a few numbers.
 """
 
 from __future__ import annotations
@@ -26,34 +27,43 @@ CLASSES = (
     ("hex_entropy", "0123456789abcdefABCDEF", r"[0-9A-Fa-f]{16,}", 16, 3.0),
     ("base64_entropy", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.9),
 )
-# Candidates that match one of these as a whole are no secrets.
+# Candidates that match one of these as a whole are no secrets. Loops of groups are possessive: a loop that can go back
+# takes stack for each of its rounds, and a candidate has any length.
 ALLOWED = (
     r"[0-9]+",
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(0123456789abcdef|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ|0123456789)+",
-    r"([A-Za-z]+[/_-])+[A-Za-z]+",
+    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
+    r"(?:0123456789abcdefghijklmnopqrstuvwxyz|0123456789abcdef|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ|0123456789)++",
+    r"(?:[A-Za-z]+[/_-])++[A-Za-z]+",
 )
+_BITS, _PACKED = 5, 12  # of a count, and counts in a long
 
 
 def _entropy_hull(candidate: str, alphabet: str, window: int, bits: float) -> str:
     """(b, e): first symbol of the first window and last of the last whose entropy is at least bits, from 1; or 0, 0."""
+    if window >= 1 << _BITS:
+        raise ValueError(f"a window holds fewer than {1 << _BITS} symbols")
     f = "array(" + ",".join(f"{c * math.log2(c) if c else 0.0!r}D" for c in range(window + 1)) + ")"
     hot = f"({math.log2(window)!r}D - acc.s / {window} >= {bits!r}D)"
-    return f"""aggregate(
+    place = lambda code: f"({code} div {_PACKED})"
+    one = lambda code: f"shiftleft(1L, cast({_BITS} * ({code} % {_PACKED}) AS INT))"
+    count = lambda code: f"cast(shiftright(acc.n[{place(code)}], cast({_BITS} * ({code} % {_PACKED}) AS INT)) & {(1 << _BITS) - 1} AS INT)"
+    enters, leaves = "codes[i - 1]", f"codes[i - 1 - {window}]"
+    # the codes stand outside of what is carried along, which is copied at each step
+    return f"""transform(array(transform(split({candidate}, ''), c -> instr('{alphabet}', c) - 1)), codes -> aggregate(
         sequence(1, length({candidate})),
-        named_struct('codes', transform(split({candidate}, ''), c -> instr('{alphabet}', c) - 1), 'n', array_repeat(0, {len(alphabet)}), 's', 0D, 'b', 0, 'e', 0),
+        named_struct('n', array_repeat(0L, {-(-len(alphabet) // _PACKED)}), 's', 0D, 'b', 0, 'e', 0),
         (acc, i) -> named_struct(
-            'codes', acc.codes,
-            'n', transform(acc.n, (v, k) -> v + int(k = acc.codes[i - 1]) - int(i > {window} AND k = acc.codes[i - 1 - {window}])),
-            's', CASE WHEN i <= {window} THEN acc.s + {f}[acc.n[acc.codes[i - 1]] + 1] - {f}[acc.n[acc.codes[i - 1]]]
-                 WHEN acc.codes[i - 1] = acc.codes[i - 1 - {window}] THEN acc.s
-                 ELSE acc.s + {f}[acc.n[acc.codes[i - 1]] + 1] - {f}[acc.n[acc.codes[i - 1]]]
-                      + {f}[acc.n[acc.codes[i - 1 - {window}]] - 1] - {f}[acc.n[acc.codes[i - 1 - {window}]]] END,
+            'n', CASE WHEN i <= {window} THEN transform(acc.n, (v, k) -> CASE WHEN k = {place(enters)} THEN v + {one(enters)} ELSE v END)
+                 WHEN {enters} = {leaves} THEN acc.n
+                 ELSE transform(acc.n, (v, k) -> v + CASE WHEN k = {place(enters)} THEN {one(enters)} ELSE 0L END - CASE WHEN k = {place(leaves)} THEN {one(leaves)} ELSE 0L END) END,
+            's', CASE WHEN i <= {window} THEN acc.s + {f}[{count(enters)} + 1] - {f}[{count(enters)}]
+                 WHEN {enters} = {leaves} THEN acc.s
+                 ELSE acc.s + {f}[{count(enters)} + 1] - {f}[{count(enters)}] + {f}[{count(leaves)} - 1] - {f}[{count(leaves)}] END,
             'b', CASE WHEN acc.b = 0 AND i > {window} AND {hot} THEN i - {window} ELSE acc.b END,
             'e', CASE WHEN i > {window} AND {hot} THEN i - 1 ELSE acc.e END),
         acc -> named_struct(
-            'b', CASE WHEN acc.b = 0 AND size(acc.codes) >= {window} AND {hot} THEN size(acc.codes) + 1 - {window} ELSE acc.b END,
-            'e', CASE WHEN size(acc.codes) >= {window} AND {hot} THEN size(acc.codes) ELSE acc.e END))"""
+            'b', CASE WHEN acc.b = 0 AND size(codes) >= {window} AND {hot} THEN size(codes) + 1 - {window} ELSE acc.b END,
+            'e', CASE WHEN size(codes) >= {window} AND {hot} THEN size(codes) ELSE acc.e END)))[0]"""
 
 
 _SPANS = "array<struct<start: int, nth: int, kind: string, end: int>>"
@@ -92,14 +102,12 @@ def secret_spans(documents: DataFrame, classes: Sequence[tuple] = CLASSES, allow
 
 
 def _spans(texts: str, gaps: str, nth: int, kind: str, condition: str, begin: str, end: str) -> Column:
-    """Spans of the matches that meet the condition; begin and end are offsets in match i. A match starts after
-    all gaps up to it and all matches before it."""
-    return F.expr(f"""transform(filter(aggregate({texts},
-        named_struct('i', 0, 'at', 0, 'out', cast(array() as array<struct<start: int, ok: boolean, end: int>>)),
-        (acc, m) -> named_struct('i', acc.i + 1, 'at', acc.at + length({gaps}[acc.i]) + length(m),
-            'out', array_append(acc.out, named_struct('start', acc.at + length({gaps}[acc.i]) + @b@, 'ok', @c@, 'end', acc.at + length({gaps}[acc.i]) + @e@))),
-        acc -> acc.out), x -> x.ok), x -> named_struct('start', x.start, 'nth', {nth}, 'kind', '{kind}', 'end', x.end))"""
-        .replace("@b@", begin.replace("[i]", "[acc.i]")).replace("@c@", condition.replace("[i]", "[acc.i]")).replace("@e@", end.replace("[i]", "[acc.i]")))
+    """Spans of the matches that meet the condition; begin and end are offsets in match i. A match ends after all gaps
+    up to it and all matches up to it."""
+    ends = f"""aggregate(sequence(0, 30), transform({texts}, (m, i) -> length({gaps}[i]) + length(m)),
+        (a, k) -> CASE WHEN size(a) <= shiftleft(1, k) THEN a ELSE transform(a, (x, i) -> CASE WHEN i < shiftleft(1, k) THEN x ELSE x + a[i - shiftleft(1, k)] END) END)"""
+    return F.expr(f"""transform(filter(transform({ends}, (at, i) -> named_struct(
+        'start', at - length({texts}[i]) + {begin}, 'ok', {condition}, 'end', at - length({texts}[i]) + {end})), x -> x.ok), x -> named_struct('start', x.start, 'nth', {nth}, 'kind', '{kind}', 'end', x.end))""")
 
 
 def joined(spans: Column) -> Column:
