@@ -23,7 +23,7 @@ def components(tables: Tables, links: DataFrame, name: str = "components") -> Da
     )
     before, n = None, 0
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 30))).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == before or now[0] == 0:
             break
         before, n = now, n + 1

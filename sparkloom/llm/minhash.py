@@ -24,6 +24,7 @@ ROWS = 6  # minhash values in a band
 MISS = 1e-7  # of a pair at the threshold: by the bands, and by each posterior bound
 BATCH, BATCHES = 32, 4  # signature values compared at once, and how often; a byte each, so equal ones never differ
 SMALL = 24  # buckets up to this size are compared whole; larger ones by leaders and components, with the same result
+ROUNDS = 6  # of leaders for crowds within large buckets; then their pairs are compared, with the same result
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,20 +60,20 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profiles(k: int, bands: int, rows: int):
-    """(doc_id, text) -> doc_id, n_shingles, set_key, bands, sig; an empty set has null set_key."""
+    """(doc_id, text, key) -> doc_id, key, n_shingles, set_key, bands, sig; an empty set has null set_key."""
 
     def run(batches):
         mul, add = _constants(max(bands * rows, BATCH * BATCHES))
         order = np.random.default_rng(7).permutation(len(mul))[: BATCH * BATCHES]
         for batch in batches:
-            n, key, band, sig = [], [], [], []
+            n, set_key, band, sig = [], [], [], []
             for text in binaries(batch.column(1)):
                 s = shingles(text, k)
                 n.append(len(s))
                 if not len(s):
-                    key.append(None), band.append(None), sig.append(None)
+                    set_key.append(None), band.append(None), sig.append(None)
                     continue
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                set_key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 m = _signature(s, mul, add)
                 acc = np.arange(1, bands + 1, dtype=np.uint64) * _K
                 for r in m[: bands * rows].reshape(bands, rows).T:
@@ -80,8 +81,8 @@ def _profiles(k: int, bands: int, rows: int):
                 band.append(acc.view(np.int64))
                 sig.append(m[order].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(set_key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                ["doc_id", "key", "n_shingles", "set_key", "bands", "sig"],
             )
 
     return run
@@ -161,10 +162,20 @@ def _side(t: DataFrame, i: str, c: str) -> DataFrame:
     return t.select(F.col("id").alias(i), F.col(c).alias(f"{c}_{i}"))
 
 
-def _sets_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The sets of documents with one of the ids. Texts of others are left out by a filter before the join deals them out."""
-    some = docs.where(among(spark, ids.select("id"), F.col("doc_id"))).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return some.dropDuplicates(["doc_id", "text"]).mapInArrow(_sets(k), "id long, shingles binary")
+def _sets_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The sets of the classes wanted(id, doc_id, key), from the text of one row each. Other texts are left out by a
+    filter before the join deals them out."""
+    some = docs.where(among(spark, wanted.select("key"), F.col("key"))).join(wanted, ["doc_id", "key"]).select("doc_id", "key", "id", "text").distinct()
+    return some.select("id", "text").mapInArrow(_sets(k), "id long, shingles binary")
+
+
+def _same_document(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes that rows of one doc_id are in, each with the first of them."""
+    hashed = F.xxhash64("set_key")
+    repeated = members.where("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("doc_id").agg(F.min(hashed).alias("x"), F.max(hashed).alias("y")).where("x <> y").select("doc_id")
+    held = members.join(repeated, "doc_id", "left_semi").join(classes, "set_key").select("doc_id", "id").distinct()
+    first = held.groupBy("doc_id").agg(F.min("id").alias("first"))
+    return held.join(first, "doc_id").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
 
 
 def _survivors(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -207,8 +218,9 @@ def _one_leader(groups: DataFrame, label: DataFrame) -> DataFrame:
     return groups.join(led.join(most, "main").select("leader", "most", "main"), "leader").select(F.col("most").alias("leader"), "id", "main").distinct()
 
 
-def _left_over(groups: DataFrame, found: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
-    """Pairs (a, b) of groups (leader, id) that could be links between two components; exact, and linear in a group.
+def _left_over(groups: DataFrame, found: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables, nth: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of groups (leader, id) that could be links between two components, and new groups of those who
+    share an item with a crowd; exact, and linear in a group.
 
     Write D(u) for what only one of u and the leader holds. Then |u xor v| = |D(u) xor D(v)|, and u and v are linked
     if it is at most T = (den - num) * (|u| + |v|) / (den + num). So D(u) and D(v) share (|D(u)| + |D(v)| - T) / 2
@@ -216,16 +228,19 @@ def _left_over(groups: DataFrame, found: DataFrame, sets: DataFrame, num: int, d
     (|D(v)| - |D(u)| + T) / 2 + 1 of D(v). Ordered from rare to common, those are mostly what each alone has, however
     much the group has in common. Who isn't linked with the leader is looked up (v); a linked one only looks (u), as
     does the one with the smaller D of two who aren't. Sizes of D that differ by more than T make no link, so no one
-    is looked up under more than T + 1 items.
+    is looked up under more than T + 1 items. Where more than SMALL are looked up under an item, the pairs that meet
+    there aren't made: all who meet there become a group of their own, led by one of them, who is like them in that
+    item at least. Items whose members are in one component are left.
     """
     label = found.withColumnRenamed("component", "c")
-    marked = _one_leader(groups, label).join(label.withColumnRenamed("c", "own"), "id", "left").select("leader", "id", F.coalesce("own", "id").alias("own"), "main")
+    joint = _one_leader(groups, label) if not nth else groups.join(label.withColumnsRenamed({"id": "leader", "c": "main"}), "leader", "left").select("leader", "id", F.coalesce("main", "leader").alias("main"))
+    marked = joint.join(label.withColumnRenamed("c", "own"), "id", "left").select("leader", "id", F.coalesce("own", "id").alias("own"), "main")
     split = marked.where("own <> main").select("leader").distinct()
-    members = tables.keep(marked.where(F.col("id") != F.col("leader")).join(split, "leader", "left_semi"), "members")
+    members = tables.keep(marked.where(F.col("id") != F.col("leader")).join(split, "leader", "left_semi"), f"members-{nth}")
     apart = tables.keep(
         members.join(_side(sets, "leader", "shingles"), "leader").join(_side(sets, "id", "shingles"), "id")
         .select("leader", "id", "own", "main", "shingles_leader", "shingles_id").mapInArrow(_differences(num, den), "leader long, id long, own long, main long, size long, lead long, far boolean, apart array<long>"),
-        "apart",
+        f"apart-{nth}",
     )
     items = apart.select("leader", "id", "own", "far", "size", F.size("apart").alias("y"), "lead", F.explode("apart").alias("item"))
     common = items.groupBy("leader", "item").agg(F.count("*").alias("n")).where("n > 1")
@@ -238,7 +253,14 @@ def _left_over(groups: DataFrame, found: DataFrame, sets: DataFrame, num: int, d
     own_window = Window.partitionBy("leader", "id")
     place = F.col("y") - F.count("*").over(own_window) + F.row_number().over(own_window.orderBy("n", "item"))
     rows = items.join(common, ["leader", "item"]).withColumn("place", place)
-    placed = tables.keep(rows.withColumn("looks", F.col("place") <= first).where((F.col("far") & (F.col("place") <= found_under)) | F.col("looks")).drop("lead"), "placed")
+    placed = tables.keep(rows.withColumn("looks", F.col("place") <= first).where((F.col("far") & (F.col("place") <= found_under)) | F.col("looks")).drop("lead"), f"placed-{nth}")
+    kinds = placed.groupBy("leader", "item").agg(F.count_if("far").alias("sought"), F.min("own").alias("x"), F.max("own").alias("y")).where("sought > 0 AND x <> y")
+    kinds = tables.keep(kinds.select("leader", "item", (F.col("sought") > SMALL if nth < ROUNDS else F.lit(False)).alias("crowd")), f"kinds-{nth}")
+    crowds = placed.join(kinds.where("crowd"), ["leader", "item"]).select("leader", "item", "id")
+    shares = crowds.groupBy("leader", "id").agg(F.count("*").alias("spread"))
+    leads = crowds.join(shares, ["leader", "id"]).groupBy("leader", "item").agg(F.max(F.struct("spread", "id"))["id"].alias("new"))
+    crowds = crowds.join(leads, ["leader", "item"]).select(F.col("new").alias("leader"), "id").distinct()
+    placed = placed.join(kinds.where("NOT crowd").select("leader", "item"), ["leader", "item"])
     sought = placed.where("far").select("leader", "item", F.col("id").alias("v"), F.col("own").alias("v_own"), F.col("size").alias("v_size"), F.col("y").alias("x"), F.col("place").alias("v_place"))
     within = F.floor(spread[0] * (F.col("size") + F.col("v_size")) / spread[1])
     pairs = placed.where("looks").join(
@@ -248,7 +270,7 @@ def _left_over(groups: DataFrame, found: DataFrame, sets: DataFrame, num: int, d
     )
     # one that is linked with the leader of the joint group, but met it in no bucket
     met = apart.where("NOT far AND own <> main")
-    return pairs.select(*_pair(F.col("id"), F.col("v"))).unionByName(met.select(*_pair(F.col("id"), F.col("leader")))).distinct()
+    return pairs.select(*_pair(F.col("id"), F.col("v"))).unionByName(met.select(*_pair(F.col("id"), F.col("leader")))).distinct(), crowds
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, num: int = 80, den: int = 100, miss: float = MISS, rows: int = ROWS) -> DataFrame:
@@ -257,24 +279,26 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, num:
     Documents are linked when den * |intersection| >= num * |union| of their shingle sets. component_id is the
     smallest doc_id reachable over links; kept tells that it is the row's own. Null and empty texts, and texts
     without words, have no shingles and are linked with nothing. Rows that repeat a doc_id count as one
-    document and get the same component_id; a null doc_id keeps a null component_id if nothing else has its
+    document, linked with whatever one of its texts is, and get the same component_id; a null doc_id keeps a null component_id if nothing else has its
     set. Other columns are not read. An empty table gives an empty result.
 
-    Rows with the same set are one class from the start, represented by their smallest doc_id. Buckets of two
-    are a pair; up to SMALL members are compared whole; in larger ones all members are compared with a leader,
-    the one that meets most others. Links found so far are closed to components, and in groups that are still
-    split, _left_over() finds every pair that could join two components. So no link that matters is left
-    uncompared, no group is gathered, and no group's pairs are made.
+    Rows with the same set are one class from the start, with a number of its own. Buckets of two are a pair; up to
+    SMALL members are compared whole; in larger ones all members are compared with a leader, the one that meets
+    most others. Links found so far are closed to components, and in groups that are still split, _left_over() finds
+    every pair that could join two components, or smaller groups that are looked at in the same way. So no link that
+    matters is left uncompared, no group is gathered, and no group's pairs are made.
     """
     tables = Tables(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("key", F.xxhash64("text"))
     bands = bands_for(num / den, rows, miss)
-    profiles = tables.keep(docs.mapInArrow(_profiles(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"), "profiles")
+    profiles = tables.keep(docs.mapInArrow(_profiles(k, bands, rows), "doc_id long, key long, n_shingles long, set_key binary, bands array<long>, sig binary"), "profiles")
     members = tables.keep(profiles.select("doc_id", "n_shingles", "set_key"), "documents")
-    # rows with the same set have the same bands and signature
-    classes = tables.keep(profiles.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "signatures")
+    # rows with the same set have the same bands and signature; the smallest of them stands for the class
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes = profiles.where("set_key IS NOT NULL").groupBy("set_key").agg(least.alias("least"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    classes = tables.keep(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "least.doc_id", "least.key", "bands", "sig"), "signatures")
     tables.drop("profiles")
-    sigs = classes.where("id IS NOT NULL").select("id", "sig", "bands")
+    sigs = classes.where("doc_id IS NOT NULL").select("id", "sig", "bands")
 
     banded = sigs.select("id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("n > 1 AND x < y")
@@ -294,17 +318,33 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, num:
     pairs = tables.keep(twos.unionByName(small).unionByName(led).distinct(), "pairs")
     near = tables.keep(_survivors(pairs, sigs, num / den, miss), "survivors")
     # sets of all that may be compared, so that texts are dealt out once
-    compared = tables.keep(near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(groups.select("id")).distinct(), "compared")
-    sets = tables.keep(_sets_of(spark, docs, compared, k), "sets")
-    links = tables.keep(_links(near, sets, num, den), "links")
-    found = components(tables, links, "first-components")
-    rest = tables.keep(_left_over(groups, found, sets, num, den, tables).join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _links(_survivors(rest, sigs, num / den, miss), sets, num, den)
-        found = components(tables, links.unionByName(more), "all-components")
-    tables.drop("buckets", "bucketed", "groups", "pairs", "survivors", "compared", "sets", "members", "apart", "placed", "rest")
-    return (
-        members.join(classes.select("set_key", "id"), "set_key", "left").join(found, "id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    compared = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(groups.select("id")).distinct()
+    wanted = tables.keep(compared.join(classes.select("id", "doc_id", "key"), "id"), "compared")
+    sets = tables.keep(_sets_of(spark, docs, wanted, k), "sets")
+    links = tables.keep(_links(near, sets, num, den).unionByName(_same_document(members, classes.select("set_key", "id"))), "links")
+    found, nth = components(tables, links, "components-0"), 0
+    while True:
+        rest, crowds = _left_over(groups, found, sets, num, den, tables, nth)
+        groups = tables.keep(crowds, f"crowds-{nth}")
+        rest = tables.keep(rest.unionByName(groups.where("id <> leader").select(*_pair(F.col("id"), F.col("leader")))).distinct().join(pairs, ["a", "b"], "left_anti"), f"rest-{nth}")
+        tables.drop(f"members-{nth}", f"apart-{nth}", f"placed-{nth}", f"kinds-{nth}")
+        nth += 1
+        if not rest.isEmpty():
+            more = tables.keep(_links(_survivors(rest, sigs, num / den, miss), sets, num, den), f"more-{nth}")
+            links = links.unionByName(more)
+            found = components(tables, links, f"components-{nth}")
+        if groups.isEmpty():
+            break
+    tables.drop("buckets", "bucketed", "groups", "pairs", "survivors", "compared", "sets", "links", *(f"{x}-{i}" for i in range(nth + 1) for x in ("crowds", "rest", "more")))
+    known = classes.select("id", "set_key", F.col("doc_id").alias("least"))
+    found = found.unionByName(found.select("component").distinct().select(F.col("component").alias("id"), "component"))
+    smallest = tables.keep(found.join(known, "id").groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
+    named = members.join(known, "set_key", "left").join(found.join(smallest, "component").select("id", "smallest"), "id", "left")
+    named = named.select("doc_id", "n_shingles", F.coalesce("smallest", "least", "doc_id").alias("component_id"))
+    # rows without words of a doc_id that has words elsewhere
+    bare = members.where("set_key IS NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
+    mixed_ids = tables.keep(members.where("set_key IS NOT NULL").join(bare, "doc_id", "left_semi").select("doc_id").distinct(), "bare")
+    if not mixed_ids.isEmpty():
+        theirs = named.where("n_shingles > 0").join(mixed_ids, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("theirs"))
+        named = named.join(theirs, "doc_id", "left").withColumn("component_id", F.coalesce("theirs", "component_id")).drop("theirs")
+    return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -59,6 +59,10 @@ def brute_components(rows, k, num, den):
         both = len(sets[i] & sets[j])
         if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
             parent[root(i)] = root(j)
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            parent[root(i)] = root(first.setdefault(d, i))
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
