@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import minhash
 from sparkloom.llm.common import Tables
 from sparkloom.llm.components import components
-from test_training_operators import ODD, brute_components, documents, near_copies
+from tests.llm.test_training_operators import ODD, brute_components, documents, near_copies
 
 
 def components_of(spark, rows, k=3, num=85):
