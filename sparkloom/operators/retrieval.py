@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE = 1024  # vectors packed into one row
-TEXTS = 256  # texts packed into one row
-POSTINGS = 1_000_000  # of a pair of tiles, added up at a time
 
 
 def check_sizes(k: int, candidates: int | None = None) -> None:
@@ -25,14 +23,27 @@ def check_sizes(k: int, candidates: int | None = None) -> None:
 
 
 def _tiles(rows: DataFrame, id_col: str, vector: str, section: str | None) -> DataFrame:
-    """TILE rows at a time packed into one: ids, sections as strings, and unit vectors as bytes of doubles."""
+    """TILE rows at a time packed into one: ids, sections as strings, and unit vectors as bytes of doubles. Vectors that
+    are null or zero, or hold a null or non-finite number, are left out."""
 
     def pack(batches):
         for batch in batches:
             for b in range(0, batch.num_rows, TILE):
                 part = batch.slice(b, TILE)
+                part = part.filter(part.column(2).is_valid())
+                if not part.num_rows:
+                    continue
+                lengths = part.column(2).value_lengths().to_numpy()
+                if (lengths != lengths[0]).any():
+                    raise ValueError("vectors must be of one length")
                 x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                norm = np.linalg.norm(x, axis=1)
+                good = np.isfinite(norm) & (norm > 0)
+                if not good.all():
+                    part, x, norm = part.filter(pa.array(good)), x[good], norm[good]
+                    if not len(x):
+                        continue
+                x = x / norm[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())], ["ids", "sections", "x"])
 
     named = F.col(section).cast("string") if section else F.lit(None).cast("string")
@@ -85,8 +96,8 @@ def ranked(scores: DataFrame, k: int, by: str = "query_id", ties: Sequence[str]
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_own: bool = False) -> DataFrame:
     """(query_id, vector), (id, vector) -> query_id, rank, id, score: exact cosine in double precision, to nine places.
 
-    Queries and rows are packed into tiles, and each pair of tiles gives k rows a query at most. Vectors must be
-    non-zero and of one length.
+    Queries and rows are packed into tiles, and each pair of tiles gives k rows a query at most. Vectors must be of one
+    length; queries and rows without a direction (null or zero, or with null or non-finite numbers) take no part.
     """
     check_sizes(k)
     return _best(queries, corpus, k, exclude_own)
@@ -162,7 +173,7 @@ def _bags(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(row[at], np.arange(batch.num_rows + 1)), keys[at], np.diff(np.append(at, len(keys)))
 
 
-def _counted(rows: DataFrame, id_col: str) -> DataFrame:
+def counted(rows: DataFrame, id_col: str) -> DataFrame:
     """(id, text) -> id, term, c: the distinct terms of each row, counted within the row."""
 
     def count(batches):
@@ -175,86 +186,6 @@ def _counted(rows: DataFrame, id_col: str) -> DataFrame:
     return found.select(F.col("id").alias(id_col), F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("c"))))
 
 
-def _text_tiles(rows: DataFrame) -> DataFrame:
-    """(id, norm, text) -> TEXTS rows at a time packed into one: ids, offsets, terms, and weights before idf, by norm."""
-
-    def pack(batches):
-        for batch in batches:
-            for b in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(b, TEXTS)
-                offsets, keys, c = _bags(part)
-                w = (1 + np.log(c)) / np.repeat(part.column(1).to_numpy(), np.diff(offsets))
-                packed = (part.column(0).to_numpy().tobytes(), offsets.tobytes(), keys.tobytes(), w.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], ["ids", "offsets", "terms", "w"])
-
-    return rows.select("id", "norm", term_keys(F.coalesce("text", F.lit("")))).mapInArrow(pack, "ids binary, offsets binary, terms binary, w binary")
-
-
-def _question_tiles(weights: DataFrame) -> DataFrame:
-    """(query_id, terms, weights) -> TEXTS queries at a time packed into one: ids, and postings in the order of terms."""
-
-    def pack(batches):
-        for batch in batches:
-            for b in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(b, TEXTS)
-                terms, w = part.column(1), part.column(2).flatten().to_numpy()
-                keys, query = terms.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(terms.offsets.to_numpy()))
-                order = np.argsort(keys, kind="stable")
-                names, first = np.unique(keys[order], return_index=True)
-                packed = (part.column(0).to_numpy(), names, np.append(first, len(keys)), query[order], w[order])
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["q_ids", "q_terms", "q_first", "q_query", "q_w"])
-
-    return weights.mapInArrow(pack, "q_ids binary, q_terms binary, q_first binary, q_query binary, q_w binary")
-
-
-def _text_top(k: int):
-    """Pairs of a tile of queries and one of texts -> the k best texts of the tile for each query, with scores above 0."""
-
-    def run(batches):
-        for batch in batches:
-            for pair in batch.to_pylist():
-                ids, offsets, terms, asked, names, first, query = (np.frombuffer(pair[c], np.int64) for c in ("ids", "offsets", "terms", "q_ids", "q_terms", "q_first", "q_query"))
-                w, q_w = np.frombuffer(pair["w"]), np.frombuffer(pair["q_w"])
-                at = np.minimum(np.searchsorted(names, terms), len(names) - 1)
-                hit = names[at] == terms
-                at, w, text = at[hit], w[hit], np.repeat(np.arange(len(ids)), np.diff(offsets))[hit]
-                many = first[at + 1] - first[at]
-                s = np.zeros(len(asked) * len(ids))
-                cuts = np.searchsorted(np.cumsum(many), np.arange(POSTINGS, many.sum() + POSTINGS, POSTINGS), side="right")
-                for a, b in zip(np.append(0, cuts), np.append(cuts, len(at))):
-                    m = many[a:b]
-                    post = np.repeat(first[at[a:b]] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                    s += np.bincount(query[post] * len(ids) + np.repeat(text[a:b], m), weights=q_w[post] * np.repeat(w[a:b], m), minlength=len(s))
-                s = np.round(s, 9).reshape(len(asked), len(ids))
-                yield _top(np.where(s > 0, s, -np.inf), asked, ids, k)
-
-    return run
-
-
-def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(id, text), (query_id, text) -> query_id, rank, id, score > 0; queries without known terms have no rows.
-
-    Terms are known by 64-bit hashes; ids are unique. Lengths of texts come from one join of their terms with the
-    idf table. Then texts and queries are packed into tiles, and each pair of tiles gives k rows a query at most,
-    so that no row is made for a pair of a query and a text.
-    """
-    check_sizes(k)
-    counts = _counted(docs, "id")
-    n = docs.agg(F.count("*").cast("double").alias("n"))  # one row
-    # by merging: the table of terms grows with the texts
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")).hint("merge")
-    weight = ((1 + F.ln("c")) * F.col("idf")).alias("w")
-    norms = counts.join(idf, "term").select("id", weight).groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    said = _counted(queries, "query_id").join(idf, "term").select("query_id", "term", "idf", weight)
-    length = F.sqrt(F.aggregate("said", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    # a query's own terms bound this list
-    asked = said.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf", "w")).alias("said")).select(
-        "query_id", F.transform("said", lambda x: x["term"]).alias("terms"), F.transform("said", lambda x: x["idf"] * x["w"] / length).alias("weights")
-    )
-    texts = docs.select(F.col("id").cast("long").alias("id"), "text").join(norms.hint("merge"), "id").select("id", "norm", "text")
-    return ranked(_text_tiles(texts).crossJoin(_question_tiles(asked)).mapInArrow(_text_top(k), "query_id long, id long, score double"), k)
-
-
 def rrf(lists: Sequence[tuple[DataFrame, float]], k: int, constant: int = 60) -> DataFrame:
     """Weighted reciprocal-rank fusion of (query_id, id, rank) lists; ties by the first list and rank an id is in."""
     check_sizes(k)

@@ -285,43 +285,3 @@ def test_untouched_helpers(spark, tmp_path):
         retrieval.hybrid(rows, rows, 5, 3)
     texts, seen = assembly.search_both(lambda q: q.select("id"), lambda q: q.select("id"), spark.createDataFrame([(1, "Show me a bouquet"), (2, "what time")], "id int, text string"))
     assert texts.count() == 2 and [r.id for r in seen.collect()] == [1]
-
-
-def test_lexical_search_by_tiles_is_the_whole_search(spark, monkeypatch):
-    """Several tiles and slices of postings, ties, null and empty texts, against weights worked out here."""
-    import random
-    import re
-
-    monkeypatch.setattr(retrieval, "TEXTS", 7)
-    monkeypatch.setattr(retrieval, "POSTINGS", 20)
-    rng = random.Random(5)
-    common, rare = "the ab bc zz yy".split(), "cd de ef fg gh Été x1 The".split()
-    some = lambda n: " ".join(rng.choice(rare if rng.random() < 0.2 else common) for _ in range(n))
-    texts = {i: some(rng.randrange(1, 30)) for i in range(40)} | {40: None, 41: "", 42: "!!", 43: "the ab bc", 44: "the ab bc"}
-    asked = {i: some(rng.randrange(1, 6)) for i in range(17)} | {17: None, 18: "", 19: "nobody says this"}
-
-    def bag(t):
-        words = re.findall(r"\w{2,}", (t or "").lower())
-        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
-        return {x: terms.count(x) for x in terms}
-
-    bags = {i: bag(t) for i, t in texts.items()}
-    idf = {x: math.log((1 + len(texts)) / (1 + sum(x in b for b in bags.values()))) + 1 for x in set().union(*bags.values())}
-
-    def unit(b):
-        w = {x: (1 + math.log(c)) * idf[x] for x, c in b.items() if x in idf}
-        norm = math.sqrt(sum(v * v for v in w.values()))
-        return {x: v / norm for x, v in w.items()}
-
-    vectors = {i: unit(b) for i, b in bags.items()}
-    want = {}
-    for q, t in asked.items():
-        v = unit(bag(t))
-        best = sorted((-round(sum(x * vectors[i].get(y, 0) for y, x in v.items()), 9), i) for i in texts)
-        want |= {(q, n): (i, -s) for n, (s, i) in enumerate((b for b in best if b[0] < 0), 1) if n <= 5}
-    docs, queries = spark.createDataFrame(list(texts.items()), "id long, text string"), spark.createDataFrame(list(asked.items()), "query_id long, text string")
-    got = {(r.query_id, r.rank): (r.id, r.score) for r in retrieval.tfidf_topk(docs, queries, 5).collect()}
-    assert {key: s for key, (_, s) in got.items()} == pytest.approx({key: s for key, (_, s) in want.items()}, abs=2e-9)
-    assert {key: i for key, (i, _) in got.items()} == {key: i for key, (i, _) in want.items()}
-    none = docs.where("id < 0")
-    assert not retrieval.tfidf_topk(none, queries, 5).collect() and not retrieval.tfidf_topk(docs, queries.where("query_id < 0"), 5).collect()
