@@ -24,7 +24,8 @@ ROWS = 6  # minhash values in a band
 MISS = 1e-7  # of a pair at the threshold: by the bands, and by each posterior bound
 BATCH, BATCHES = 32, 4  # signature values compared at once, and how often; a byte each, so equal ones never differ
 SMALL = 24  # buckets up to this size are compared whole; larger ones by leaders and components, with the same result
-ROUNDS = 6  # of leaders for crowds within large buckets; then their pairs are compared, with the same result
+CROWD = 1000  # looked up under one item of a group; larger crowds become groups of their own, with the same result
+ROUNDS = 6  # of such groups; then the pairs of a crowd are compared, with the same result
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -228,7 +229,7 @@ def _left_over(groups: DataFrame, found: DataFrame, sets: DataFrame, num: int, d
     (|D(v)| - |D(u)| + T) / 2 + 1 of D(v). Ordered from rare to common, those are mostly what each alone has, however
     much the group has in common. Who isn't linked with the leader is looked up (v); a linked one only looks (u), as
     does the one with the smaller D of two who aren't. Sizes of D that differ by more than T make no link, so no one
-    is looked up under more than T + 1 items. Where more than SMALL are looked up under an item, the pairs that meet
+    is looked up under more than T + 1 items. Where more than CROWD are looked up under an item, the pairs that meet
     there aren't made: all who meet there become a group of their own, led by one of them, who is like them in that
     item at least. Items whose members are in one component are left.
     """
@@ -254,13 +255,13 @@ def _left_over(groups: DataFrame, found: DataFrame, sets: DataFrame, num: int, d
     place = F.col("y") - F.count("*").over(own_window) + F.row_number().over(own_window.orderBy("n", "item"))
     rows = items.join(common, ["leader", "item"]).withColumn("place", place)
     placed = tables.keep(rows.withColumn("looks", F.col("place") <= first).where((F.col("far") & (F.col("place") <= found_under)) | F.col("looks")).drop("lead"), f"placed-{nth}")
-    kinds = placed.groupBy("leader", "item").agg(F.count_if("far").alias("sought"), F.min("own").alias("x"), F.max("own").alias("y")).where("sought > 0 AND x <> y")
-    kinds = tables.keep(kinds.select("leader", "item", (F.col("sought") > SMALL if nth < ROUNDS else F.lit(False)).alias("crowd")), f"kinds-{nth}")
-    crowds = placed.join(kinds.where("crowd"), ["leader", "item"]).select("leader", "item", "id")
+    met = placed.groupBy("leader", "item").agg(F.count_if("far").alias("sought"), F.min("own").alias("x"), F.max("own").alias("y")).where("sought > 0 AND x <> y")
+    split_items = tables.keep(met.select("leader", "item", (F.col("sought") > (CROWD if nth < ROUNDS else 2**62)).alias("crowd")), f"kinds-{nth}")
+    crowds = placed.join(split_items.where("crowd"), ["leader", "item"], "left_semi").select("leader", "item", "id")
     shares = crowds.groupBy("leader", "id").agg(F.count("*").alias("spread"))
     leads = crowds.join(shares, ["leader", "id"]).groupBy("leader", "item").agg(F.max(F.struct("spread", "id"))["id"].alias("new"))
     crowds = crowds.join(leads, ["leader", "item"]).select(F.col("new").alias("leader"), "id").distinct()
-    placed = placed.join(kinds.where("NOT crowd").select("leader", "item"), ["leader", "item"])
+    placed = placed.join(split_items.where("NOT crowd"), ["leader", "item"], "left_semi")
     sought = placed.where("far").select("leader", "item", F.col("id").alias("v"), F.col("own").alias("v_own"), F.col("size").alias("v_size"), F.col("y").alias("x"), F.col("place").alias("v_place"))
     within = F.floor(spread[0] * (F.col("size") + F.col("v_size")) / spread[1])
     pairs = placed.where("looks").join(
@@ -269,8 +270,8 @@ def _left_over(groups: DataFrame, found: DataFrame, sets: DataFrame, num: int, d
         & (~F.col("far") | (F.struct("x", "v") > F.struct("y", "id"))) & (F.col("place") <= F.floor((F.col("y") - F.col("x") + within) / 2) + 1) & (F.col("v_place") <= F.floor((F.col("x") - F.col("y") + within) / 2) + 1),
     )
     # one that is linked with the leader of the joint group, but met it in no bucket
-    met = apart.where("NOT far AND own <> main")
-    return pairs.select(*_pair(F.col("id"), F.col("v"))).unionByName(met.select(*_pair(F.col("id"), F.col("leader")))).distinct(), crowds
+    alone = apart.where("NOT far AND own <> main")
+    return pairs.select(*_pair(F.col("id"), F.col("v"))).unionByName(alone.select(*_pair(F.col("id"), F.col("leader")))).distinct(), crowds
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, k: int = 5, num: int = 80, den: int = 100, miss: float = MISS, rows: int = ROWS) -> DataFrame:

@@ -62,11 +62,12 @@ def crowd(n, seed):
     return [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
 
 
-@pytest.mark.parametrize("rounds", [6, 0])
+@pytest.mark.parametrize("rounds", [2, 0])
 def test_crowds_within_a_bucket(spark, monkeypatch, rounds):
     monkeypatch.setattr(minhash, "SMALL", 6)
     monkeypatch.setattr(minhash, "ROWS", 2)
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "CROWD", 10)
     rows = crowd(240, 1)
     got = minhash.near_duplicates(spark, documents(spark, rows), 3, 85, 100, rows=1)  # one row a band: buckets hold nearly all
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 3, 85, 100)
