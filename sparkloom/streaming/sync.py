@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.indexing import synced
+from ..sources.versions import VersionedTable
 
 
-def sync_stream(spark: SparkSession, chunks: DataFrame, path: str, checkpoint: str, key: str = "point_id", source: str = "source_path") -> StreamingQuery:
-    """Applies each micro-batch to a versioned Parquet index under `path`; a batch that is replayed gives the same version."""
+def sync_stream(spark: SparkSession, chunks: DataFrame, path: str, checkpoint: str, key: str = "point_id", source: str = "source_path", buckets: int = 32) -> StreamingQuery:
+    """Applies each micro-batch to a versioned index under `path`: the rows of a batch are all that their sources now have.
+
+    Only buckets of a batch's sources are written. A batch that is replayed, after a restart between its publication and
+    the stream's own commit, changes nothing.
+    """
+    table = VersionedTable(spark, path, key, source, buckets)
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.parquet(f"{path}/v{epoch - 1}") if epoch else batch.limit(0)
-        synced(old, batch, key, source).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        table.apply(batch, epoch)
 
     return chunks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

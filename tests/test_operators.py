@@ -206,6 +206,7 @@ def test_index_sync_ids_and_fingerprints(spark):
 
 
 def test_stream_sync(spark, tmp_path):
+    from sparkloom.sources.versions import VersionedTable
     from sparkloom.streaming.sync import event_windows, sync_stream
 
     schema = "point_id int, source_path string, t string"
@@ -213,7 +214,8 @@ def test_stream_sync(spark, tmp_path):
     for rows in ([(1, "a", "x"), (2, "a", "y"), (3, "b", "z")], [(1, "a", "x2")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         sync_stream(spark, spark.readStream.schema(schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/v1")).collect())) == [(1, "a", "x2"), (3, "b", "z")]
+    found = VersionedTable(spark, str(tmp_path / "out"), "point_id", "source_path").read()
+    assert sorted(map(tuple, found.collect())) == [(1, "a", "x2"), (3, "b", "z")]
     events = spark.createDataFrame([(dt.datetime(2025, 1, 1, 0, 5), "click", 1.0), (dt.datetime(2025, 1, 1, 0, 50), "click", 2.0)], "ts timestamp, event_type string, value double")
     assert event_windows(events).first()["n"] == 2
 
