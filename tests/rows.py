@@ -1,11 +1,9 @@
-"""Small hand-made tables for rules that the driver's tables can't reach, as DataFrames and as SQL VALUES."""
+"""Small hand-made tables for rules that the driver's tables can't reach, and their rows as SQL VALUES."""
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
-
 _SQL = {"int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "array<int>": "INTEGER[]", "array<string>": "VARCHAR[]"}
 
 _D, _T = dt.date, dt.datetime
@@ -60,6 +58,7 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
     "topics": ("topic string, file_name string", [("organizer", "a.pdf"), ("checklist", "b.pdf"), ("checklist", "c.pdf"), ("sustainable", "d.pdf")]),
     "hits": ("query_id int, attempt int, rank int, chunk_id string, file_name string", [(1, 1, 1, "c1", "a.pdf"), (1, 1, 2, "c9", "z.pdf"), (1, 1, 3, "c2", "a.pdf"), (1, 2, 1, "c4", "b.pdf"), (1, 2, 2, "c1", "a.pdf"), (2, 1, 1, "c5", "c.pdf"), (2, 2, 1, "c9", "z.pdf")]),
     "variants": ("query string, model string, variant_count int, variants array<string>", [("q one", "m", 2, [" alt ", "q one", "", "other", "more"]), ("q one", "n", 2, ["no"]), ("q two", "m", 3, ["no"])]),
+    "asked": ("query string", [("q one",), ("q two",)]),
     "judged": ("id int, language string, mode string, cross_language boolean, faithful double, correct double, relevant double, router_ok boolean, same_doc boolean, no_images boolean", [
         (1, "English", "text", False, 4.0, 3.0, 4.0, True, None, True), (2, "English", "visual", False, 3.0, None, 4.0, False, True, None), (3, "French", "text", True, 2.0, 4.0, 3.0, True, None, False), (4, "Arabic", "visual", True, 4.0, 4.0, 4.0, True, False, None),
     ]),
@@ -71,11 +70,6 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
 }
 
 
-def frame(spark: SparkSession, name: str) -> DataFrame:
-    schema, rows = ROWS[name]
-    return spark.createDataFrame(rows, schema)
-
-
 def _literal(v) -> str:
     if v is None:
         return "NULL"
