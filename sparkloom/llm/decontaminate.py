@@ -242,16 +242,16 @@ def _without(text: str, hit: np.ndarray) -> str:
 
 
 def _cleaned(shared, most: float):
-    """Rows of documents without the words that are hit; the rest of the columns as they are. Hits are in the column
-    spans, or found with the one automaton that is shared."""
+    """Rows of documents without the words that are hit; the rest of the columns as they are. Hits are in the last
+    column, or found with the one automaton that is shared."""
 
     def run(batches):
         for batch in batches:
-            schema = batch.schema if shared else batch.schema.remove(batch.schema.get_field_index("spans"))
+            schema = batch.schema if shared else batch.schema.remove(len(batch.schema) - 1)  # hits come last, whatever the others are called
             at, texts, keep = batch.schema.get_field_index("text"), [], []
             for i, text in enumerate(x.as_py() for x in batch.column(at)):
                 words = words_of(text.encode()) if text else []
-                spans = shared.value.scan(words)[0] if shared else [(s["start"], s["end"]) for s in batch.column("spans")[i].as_py() or ()]
+                spans = shared.value.scan(words)[0] if shared else [(s["start"], s["end"]) for s in batch.column(batch.num_columns - 1)[i].as_py() or ()]
                 if spans:
                     hit = np.zeros(len(words), bool)
                     for b, e in spans:
@@ -260,7 +260,7 @@ def _cleaned(shared, most: float):
                         continue
                     text = _without(text, hit)
                 texts.append(text), keep.append(i)
-            kept = batch.select(schema.names).take(pa.array(keep, pa.int64()))
+            kept = batch.select(range(len(schema))).take(pa.array(keep, pa.int64()))
             columns = [pa.array(texts, c.type) if n == "text" else c for n, c in zip(schema.names, kept.columns, strict=True)]
             if (k := schema.get_field_index("n_chars")) >= 0:
                 columns[k] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[k].type)
@@ -278,8 +278,8 @@ def decontaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFra
     blocks = automata(spark, benchmark, window)
     if len(blocks) == 1:
         return documents.mapInArrow(_cleaned(blocks[0], most), documents.schema)
-    hits = _merged(documents, blocks).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"}).select("hit_id", "hit_key", "spans")
+    hits = _merged(documents, blocks).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key", "spans": "hits"}).select("hit_id", "hit_key", "hits")
     # a text is known by its id and the digest by which its spans were found
     keyed = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.unhex(F.sha2(text_or_empty(), 256)).alias("own_key"))
     met = keyed.join(hits, F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_key") == F.col("hit_key")), "left")
-    return met.select(*(F.col("row")[c].alias(c) for c in documents.columns), "spans").mapInArrow(_cleaned(None, most), documents.schema)
+    return met.select(*(F.col("row")[c].alias(c) for c in documents.columns), F.col("hits").alias("\0hits")).mapInArrow(_cleaned(None, most), documents.schema)

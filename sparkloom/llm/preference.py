@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import digits, ranked
+
 OPEN, CLOSE = "<|", "|>"
 
 
@@ -77,15 +79,17 @@ def preference_pairs(turns: DataFrame, trained: str = "assistant") -> DataFrame:
 
 def swapped_answers(conversations: DataFrame) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> turns of pairs: a conversation up to its last assistant turn is
-    chosen; with that turn answered as the conversation of the next id ends, it is rejected. Where no next id
-    has an assistant turn, the pair has its chosen side only; conversations without one make no pair. Of tied last
+    chosen; with that turn answered as the next one that has an assistant turn ends, by conv_id, it is rejected. The
+    last of them has its chosen side only; conversations without an assistant turn make no pair. Of tied last
     turns the largest text answers. Rows with a null conv_id or turn are left out, null texts count as empty, rows
-    that repeat stay; an empty table gives an empty result."""
-    said = conversations.where("role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL")
+    that repeat stay; an empty table gives an empty result. What comes next is found by ranks from digit histograms."""
+    said = conversations.where("role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL").withColumn("conv_id", F.col("conv_id").cast("long"))
     last = said.groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    answers = last.select("conv_id", F.col("last.turn").alias("end"))
-    donors = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
-    rows = conversations.select("conv_id", "turn", "role", "text").join(answers.join(donors, "conv_id", "left"), "conv_id").where("turn <= end")
+    prefixes = digits(F.col("conv_id"), *said.agg(F.min("conv_id"), F.max("conv_id")).first(), "conv_id")
+    places = ranked(said.groupBy("conv_id").agg(F.lit(1).alias("n")).withColumns({"all": F.lit(0), **prefixes}), ["all"], [*prefixes, "conv_id"]).select("conv_id", "before")
+    answers = last.join(places, "conv_id").select("conv_id", F.col("last.turn").alias("end"), "before")
+    donors = last.join(places, "conv_id").select((F.col("before") - 1).alias("before"), F.col("last.text").alias("other"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").join(answers.join(donors, "before", "left").drop("before"), "conv_id").where("turn <= end")
     sides = F.array(
         F.struct(F.lit("chosen").alias("side"), F.col("text").alias("said")),
         F.struct(F.when(F.col("other").isNotNull(), "rejected").alias("side"), F.when((F.col("turn") == F.col("end")) & (F.col("role") == "assistant"), F.col("other")).otherwise(F.col("text")).alias("said")),

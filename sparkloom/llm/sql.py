@@ -25,9 +25,9 @@ _LINES = f"""WITH l AS (SELECT DISTINCT source, {_TRIM.format('line')} AS line F
     SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, CASE WHEN cut THEN len(lines) - len(kept) ELSE 0 END::BIGINT AS n_removed, CASE WHEN cut THEN array_to_string(kept, chr(10)) ELSE text END AS clean_text FROM c"""
 
 _SAID = r"'<|' || coalesce(role, '') || '|>' || chr(10) || replace(replace(coalesce({}, ''), '\', '\\'), '<|', '<\|') || chr(10)"
-_PAIRS = f"""WITH last AS (SELECT conv_id, max(turn) AS fin, arg_max(coalesce(text, ''), turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1),
-    t AS (SELECT c.conv_id, c.turn, c.role, c.turn = l.fin AS ends, {_SAID.format('c.text')} AS mine, CASE WHEN c.turn = l.fin THEN {_SAID.format('o.answer')} ELSE {_SAID.format('c.text')} END AS other, o.answer IS NOT NULL AS paired
-          FROM conversations c JOIN last l ON l.conv_id = c.conv_id AND c.turn <= l.fin LEFT JOIN last o ON o.conv_id = c.conv_id + 1),
+_PAIRS = f"""WITH said AS (SELECT conv_id, max(turn) AS fin, arg_max(coalesce(text, ''), turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1), last AS (SELECT *, lead(answer) OVER (ORDER BY conv_id) AS next FROM said),
+    t AS (SELECT c.conv_id, c.turn, c.role, c.turn = l.fin AS ends, {_SAID.format('c.text')} AS mine, CASE WHEN c.turn = l.fin THEN {_SAID.format('l.next')} ELSE {_SAID.format('c.text')} END AS other, l.next IS NOT NULL AS paired
+          FROM conversations c JOIN last l ON l.conv_id = c.conv_id AND c.turn <= l.fin),
     p AS (SELECT *, paired AND mine = other AS common FROM t),
     o AS (SELECT *, sum(CASE WHEN common THEN 0 ELSE length(mine) END) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM p)
     SELECT conv_id AS pair_id, count(*) FILTER (common)::BIGINT AS n_prompt, coalesce(string_agg(mine, '' ORDER BY turn) FILTER (common), '') AS prompt, coalesce(string_agg(mine, '' ORDER BY turn) FILTER (NOT common), '') AS chosen,

@@ -319,7 +319,8 @@ def test_preference_of_nothing_and_of_odd_conversations(spark):
     got = {r.pair_id: r for r in preference_pairs(swapped_answers(spark.createDataFrame([(*r, "x", "y") for r in rows], schema))).collect()}
     assert got.keys() == {1, 2, 5}
     assert got[1].prompt == "<|user|>\nhi\n" and got[1].chosen == "<|assistant|>\na\n<|assistant|>\nb\n" and got[1].rejected == "<|assistant|>\n\n"
-    assert (got[2].n_prompt, got[2].chosen, got[2].rejected) == (0, "<|user|>\n\n<|assistant|>\n\n", "") and got[5].chosen == "<|assistant|>\nfive\n"
+    assert (got[2].prompt, got[2].chosen, got[2].rejected) == ("<|user|>\n\n", "<|assistant|>\n\n", "<|assistant|>\nfive\n")
+    assert (got[5].n_prompt, got[5].chosen, got[5].rejected) == (0, "<|assistant|>\nfive\n", "")
 
 
 def test_token_counts_are_the_librarys_and_come_from_the_cache(spark, tmp_path):
