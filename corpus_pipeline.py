@@ -36,11 +36,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     group, the row with the smallest doc_id stays, and one with a null only if all are null. Rows without words
     are linked with nothing and all stay.
     """
-    numbered = Tables(spark).keep(docs.withColumn("near_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(spark, numbered.select(F.col("near_row").alias("doc_id"), "text"), k=5, num=80, den=100)
-    groups = found.select(F.col("doc_id").alias("near_row"), "component_id").join(numbered.select("near_row", "doc_id"), "near_row")
+    # the columns of documents go in one, so that none of theirs is taken for one of these
+    numbered = Tables(spark).keep(docs.select(F.monotonically_increasing_id().alias("near_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "rows")
+    found = near_duplicates(spark, numbered.select(F.col("near_row").alias("doc_id"), F.col("row.text").alias("text")), k=5, num=80, den=100)
+    groups = found.select(F.col("doc_id").alias("near_row"), "component_id").join(numbered.select("near_row", F.col("row.doc_id").alias("doc_id")), "near_row")
     stays = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "near_row"))["near_row"].alias("near_row"))
-    return numbered.join(stays.select("near_row"), "near_row", "left_semi").select(docs.columns)
+    return numbered.join(stays.select("near_row"), "near_row", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
