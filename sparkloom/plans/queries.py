@@ -12,6 +12,7 @@ from ..operators import relational as rel
 from ..operators import retrieval as ret
 from ..operators import scoring as sc
 from ..operators import text as tx
+from ..operators.quantiles import percentiles
 from ..sources.indexing import synced
 from ..sources.tables import table
 
@@ -164,11 +165,13 @@ def boilerplate_lines(spark: S, d: D) -> DataFrame:
 
 
 def doc_profile(spark: S, d: D) -> DataFrame:
-    n = F.col("n_chars")
-    return table(spark, d, "documents").groupBy("lang").agg(
-        F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean"), F.round(F.stddev_samp(n), 4).alias("std"), F.min(n).alias("least"), F.percentile(n, 0.25).alias("q1"),
-        F.percentile(n, 0.5).alias("median"), F.percentile(n, 0.75).alias("q3"), F.max(n).alias("most"), F.sum(n).alias("total"), F.count_if(n < 200).alias("short"), F.countDistinct("source").alias("sources"),
+    n, docs = F.col("n_chars"), table(spark, d, "documents")
+    stats = docs.groupBy("lang").agg(
+        F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean"), F.round(F.stddev_samp(n), 4).alias("std"), F.min(n).alias("least"),
+        F.max(n).alias("most"), F.sum(n).alias("total"), F.count_if(n < 200).alias("short"), F.countDistinct("source").alias("sources"),
     )
+    quarters = percentiles(docs, ["lang"], "n_chars", {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumnRenamed("lang", "own")
+    return stats.join(quarters, F.col("lang").eqNullSafe(F.col("own")), "left").drop("own")
 
 
 def query_language(spark: S, d: D) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,22 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of their own in the shared folder, so that what made them runs once and a lost executor loses
+    none; it goes when the driver ends."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+    def gone() -> None:
+        try:
+            delete(spark, path)
+        except Exception:  # the session has ended before the driver did
+            pass
+
+    atexit.register(gone)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names of what is in a folder; none of a folder that isn't there."""
     fs, at = _at(spark, path)
