@@ -6,10 +6,13 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from uuid import uuid4
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions as dec
+from ..operators import near_images as ni
 from ..sources.shared import shared_dir
 from ..sources.tables import table
 from ..sources.versions import VersionedTable
@@ -111,3 +114,23 @@ def summarise_live(spark: S, d: D) -> DataFrame:
             due = due_turns(spark.readStream.schema(turns.schema).parquet(f"{home}/in"), 3, 4)
             due.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("conv_id long, turn long, role string, part long").parquet(f"{home}/out").select("conv_id", "turn", "role")
+
+
+def _images(spark: S, d: D) -> DataFrame:
+    """Pictures whose hashes are the signs of 256 projections of the embeddings: each vector, and a coarse copy of it."""
+
+    @F.pandas_udf("string")
+    def signs(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_list())
+        plane = np.random.default_rng(1).standard_normal((x.shape[1], 256))
+        return pd.Series([bytes(row).hex() for row in np.packbits(x @ plane > 0, axis=1)])
+
+    rows = table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", F.col("label").cast("string").alias("doc"), F.col("embedding").cast("array<double>").alias("v"))
+    coarse = rows.select("vec_id", "doc", F.transform("v", lambda x: F.round(x, 2)).alias("v"), F.lit("copy").alias("kind"), (80 + F.col("vec_id") % 3 * 40).alias("width"))
+    both = rows.select("vec_id", "doc", "v", F.lit("own").alias("kind"), F.lit(100).cast("long").alias("width")).unionByName(coarse)
+    return both.select("doc", F.col("vec_id").alias("position"), F.concat_ws("-", F.col("vec_id").cast("string"), "kind").alias("image_id"), signs("v").alias("visual_hash"), "width", F.col("width").alias("height"))
+
+
+@held_against(None)
+def near_image_groups(spark: S, d: D) -> DataFrame:
+    return ni.near_images(_images(spark, d))
