@@ -1,7 +1,8 @@
-"""Queries over stored and streamed state: tables in versions, batches of decisions, summaries of live conversations."""
+"""Queries over stored and streamed state: tables in versions, batches of decisions, summaries of live conversations; images, rerankers and themes."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from contextlib import contextmanager
 from uuid import uuid4
@@ -13,12 +14,17 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions as dec
 from ..operators import near_images as ni
+from ..operators import rerankers as rr
+from ..operators import retrieval as ret
+from ..operators import themes as th
 from ..sources.shared import shared_dir
 from ..sources.tables import table
 from ..sources.versions import VersionedTable
 from ..streaming.summaries import due_turns
 from ..streaming.sync import sync_stream
+from . import queries as base
 from .sql import ORACLES as _SQL
+from .sql import _dense, _lexical
 
 S, D = SparkSession, str
 QUERIES: dict[str, Callable[[S, D], DataFrame]] = {}
@@ -134,3 +140,53 @@ def _images(spark: S, d: D) -> DataFrame:
 @held_against(None)
 def near_image_groups(spark: S, d: D) -> DataFrame:
     return ni.near_images(_images(spark, d))
+
+
+class _Shared:
+    """A small reranker: the share of the query's words that a text holds."""
+
+    def __init__(self) -> None:
+        self.word = re.compile(r"\w{2,}")
+
+    def tokens(self, query: str, text: str) -> int:
+        return 1 + (len(query) + len(text)) // 4
+
+    def scores(self, pairs) -> list[float]:
+        asked = [set(self.word.findall(q.lower())) for q, _ in pairs]
+        return [round(len(a & set(self.word.findall(t.lower()))) / len(a), 6) if a else 0.0 for a, (_, t) in zip(asked, pairs)]
+
+
+_WORDS = lambda t: rf"list_distinct(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}'))"
+
+
+@held_against(f"""WITH {_dense(64, 30, 'a')}, s AS (SELECT a.query_id, a.id, a.rank AS original_rank, round(len(list_intersect({_WORDS('q.text')}, {_WORDS('d.text')})) / len({_WORDS('q.text')}), 6) AS reranker_score FROM a JOIN documents q ON q.doc_id = a.query_id JOIN documents d ON d.doc_id = a.id)
+    SELECT query_id, rank::INTEGER AS rank, id, original_rank::INTEGER AS original_rank, reranker_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, original_rank) AS rank FROM s) WHERE rank <= 5""")
+def dense_reranked(spark: S, d: D) -> DataFrame:
+    """Thirty dense candidates of each query, reranked by a model on the texts of both."""
+    found = ret.dense_topk(base._halves(spark, d), base._corpus(spark, d), 30, True)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rr.reranked(found, texts.toDF("query_id", "query_text"), texts, 5, "shared-words", _Shared)
+
+
+def _aliases(spark: S, d: D) -> DataFrame:
+    """Each benchmark item is a theme that its first two words name."""
+    return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("theme"), F.regexp_extract("text", r"\p{L}+\s+\p{L}+", 0).alias("alias"))
+
+
+_EDGES = " OR ".join(f"contains(t, '{a}' || alias || '{b}')" for a in " #" for b in " #")
+_NAMED = rf"""al AS (SELECT item_id, lower(regexp_replace(regexp_extract(text, '\p{{L}}+\s+\p{{L}}+'), '\s+', ' ', 'g')) AS alias FROM benchmark),
+    pl AS (SELECT doc_id, ' ' || regexp_replace(lower(regexp_replace(text, '\s+', ' ', 'g')), '[^\p{{L}}\p{{N}}_ ]', '#', 'g') || ' ' AS t FROM documents), nm AS (SELECT doc_id, item_id FROM pl, al WHERE alias <> '' AND ({_EDGES}))"""
+
+
+@held_against(f"WITH {_NAMED} SELECT doc_id AS id, item_id::VARCHAR AS theme FROM nm")
+def theme_mentions(spark: S, d: D) -> DataFrame:
+    return th.theme_mentions(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _aliases(spark, d))
+
+
+@held_against(f"""WITH {_lexical(10)}, {_NAMED}, m AS (SELECT lex.*, nm.doc_id IS NOT NULL AS matched FROM lex LEFT JOIN nm ON nm.doc_id = lex.id AND nm.item_id = lex.query_id), a AS (SELECT *, bool_or(matched) OVER (PARTITION BY query_id) AS any_matched FROM m)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN any_matched AND NOT matched THEN 1 ELSE 0 END, CASE WHEN any_matched THEN -score ELSE 0 END, rank))::INTEGER AS rank, id, matched FROM a""")
+def theme_first(spark: S, d: D) -> DataFrame:
+    """Lexical results of each item, those first that name the item's theme."""
+    mentions = theme_mentions(spark, d).select("id", F.col("theme").cast("long").alias("query_id"), F.lit(True).alias("named"))
+    found = base._lexical(spark, d, 10).join(mentions, ["query_id", "id"], "left")
+    return ret.matched_first(found, F.coalesce("named", F.lit(False))).select("query_id", "rank", "id", "matched")
