@@ -1,6 +1,6 @@
 """Cross-site line dedup: HyperLogLog sketches of the sites of each line, exact counts near the threshold.
 
-Lines are compared by a 64-bit hash of the line without surrounding white space. A line that only one site
+Lines are compared by a 64-bit hash of the line without surrounding white space, sites by one of their name. A line that only one site
 has needs no sketch; for the rest, sketches are built in salted parts and merged. Estimates below or above the
 uncertain band decide at once; lines within it get exact distinct counts.
 """
@@ -39,7 +39,9 @@ def _of(rows: DataFrame, lines: DataFrame) -> DataFrame:
 def boilerplate(documents: DataFrame, text: str, site: str, min_sites: int = MIN_SITES) -> DataFrame:
     """The hashes (line) of lines with words that occur on min_sites distinct non-null sites or more."""
     salt = F.pmod(F.xxhash64("doc_id", site), F.lit(SALTS)).alias("salt")
-    lines = documents.select(F.col(site).cast("string").alias("site"), salt, F.explode(_lines(F.col(text))).alias("line")).where(F.col("site").isNotNull() & (_trim(F.col("line")) != "")).select(_hash(F.col("line")).alias("line"), "site", "salt")
+    # numbers only: their least and most are found while hashing, where strings would have every line sorted
+    hashed = F.xxhash64(F.col(site).cast("string")).alias("site")
+    lines = documents.where(F.col(site).isNotNull()).select(hashed, salt, F.explode(_lines(F.col(text))).alias("line")).where(_trim(F.col("line")) != "").select(_hash(F.col("line")).alias("line"), "site", "salt")
     sites = lines.groupBy("line").agg(F.min("site").alias("least"), F.max("site").alias("most"))
     if min_sites < 2:
         return sites.select("line")
@@ -84,9 +86,10 @@ def lines_cut(spark: SparkSession, documents: DataFrame, min_sites: int = MIN_SI
 def _cleaned(spark: SparkSession, docs: DataFrame, min_sites: int, max_share: float | None) -> DataFrame:
     tables = Tables(spark)
     found = tables.keep(boilerplate(docs, "text", "site", min_sites), "boilerplate")
-    lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(_lines(F.col("text"))).alias("line")).select("doc_id", "key", _hash(F.col("line")).alias("line"))
+    salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).alias("salt")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("key"), salt, F.explode(_lines(F.col("text"))).alias("line")).select("doc_id", "key", "salt", _hash(F.col("line")).alias("line"))
     # a document's own lines bound this list
-    removed = tables.keep(lines.join(found, "line", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("line").alias("removed")), "removed")
+    removed = tables.keep(_of(lines, found).groupBy("doc_id", "key").agg(F.collect_set("line").alias("removed")), "removed")
     joined = docs.withColumn("key", F.xxhash64("text")).join(
         removed.withColumnsRenamed({"doc_id": "r_doc_id", "key": "r_key"}), F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("key") == F.col("r_key")), "left"
     )
