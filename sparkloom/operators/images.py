@@ -131,14 +131,32 @@ def section_number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)*)[.)]?\s+", 1), F.lit(""))
 
 
-def sections_of(images: DataFrame, headings: DataFrame) -> DataFrame:
+PAGES = 64  # of a document that one window holds
+
+
+def sections_of(images: DataFrame, headings: DataFrame, pages: int = PAGES) -> DataFrame:
     """images(doc, image_id, page, y), headings(doc, page, y, level, title): the last level-1 heading at or before the
-    image, else the last of any level. An as-of lookup: both are put in one order, and the last seen is carried."""
-    marks = headings.select("doc", "page", "y", F.lit(0).alias("kind"), "level", "title", F.lit(None).cast("string").alias("image_id"))
-    asked = images.select("doc", "page", "y", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("title"), "image_id")
-    w = Window.partitionBy("doc").orderBy("page", "y", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = marks.unionByName(asked).withColumn("first", F.last(F.when(F.col("level") == 1, F.col("title")), True).over(w)).withColumn("any", F.last("title", True).over(w))
-    return rows.where("kind = 1").select("doc", "image_id", F.coalesce("first", "any").alias("section_title"))
+    image, else the last of any level, as section_title; one row for each image.
+
+    An as-of lookup: both are put in one order, and the last seen is carried. A window holds so many pages of a document;
+    what the pages before them end with is carried from block to block. A heading at the very place of an image counts,
+    of several there the one with the largest title. Rows without doc, page or y have no section, and headings without a
+    title are none.
+    """
+    block = F.floor(F.col("page") / pages).alias("block")
+    marks = headings.where("doc IS NOT NULL AND page IS NOT NULL AND y IS NOT NULL AND title IS NOT NULL").select("doc", block, "page", "y", F.lit(0).alias("kind"), F.col("level").cast("int").alias("level"), F.col("title").cast("string").alias("title"), F.lit(None).cast("string").alias("image_id"))
+    asked = images.select("doc", block, "page", "y", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("title"), F.col("image_id").cast("string").alias("image_id"))
+    place, main = F.struct("page", "y", "title"), F.col("level") == 1
+    ends = marks.groupBy("doc", "block").agg(F.max_by("title", F.when(main, place)).alias("f"), F.max_by("title", place).alias("a"))
+    upto = Window.partitionBy("doc").orderBy("block")
+    within = Window.partitionBy("doc", "block").orderBy("page", "y", "kind", "title").rowsBetween(Window.unboundedPreceding, 0)
+    # blocks without headings carry on what came before them
+    blocks = asked.select("doc", "block").unionByName(marks.select("doc", "block")).distinct().join(ends, ["doc", "block"], "left")
+    carried = blocks.select("doc", "block", *(F.last(c, True).over(upto.rowsBetween(Window.unboundedPreceding, -1)).alias(c) for c in ("f", "a")))
+    rows = marks.unionByName(asked).withColumn("first", F.last(F.when(main, F.col("title")), True).over(within)).withColumn("any", F.last("title", True).over(within))
+    found = rows.where("kind = 1").join(carried, ["doc", "block"], "left")
+    title = F.coalesce("first", "f", "any", "a")
+    return found.select("doc", "image_id", F.when(F.col("doc").isNotNull() & F.col("page").isNotNull() & F.col("y").isNotNull(), title).alias("section_title"))
 
 
 def ocr_lines(tsv: DataFrame, least: float = 45.0) -> DataFrame:

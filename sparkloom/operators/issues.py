@@ -12,10 +12,24 @@ from pyspark.sql import functions as F
 
 
 def stratified(rows: DataFrame, label: str, key: str, share: float = 0.2) -> DataFrame:
-    """rows with `test`: the first share of each label's rows, rounded, in an order by hash of the key."""
-    w = Window.partitionBy(label)
-    nth = F.row_number().over(w.orderBy(F.xxhash64(key), key))
-    return rows.withColumn("test", nth <= F.floor(F.count("*").over(w) * share + 0.5))
+    """rows with `test`: the first share of each label's rows, rounded, in an order by hash of the key, which is unique.
+
+    The last row of the share is found by selection: counts of the hashes' first 16 bits tell the range it lies in, and
+    only rows of that range are put in order. So no label's rows meet, and none is moved with its text.
+    """
+    hashed = rows.select(F.col(label).alias("l"), F.xxhash64(key).alias("h"), F.col(key).alias("k")).withColumn("top", F.shiftright("h", 48))
+    ranges = hashed.groupBy("l", "top").agg(F.count("*").alias("n"))
+    label_window = Window.partitionBy("l")  # 2^16 ranges at most
+    most = F.floor(F.sum("n").over(label_window) * share + 0.5)
+    upto = ranges.withColumn("most", most).withColumn("upto", F.sum("n").over(label_window.orderBy("top")))
+    edge = upto.where((F.col("upto") >= F.col("most")) & (F.col("upto") - F.col("n") < F.col("most"))).select("l", "top", (F.col("most") - F.col("upto") + F.col("n")).alias("place"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    near = hashed.join(edge.withColumnsRenamed({"l": "el", "top": "et"}), same("l", "el") & (F.col("top") == F.col("et")))
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
+    last = near.withColumn("nth", nth).where("nth = place").select(F.col("l").alias("last_label"), F.struct("h", "k").alias("last_row"))
+    own = F.struct(F.xxhash64(key).alias("h"), F.col(key).alias("k"))
+    joined = rows.join(last, F.col(label).eqNullSafe(F.col("last_label")), "left")
+    return joined.withColumn("test", F.coalesce(own <= F.col("last_row"), F.lit(False))).drop("last_label", "last_row")
 
 
 def fitted(rows: DataFrame, features: int = 1 << 12) -> PipelineModel:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions as dec
+from ..operators import images as im
 from ..operators import near_images as ni
 from ..operators import rerankers as rr
 from ..operators import retrieval as ret
@@ -190,3 +191,17 @@ def theme_first(spark: S, d: D) -> DataFrame:
     mentions = theme_mentions(spark, d).select("id", F.col("theme").cast("long").alias("query_id"), F.lit(True).alias("named"))
     found = base._lexical(spark, d, 10).join(mentions, ["query_id", "id"], "left")
     return ret.matched_first(found, F.coalesce("named", F.lit(False))).select("query_id", "rank", "id", "matched")
+
+
+_ELEMENTS = r"""el AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS doc, unnest(e) AS e, generate_subscripts(e, 1) - 1 AS y FROM (SELECT *, regexp_extract_all(html, '<(?:h1|p)>[^<]*') AS e FROM pages)),
+    el2 AS (SELECT *, page_id * 100000 + y AS ord FROM el), h AS (SELECT doc, ord, page_id % 3 = 0 AS main, substring(e, 5) AS title FROM el2 WHERE e LIKE '<h1>%')"""
+
+
+@held_against(f"""WITH {_ELEMENTS} SELECT p.doc, p.page_id || '-' || p.y AS image_id, coalesce(f.title, a.title) AS section_title FROM (SELECT * FROM el2 WHERE e LIKE '<p>%') p
+    ASOF LEFT JOIN (SELECT * FROM h WHERE main) f ON f.doc = p.doc AND f.ord <= p.ord ASOF LEFT JOIN h a ON a.doc = p.doc AND a.ord <= p.ord""")
+def page_sections(spark: S, d: D) -> DataFrame:
+    """A host's pages are one document; the headings of every third page are main ones. Each paragraph gets its section."""
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("doc"), F.posexplode(F.regexp_extract_all("html", F.lit("<(?:h1|p)>[^<]*"), F.lit(0))).alias("y", "e"))
+    headings = pages.where(F.col("e").startswith("<h1>")).select("doc", F.col("page_id").alias("page"), "y", F.when(F.col("page_id") % 3 == 0, 1).otherwise(2).alias("level"), F.substring("e", 5, 2**30).alias("title"))
+    paragraphs = pages.where(F.col("e").startswith("<p>")).select("doc", F.concat_ws("-", F.col("page_id").cast("string"), F.col("y").cast("string")).alias("image_id"), F.col("page_id").alias("page"), "y")
+    return im.sections_of(paragraphs, headings)
