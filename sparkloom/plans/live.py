@@ -18,7 +18,8 @@ from ..operators import near_images as ni
 from ..operators import rerankers as rr
 from ..operators import retrieval as ret
 from ..operators import themes as th
-from ..sources.shared import shared_dir
+from ..operators import vectors as ve
+from ..sources.shared import kept, shared_dir
 from ..sources.tables import table
 from ..sources.versions import VersionedTable
 from ..streaming.summaries import due_turns
@@ -205,3 +206,24 @@ def page_sections(spark: S, d: D) -> DataFrame:
     headings = pages.where(F.col("e").startswith("<h1>")).select("doc", F.col("page_id").alias("page"), "y", F.when(F.col("page_id") % 3 == 0, 1).otherwise(2).alias("level"), F.substring("e", 5, 2**30).alias("title"))
     paragraphs = pages.where(F.col("e").startswith("<p>")).select("doc", F.concat_ws("-", F.col("page_id").cast("string"), F.col("y").cast("string")).alias("image_id"), F.col("page_id").alias("page"), "y")
     return im.sections_of(paragraphs, headings)
+
+
+@held_against(None)
+def chunk_semantic(spark: S, d: D) -> DataFrame:
+    return ve.semantic_chunks(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), ve.hashing_encoder, 0.3, 400)
+
+
+@held_against("""WITH n AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'Again: ' || text ELSE text END AS t FROM documents)
+    SELECT doc_id, sha256(t) AS digest, t NOT IN (SELECT text FROM documents) AS encoded_again, 64 AS dimensions FROM n""")
+def document_vectors(spark: S, d: D) -> DataFrame:
+    """Vectors of all documents, and once more after the toxic ones got a word in front: only texts that are new to the
+    store are encoded again."""
+    store = ve.VectorStore(spark, f"{shared_dir(spark)}/vectors-{uuid4().hex}", "hashed-words", ve.hashing_encoder, size=64)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    first, _ = store.get_or_create(docs)
+    first = kept(first.select(F.col("digest").alias("old")), "first-vectors")
+    toxic = table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
+    now = kept(docs.join(toxic, "doc_id", "left").select("doc_id", F.when(F.col("toxic"), F.concat(F.lit("Again: "), "text")).otherwise(F.col("text")).alias("text")), "changed")
+    vectors, _ = store.get_or_create(now)
+    rows = now.select("doc_id", ve.content_digest(F.col("text")).alias("digest")).join(vectors, "digest").join(first, F.col("digest") == F.col("old"), "left")
+    return rows.select("doc_id", "digest", F.col("old").isNull().alias("encoded_again"), F.size("vector").alias("dimensions"))

@@ -40,4 +40,4 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
 
 
 def test_queries_without_sql_are_those_with_brute_force_tests():
-    assert set(QUERIES) - set(ORACLES) == {"chunk_recursive", "chunk_structure", "issue_classifier", "application_decisions", "event_leaders", "clothes_left", "near_image_groups"}
+    assert set(QUERIES) - set(ORACLES) == {"chunk_recursive", "chunk_structure", "issue_classifier", "application_decisions", "event_leaders", "clothes_left", "near_image_groups", "chunk_semantic"}
