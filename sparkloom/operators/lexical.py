@@ -1,9 +1,9 @@
 """A stored TF-IDF index and its search.
 
-Texts are dealt into tiles by their ids. For each term and tile the index has one row: the texts that hold the term,
-its weight in each (unit vectors), and the largest of these weights. Rows lie in buckets by term and are sorted by
-term, so a search reads the buckets of its terms only. It goes through tiles with the k best scores so far, and leaves
-out a tile for a query whose terms' largest weights can't add up to the k-th.
+Texts are dealt into tiles by their ids. The index has a row for each term and text: the term's weight in it (unit
+vectors). Rows lie in buckets by term and are sorted by term and tile, so a search reads the buckets of its terms only.
+It goes through tiles with the k best scores so far, and leaves out a tile for a query where the largest weights that
+its terms have there can't add up to the k-th.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from ..sources import shared
 from .retrieval import check_sizes, counted, ranked
 
-TILE = 4096  # texts of a tile, about
+TILE = 1024  # texts of a tile, about
 BUCKETS = 64  # of terms
-PART = 1024  # tiles whose rows of a bucket are in one file
+PART = 4096  # tiles whose rows of a bucket are in one file
 ENTRIES = 500_000  # terms of queries that are searched in one pass
-_POSTINGS = "term long, tile long, ids array<long>, weights array<double>, most double, bucket int, part int"
+_POSTINGS = "term long, tile long, id long, weight double, bucket int, part int"
 _TERMS = "term long, idf double, bucket int"
 
 
@@ -36,26 +36,26 @@ def build_index(spark: SparkSession, docs: DataFrame, path: str, tile: int = TIL
 
     Weights are (1 + ln count) * idf with idf = ln((1 + n) / (1 + df)) + 1, over the length of the text's vector. Rows
     that repeat an id are one text; rows without an id are left out, and null texts are empty. Terms are 64-bit hashes.
-    Postings meet by term and tile, so that the commonest term is spread over all tiles. If a writer dies, the folder has
-    no manifest, and the next one writes its files anew.
+    Rows of a common term are spread over parts by tile. If a writer dies, the folder has no manifest, and the next one
+    writes its files anew.
     """
     rows = docs.select(F.col("id").cast("long").alias("id"), "text").where("id IS NOT NULL")
-    n = rows.agg(F.countDistinct("id")).first()[0]
+    every, n = rows.agg(F.count("*"), F.countDistinct("id")).first()
     tiles = max(1, -(-n // tile))
-    place = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("long").alias("tile")
-    met = counted(rows, "id").select("term", place, "id", "c").repartition("term", "tile").groupBy("term", "tile", "id").agg(F.sum("c").alias("c"))
-    met.groupBy("term", "tile").agg(F.collect_list("id").alias("ids"), F.collect_list("c").alias("counts")).write.mode("overwrite").parquet(f"{path}/counts")
+    counts = counted(rows, "id")
+    if every > n:
+        counts = counts.groupBy("id", "term").agg(F.sum("c").alias("c"))
+    counts.write.mode("overwrite").parquet(f"{path}/counts")
     counts = spark.read.parquet(f"{path}/counts")
-    idf = (F.ln((1 + F.lit(float(n))) / (1 + F.sum(F.size("ids")))) + 1).alias("idf")
+    idf = (F.ln((1 + F.lit(float(n))) / (1 + F.count("*"))) + 1).alias("idf")
     terms = counts.groupBy("term").agg(idf).select("term", "idf", _bucket(buckets))
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     idfs = spark.read.schema(_TERMS).parquet(f"{path}/terms").select("term", "idf")
-    weighed = counts.join(idfs, "term").select("term", "tile", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.transform("counts", lambda c: (1 + F.ln(c)) * F.col("idf")).alias("w"))))
+    weighed = counts.join(idfs, "term").select("id", "term", ((1 + F.ln("c")) * F.col("idf")).alias("w"))
     unit = F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))  # of a text's own terms
-    each = weighed.select("term", "tile", "id", unit.alias("w"), _bucket(buckets), F.floor(F.col("tile") / PART).cast("int").alias("part"))
-    blocks = each.repartition("bucket", "part").groupBy("bucket", "part", "term", "tile").agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("p"), F.max("w").alias("most"))
-    blocks = blocks.select("term", "tile", F.col("p.id").alias("ids"), F.col("p.w").alias("weights"), "most", "bucket", "part")
-    blocks.sortWithinPartitions("bucket", "part", "term", "tile").write.mode("overwrite").partitionBy("bucket", "part").parquet(f"{path}/postings")
+    place = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("long")
+    each = weighed.select("term", place.alias("tile"), "id", unit.alias("weight"), _bucket(buckets), F.floor(place / PART).cast("int").alias("part"))
+    each.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "term", "tile").write.mode("overwrite").partitionBy("bucket", "part").parquet(f"{path}/postings")
     shared.delete(spark, f"{path}/counts")
     shared.publish(spark, f"{path}/manifest.json", json.dumps({"texts": n, "tiles": tiles, "buckets": buckets}))
 
@@ -95,9 +95,9 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int) ->
         terms = sorted({e["term"] for r in some for e in r["entries"]})
         wanted = spark.createDataFrame([(t,) for t in terms], "term long")
         rows = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").where(F.col("bucket").isin(sorted({t % buckets for t in terms})))
-        rows = rows.join(F.broadcast(wanted), "term", "left_semi").select("tile", "term", "ids", "weights", "most")  # ENTRIES terms at most
+        rows = rows.join(F.broadcast(wanted), "term", "left_semi").select("tile", "term", "id", "weight")  # ENTRIES terms at most
         given = spark.sparkContext.broadcast([(r["query_id"], [e["term"] for e in r["entries"]], [e["w"] for e in r["entries"]]) for r in some])
-        best = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_through_tiles(given, k), "query_id long, id long, score double")
+        best = rows.repartition("tile").sortWithinPartitions("tile", "term").mapInArrow(_through_tiles(given, k), "query_id long, id long, score double")
         found = best if found is None else found.unionByName(best)
     return ranked(found, k)
 
@@ -117,17 +117,26 @@ def _through_tiles(given, k: int):
 
 def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple]]:
     """The rows of one tile after the other: term -> ids, weights, the largest weight."""
-    tile, rows = None, {}
+    held: list[list[np.ndarray]] = []  # of the last tile that was seen, which may go on
     for batch in batches:
-        tiles, terms, most = (batch.column(c).to_numpy().tolist() for c in (0, 1, 4))
-        for i, (t, term, m) in enumerate(zip(tiles, terms, most)):
-            if t != tile and rows:
-                yield rows
-                rows = {}
-            tile = t
-            rows[term] = batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy(), m
-    if rows:
-        yield rows
+        columns = [c.to_numpy() for c in batch.columns]
+        cuts = np.flatnonzero(np.diff(columns[0])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if held and a < b and held[-1][0][0] != columns[0][a]:
+                yield _by_term(held)
+                held = []
+            if a < b:
+                held.append([c[a:b] for c in columns])
+    if held:
+        yield _by_term(held)
+
+
+def _by_term(parts: list[list[np.ndarray]]) -> dict[int, tuple]:
+    _, terms, ids, weights = (np.concatenate(c) for c in zip(*parts))
+    cuts = (np.flatnonzero(np.diff(terms)) + 1).tolist()
+    begin = [0, *cuts]
+    most = np.maximum.reduceat(weights, begin)
+    return {t: (ids[a:b], weights[a:b], m) for t, a, b, m in zip(terms[begin].tolist(), begin, [*cuts, len(terms)], most.tolist())}
 
 
 def _search_tile(rows: dict[int, tuple], queries: list[tuple], best: dict[int, tuple], k: int) -> int:
