@@ -90,6 +90,10 @@ def run_batch(spark: SparkSession, statements: str) -> list[tuple[str, DataFrame
     return out
 
 
+# Fixed pattern: how a task names an event.
+EVENT_NUMBER = r"(?i)\bevent(?:\s+id)?\s*#?\s*(\d+)\b"
+
+
 def event_id(task: Column) -> Column:
     """The first number that follows the word event, 'event id' or 'event #' in a task; null if there is none."""
-    return F.nullif(F.regexp_extract(task, r"(?i)\bevent(?:\s+id)?\s*#?\s*(\d+)\b", 1), F.lit("")).try_cast("long")
+    return F.nullif(F.regexp_extract(task, EVENT_NUMBER, 1), F.lit("")).try_cast("long")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +15,12 @@ def document_id(stem: Column, path: Column) -> Column:
 
 
 def point_id(chunk_id: Column) -> Column:
-    """A version-5 UUID of a chunk's id."""
-
-    @F.pandas_udf("string")
-    def named(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: None if n is None else str(uuid.uuid5(NAMESPACE, n)))
-
-    return named(chunk_id)
+    """A version-5 UUID of a chunk's id: the SHA-1 of the namespace and the name, with the version and variant set."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE.hex)), F.encode(chunk_id, "UTF-8")))
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(
+        F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3), F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12)
+    )
 
 
 def fingerprint(rows: DataFrame, id_col: str, text_col: str, buckets: int = 1024) -> DataFrame:
