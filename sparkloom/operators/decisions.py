@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import shared
+from ..sources.shared import kept
 
 
 def _free(strict: bool):
@@ -80,11 +80,9 @@ def decided(spark: SparkSession, applications: DataFrame, stock: DataFrame, stri
 
     Hosts are streamed in order and not gathered: a task holds the accepted times of one host.
     """
-    folder = f"{shared.shared_dir(spark)}/decisions-{spark.sparkContext.applicationId}-{id(applications)}"
     wanted = F.col("decision") == "accepted"
     rows = applications.withColumn("reason", F.when(F.col("decision").isNull(), "").when(F.col("status") != "pending", "already decided").when(~F.col("decision").isin("accepted", "rejected"), "unknown decision"))
-    rows.write.mode("overwrite").parquet(f"{folder}/rows")
-    rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    rows = kept(rows, "applications")
     timed = F.col("host").isNotNull() & F.col("starts").isNotNull() & F.col("ends").isNotNull()
     asks = rows.where(wanted & F.col("reason").isNull()).select("id", "host", "at", "starts", "ends", F.lit(False).alias("held"), "item", "size")
     held = rows.where((F.col("status") == "accepted") & timed).select("id", "host", "at", "starts", "ends", F.lit(True).alias("held"), "item", "size")
@@ -95,13 +93,11 @@ def decided(spark: SparkSession, applications: DataFrame, stock: DataFrame, stri
         line = asks.where(timed).unionByName(held).join(barred.withColumn("barred", F.lit(True)), "id", "left").withColumn("barred", F.coalesce("barred", F.lit(False)))
         ordered = line.repartition("host").sortWithinPartitions("host", F.desc("held"), "at", "id").select("host", "id", "starts", "ends", "held", "barred")
         free = ordered.mapInArrow(_free(strict), "id long, free boolean").unionByName(untimed)
-        free.write.mode("overwrite").parquet(f"{folder}/free-{n}")
-        free = spark.read.schema("id long, free boolean").parquet(f"{folder}/free-{n}")
+        free = kept(free, "free")
         dressed = asks.where(F.col("item").isNotNull() & F.col("size").isNotNull()).join(free.where("free").select("id"), "id")
         short = _places(dressed.select("id", "item", "size", "at"), ["item", "size"]).join(given, ["item", "size"], "left").where(F.col("place") > F.coalesce("qty", F.lit(0))).select("id")
         n += 1
-        short.write.mode("overwrite").parquet(f"{folder}/short-{n}")
-        now = spark.read.schema("id long").parquet(f"{folder}/short-{n}")
+        now = kept(short, "short")
         if now.join(barred, "id", "left_anti").isEmpty() and barred.join(now, "id", "left_anti").isEmpty():
             break
         if n >= rounds:

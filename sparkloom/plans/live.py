@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions as dec
 from ..operators import images as im
+from ..operators import lexical as lex
 from ..operators import near_images as ni
 from ..operators import rerankers as rr
 from ..operators import retrieval as ret
@@ -227,3 +228,18 @@ def document_vectors(spark: S, d: D) -> DataFrame:
     vectors, _ = store.get_or_create(now)
     rows = now.select("doc_id", ve.content_digest(F.col("text")).alias("digest")).join(vectors, "digest").join(first, F.col("digest") == F.col("old"), "left")
     return rows.select("doc_id", "digest", F.col("old").isNull().alias("encoded_again"), F.size("vector").alias("dimensions"))
+
+
+_OWN_TEXTS = _lexical(30).replace("SELECT 'q', item_id, text FROM benchmark", "SELECT 'q', doc_id, text FROM documents WHERE doc_id % 100 = 0").replace("d.kind = 'd' GROUP BY", "d.kind = 'd' AND q.id <> d.id GROUP BY")
+
+
+@held_against(f"""WITH {_dense(64, 30, 'a')}, {_OWN_TEXTS}, f AS (SELECT query_id, id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score, min(l * 1000 + rank) AS first FROM (SELECT query_id, id, 0 AS l, rank FROM a UNION ALL SELECT query_id, id, 1, rank FROM lex) GROUP BY ALL)
+    SELECT query_id, rank::INTEGER AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank FROM f) WHERE rank <= 5""")
+def hybrid_rows(spark: S, d: D) -> DataFrame:
+    """A vector and a text stand for the same row: dense candidates by its embedding and lexical ones by its whole text,
+    fused. Queries are the rows whose id is divisible by 100, each against all others."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = docs.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    found = lex.search_index(spark, lex.stored_index(spark, docs), asked, 31).where("query_id <> id")
+    dense = ret.dense_topk(base._halves(spark, d), base._corpus(spark, d), 30, True)
+    return ret.hybrid(dense, ret.ranked(found.select("query_id", "id", "score"), 30), 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
