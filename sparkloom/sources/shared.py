@@ -38,10 +38,15 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def unique() -> str:
+    """A name that no other folder has."""
+    return uuid.uuid4().hex
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table of their own in the shared folder, so that what made them runs once and a lost executor loses
     none; it goes when the driver ends."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{unique()}"
 
     def gone() -> None:
         try:
