@@ -47,6 +47,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table of their own in the shared folder, so that what made them runs once and a lost executor loses
     none; it goes when the driver ends."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{unique()}"
+    df.write.parquet(path)
+    return kept_at(spark, path, df.schema)
+
+
+def kept_at(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table that was written in the shared folder; it goes when the driver ends."""
 
     def gone() -> None:
         try:
@@ -55,8 +61,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
             pass
 
     atexit.register(gone)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def names(spark: SparkSession, path: str) -> list[str]:
