@@ -104,7 +104,7 @@ def nearest_blocks(images: DataFrame, blocks: DataFrame, n: int = 5) -> DataFram
     dy = ((F.col("y0") + F.col("y1")) - (F.col("iy0") + F.col("iy1"))) / 2 / F.col("height")
     below = F.col("y0") >= F.col("iy1")
     relation = F.when(v > 0.25, "beside").when((h > 0.25) & below, "below").when(h > 0.25, "above").otherwise("diagonal")
-    far = F.when(v > 0.25, gap_x - 0.12 * v).when(h > 0.25, gap_y + F.when(below, 0.08).otherwise(0.12) - 0.12 * h).otherwise(F.hypot(dx, dy) + 0.25)
+    far = F.when(v > 0.25, gap_x - 0.12 * v).when(h > 0.25, gap_y + F.when(below, 0.08).otherwise(0.12) - 0.12 * h).otherwise(F.sqrt(dx * dx + dy * dy) + 0.25)
     rows = j.withColumn("relation", relation).withColumn("distance", F.greatest(F.lit(0.0), far))
     place = F.row_number().over(Window.partitionBy("doc", "image_id").orderBy("distance", "y0", "x0", "text"))
     return rows.withColumn("nth", place).where(F.col("nth") <= n).select("doc", "page", "image_id", "nth", "relation", "distance", "text")
