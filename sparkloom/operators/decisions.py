@@ -2,8 +2,11 @@
 
 What is accepted earlier in a batch can refuse what comes later: a host can't be at two events at a time, and clothes run
 out. Both rules look back along one order, and each needs the other's outcome: a refusal for want of clothes leaves the
-host free. So hosts and stocks are worked out in turns, each over all rows at once, until nothing changes; after n turns,
-everything that hangs on fewer than n alternations of the two rules is final, and the end is what one loop would give.
+host free. But clothes of a kind run out once, at one place in the order: where its last piece goes. So all that hosts need
+to know of stocks is one place for each kind. It is closed in from both sides, in turns: hosts tell which rows are free for
+sure, and which may be; the place lies between that of as many of the latter as there are pieces, and of as many of the former.
+A turn settles one kind at least, and all that hangs on fewer alternations of the two rules; it takes only what is not
+settled yet, and the times of the hosts concerned. With all places known, one walk over all rows ends it, as one loop would.
 """
 
 from __future__ import annotations
@@ -18,52 +21,134 @@ from pyspark.sql import functions as F
 from ..sources.shared import kept
 
 
-def _free(strict: bool):
-    """Rows by host and order, held first (host, id, starts, ends, held, barred) -> id, free: whether the row's time
-    meets none that is taken. Held rows take their time anyhow, barred ones take none."""
+NOT_FREE, MAYBE, FREE, HELD, TAKEN = range(5)  # states of a row in the walk of a host
+
+
+def _walk(strict: bool, columns: list[str]):
+    """Rows by host and order, held first, with (host, starts, ends, state, early, late) -> the rows with a new state.
+
+    States: HELD times are taken before the first row, TAKEN ones from their row on. Others become 0 where they meet a
+    taken time, FREE where they meet none that is or may be taken, else MAYBE. A free row that is early (its stock lasts
+    for sure) takes its time, one that is late (its stock is gone for sure) takes none, and others may take it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _walked(batches, strict)
+        host, taken, may = None, _Times(strict), _Times(strict)
+        for batch in batches:
+            whose, old, early, late = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("host", "state", "early", "late"))
+            starts, ends = (batch.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False).tolist() for c in ("starts", "ends"))
+            states = []
+            for who, begin, end, state, soon, gone in zip(whose, starts, ends, old, early, late):
+                if who != host:
+                    host, taken, may = who, _Times(strict), _Times(strict)
+                if state < HELD:
+                    state = NOT_FREE if taken.met(begin, end) else MAYBE if may.times and may.met(begin, end) else FREE
+                if state >= HELD or state == FREE and soon:
+                    taken.add(begin, end)
+                elif state != NOT_FREE and not gone:
+                    may.add(begin, end)
+                states.append(state)
+            found = {c: batch.column(c) for c in columns} | {"state": pa.array(states, pa.int32())}
+            yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
 
     return run
 
 
-def _walked(batches: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.RecordBatch]:
-    host, taken, most = None, [], 0  # (start, end) that are taken, and the longest; held times may meet one another
-    for batch in batches:
-        ids, free = [], []
-        for i in range(batch.num_rows):
-            who, id_, begin, end, held, barred = (batch.column(c)[i] for c in ("host", "id", "starts", "ends", "held", "barred"))
-            who, begin, end = who.as_py(), begin.value, end.value
-            if who != host:
-                host, taken, most = who, [], 0
-            # times that are taken and begin at or before this one's end; the longest bounds how far back one can reach
-            at = bisect_left(taken, (end + 1,))
-            ok = True
-            for j in range(at - 1, -1, -1):
-                if taken[j][0] < begin - most:
-                    break
-                s, e = taken[j]
-                if s <= begin <= e or s <= end <= e or strict and s <= end and e >= begin:
-                    ok = False
-                    break
-            if not held.as_py():
-                ids.append(id_.as_py())
-                free.append(ok)
-            if held.as_py() or ok and not barred.as_py():
-                insort(taken, (begin, end))
-                most = max(most, end - begin)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(free, pa.bool_())], ["id", "free"])
-
-
-def _places(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows(keys, at, id) with `place`, from 1 in the order of at and id: counts by day, then the rank within a day, so
-    that a window holds the days of a key, or the rows of a key and day."""
-    day = F.date_trunc("day", "at")
-    days = rows.groupBy(*keys, day.alias("day")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy(*keys, "day").orderBy("at", "id"))
-    return rows.withColumn("day", day).withColumn("nth_of_day", nth).join(days.withColumn("before", before).drop("n"), [*keys, "day"]).withColumn("place", F.col("before") + F.col("nth_of_day")).drop("day", "before", "nth_of_day")
+class _Times:
+    """Times of a host in the order of their starts, which may meet one another; the longest bounds how far back one reaches."""
+
+    def __init__(self, strict: bool):
+        self.times, self.most, self.strict = [], 0, strict
+
+    def add(self, begin: int, end: int) -> None:
+        insort(self.times, (begin, end))
+        self.most = max(self.most, end - begin)
+
+    def met(self, begin: int, end: int) -> bool:
+        times, least = self.times, min(begin, end) - self.most
+        for j in range(bisect_left(times, (max(begin, end) + 1,)) - 1, -1, -1):
+            s, e = times[j]
+            if s < least:
+                return False
+            if s <= begin <= e or s <= end <= e or self.strict and s <= end and e >= begin:
+                return True
+        return False
+
+
+def _walked(line: DataFrame, strict: bool) -> DataFrame:
+    """line(host, at, id, starts, ends, state, early, late, ...) with new states; early and late go."""
+    columns = [c for c in line.columns if c not in ("early", "late")]
+    ordered = line.repartition("host").sortWithinPartitions("host", F.col("state") != HELD, "at", "id")
+    return ordered.mapInArrow(_walk(strict, columns), line.select(columns).schema)
+
+
+def _nth(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows(key, at, id, state), which may all be free, and wanted(key, pieces) -> key, side, place of as many of the rows
+    as there are pieces: side 'may' of all, 'sure' of the free ones. Counts by day tell the day, and only its rows are put
+    in order, so that a window holds the days of a key, or the rows of a key and day."""
+    rows = rows.withColumn("day", F.date_trunc("day", "at"))
+    days = rows.groupBy("key", "day").agg(F.count("*").alias("may"), F.count_if(F.col("state") == FREE).alias("sure"))
+    both = days.select("key", "day", F.expr("stack(2, 'may', may, 'sure', sure) AS (side, n)")).where("n > 0")
+    upto = both.withColumn("upto", F.sum("n").over(Window.partitionBy("key", "side").orderBy("day"))).join(wanted, "key")
+    edge = upto.where((F.col("upto") >= F.col("pieces")) & (F.col("upto") - F.col("n") < F.col("pieces"))).select("key", "day", "side", (F.col("pieces") - F.col("upto") + F.col("n")).alias("nth"))
+    near = rows.join(edge, ["key", "day"]).where((F.col("side") == "may") | (F.col("state") == FREE))
+    placed = near.withColumn("n", F.row_number().over(Window.partitionBy("key", "side").orderBy("at", "id"))).where("n = nth")
+    return placed.select("key", "side", _place().alias("place"))
+
+
+def _place():
+    return F.struct(F.lit(0).alias("part"), F.col("at").cast("timestamp").alias("at"), F.col("id").alias("id"))
+
+
+def _bound(part: int):
+    """A place before all others (-1) or after them (1)."""
+    return F.struct(F.lit(part).alias("part"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("long").alias("id"))
+
+
+def _closer(bounds: DataFrame, rows: DataFrame) -> DataFrame:
+    """bounds(key, pieces, low, high) after another look at rows(key, at, id, state): where the last piece goes at the earliest
+    and the latest. Pieces are those left beside the settled rows, which lie at `low` or before; rows lie at `high` or before."""
+    open_keys = bounds.where("low < high")
+    found = _nth(rows, open_keys.select("key", "pieces")).groupBy("key").agg(*(F.max(F.when(F.col("side") == s, F.col("place"))).alias(s) for s in ("may", "sure")))
+    both = bounds.join(found, "key", "left")
+    low = F.greatest("low", F.coalesce("may", F.col("high")))
+    high = F.greatest(low, F.coalesce("sure", F.col("high")))
+    shut = F.col("low") >= F.col("high")
+    return both.select("key", "pieces", F.when(shut, F.col("low")).otherwise(low).alias("low"), F.when(shut, F.col("high")).otherwise(high).alias("high"))
+
+
+def _timely(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """rows(key, at, id, asks, ...) with `early`: there is stock for sure, or none is asked for, and `late`: there is none for sure."""
+    joined = rows.join(bounds.select("key", "low", "high"), "key", "left")
+    early = ~F.col("asks") | F.coalesce(_place() <= F.col("low"), F.lit(False))
+    late = F.col("asks") & F.coalesce(_place() > F.col("high"), F.lit(True))  # of what is no stock at all, too
+    return joined.withColumn("early", early).withColumn("late", late).drop("low", "high")
+
+
+def _last_pieces(spark: SparkSession, line: DataFrame, loose: DataFrame, given: DataFrame, strict: bool, rounds: int) -> DataFrame:
+    """key, low, high: where the last piece of a kind goes, low and high alike; before all rows where there is none, after all
+    where some is left. line(host, at, id, starts, ends, key, asks, state) has hosts' times, loose(at, id, key, state) what
+    asks for clothes without a time."""
+    counted = ["key", "at", "id", "state"]
+    start = given.select("key", F.col("qty").alias("pieces"), _bound(-1).alias("low"), F.when(F.col("qty") > 0, _bound(1)).otherwise(_bound(-1)).alias("high"))
+    asked = line.where("asks AND key IS NOT NULL").select(*counted).unionByName(loose.select(*counted))
+    bounds, n = kept(_closer(start, asked), "bounds"), 0
+    while not bounds.where("low < high").isEmpty():
+        if n >= rounds:
+            raise RuntimeError(f"decisions still change after {rounds} turns")
+        n += 1
+        # what comes too late for its stock takes no time, and what is not free never will be
+        walked = kept(_walked(_timely(line, bounds).where("NOT late"), strict), "walked")
+        still = walked.where(F.col("state").isin(MAYBE, FREE))
+        bounds = kept(_closer(bounds, still.where("asks").select(*counted).unionByName(loose.select(*counted))), "bounds")
+        settle = lambda rows: _timely(rows, bounds).where("NOT late").withColumn("settled", (F.col("state") == FREE) & F.col("early"))
+        left, free = settle(still), settle(loose.withColumn("asks", F.lit(True)))
+        gone = left.where("settled AND asks").select("key").unionByName(free.where("settled").select("key")).groupBy("key").agg(F.count("*").alias("gone"))
+        bounds = kept(bounds.join(gone, "key", "left").select("key", (F.col("pieces") - F.coalesce("gone", F.lit(0))).alias("pieces"), "low", "high"), "bounds")
+        loose = free.where("NOT settled").select(*counted)
+        hosts = left.where("NOT settled").select("host").distinct()
+        now = left.withColumn("state", F.when(F.col("settled"), TAKEN).otherwise(F.col("state")).cast("int")).select(*line.columns)
+        line = walked.where(F.col("state") >= HELD).unionByName(now).join(hosts, "host", "left_semi").select(*line.columns)
+    return bounds
 
 
 def decided(spark: SparkSession, applications: DataFrame, stock: DataFrame, strict: bool = False, rounds: int = 50) -> DataFrame:
@@ -81,36 +166,29 @@ def decided(spark: SparkSession, applications: DataFrame, stock: DataFrame, stri
     Hosts are streamed in order and not gathered: a task holds the accepted times of one host.
     """
     wanted = F.col("decision") == "accepted"
+    given = stock.where("item IS NOT NULL AND size IS NOT NULL").groupBy("item", "size").agg(F.sum(F.coalesce("qty", F.lit(0))).alias("qty"))
+    given = kept(given.withColumn("key", F.monotonically_increasing_id()), "stock")  # kept, so that numbers stay
     rows = applications.withColumn("reason", F.when(F.col("decision").isNull(), "").when(F.col("status") != "pending", "already decided").when(~F.col("decision").isin("accepted", "rejected"), "unknown decision"))
-    rows = kept(rows, "applications")
+    open_ = F.coalesce(wanted & F.col("reason").isNull(), F.lit(False))
     timed = F.col("host").isNotNull() & F.col("starts").isNotNull() & F.col("ends").isNotNull()
-    asks = rows.where(wanted & F.col("reason").isNull()).select("id", "host", "at", "starts", "ends", F.lit(False).alias("held"), "item", "size")
-    held = rows.where((F.col("status") == "accepted") & timed).select("id", "host", "at", "starts", "ends", F.lit(True).alias("held"), "item", "size")
-    given = stock.groupBy("item", "size").agg(F.sum(F.coalesce("qty", F.lit(0))).alias("qty"))
-    untimed = asks.where(~timed).select("id", F.lit(True).alias("free"))
-    barred, n = spark.createDataFrame([], "id long"), 0
-    while True:
-        line = asks.where(timed).unionByName(held).join(barred.withColumn("barred", F.lit(True)), "id", "left").withColumn("barred", F.coalesce("barred", F.lit(False)))
-        ordered = line.repartition("host").sortWithinPartitions("host", F.desc("held"), "at", "id").select("host", "id", "starts", "ends", "held", "barred")
-        free = ordered.mapInArrow(_free(strict), "id long, free boolean").unionByName(untimed)
-        free = kept(free, "free")
-        dressed = asks.where(F.col("item").isNotNull() & F.col("size").isNotNull()).join(free.where("free").select("id"), "id")
-        short = _places(dressed.select("id", "item", "size", "at"), ["item", "size"]).join(given, ["item", "size"], "left").where(F.col("place") > F.coalesce("qty", F.lit(0))).select("id")
-        n += 1
-        now = kept(short, "short")
-        if now.join(barred, "id", "left_anti").isEmpty() and barred.join(now, "id", "left_anti").isEmpty():
-            break
-        if n >= rounds:
-            raise RuntimeError(f"decisions still change after {rounds} turns")
-        barred = now
-    reason = F.when(F.col("reason") != "", F.col("reason")).when(wanted & F.col("reason").isNull() & ~F.col("free"), "overlapping assignment").when(F.col("short"), "insufficient stock")
+    rows = rows.withColumn("open", open_).withColumn("held", F.coalesce(F.col("status") == "accepted", F.lit(False)) & timed)
+    rows = rows.withColumn("asks", F.col("open") & F.col("item").isNotNull() & F.col("size").isNotNull()).withColumn("walks", timed & (F.col("open") | F.col("held")))
+    role = F.lower(F.coalesce("role", "requested_role")).alias("role")
+    rows = rows.join(given.select("item", "size", "key"), ["item", "size"], "left").withColumn("key", F.when(F.col("asks"), F.col("key")))
+    rows = kept(rows.select("id", "host", "event", "at", "starts", "ends", "status", "decision", role, "as_of", "reason", "open", "held", "asks", "walks", "key"), "applications")
+    state = F.when(F.col("held"), HELD).otherwise(MAYBE).cast("int").alias("state")
+    line = rows.where("walks").select("host", "at", "id", "starts", "ends", "key", "asks", state)
+    loose = rows.where("asks AND NOT walks AND key IS NOT NULL").select("at", "id", "key", F.lit(FREE).cast("int").alias("state"))
+    last = _last_pieces(spark, line, loose, given, strict, rounds)
+    known = _timely(rows, last)
+    walked = _walked(known.where("walks").withColumn("late_", F.col("late")).withColumn("state", state), strict).withColumnRenamed("late_", "late")
+    every = walked.unionByName(known.where("NOT walks").withColumn("state", F.lit(FREE).cast("int")).select(*walked.columns))
+    refused = F.when(F.col("reason") != "", F.col("reason")).when(F.col("open") & (F.col("state") == NOT_FREE), "overlapping assignment").when(F.col("open") & F.col("late"), "insufficient stock")
     done = F.col("decision").isNotNull() & F.col("refused").isNull()
-    joined = rows.join(free, "id", "left").join(now.withColumn("short", F.lit(True)), "id", "left").withColumn("refused", reason)
-    accepted = done & wanted
-    return joined.select(
+    return every.withColumn("refused", refused).select(
         "id", "host", "event", "at",
         F.when(done, F.col("decision")).otherwise(F.col("status")).alias("status"),
-        F.when(accepted, F.lower(F.coalesce("role", "requested_role"))).alias("assigned_role"),
+        F.when(done & wanted, F.col("role")).alias("assigned_role"),
         F.when(done, F.col("as_of")).alias("decided_at"),
         "refused",
     )

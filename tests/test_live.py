@@ -154,6 +154,26 @@ def test_a_refusal_for_stock_leaves_the_host_free(spark):
         dec.decided(spark, frame, stocks, rounds=2)
 
 
+def test_turns_take_only_what_is_not_settled(spark, monkeypatch):
+    """A chain of turns, among many rows that hang on nothing: these are not written again in each turn."""
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    common = dict(starts=day(0), ends=day(1), status="pending", decision="accepted", requested_role=None, role=None, size=1, as_of=day(99))
+    apps = [dict(id=2 * i + j, host=i, event=i, at=day(2 * i + j), item=f"c{i + j}", **common) for i in range(4) for j in range(2)]
+    apps += [dict(id=100 + i, host=100 + i // 2, event=i, at=day(i % 9), item=None, **common) for i in range(400)]
+    stock = [(f"c{i + 1}", 1, 1) for i in range(4)]
+    frame = spark.createDataFrame([tuple(a[c.split()[0]] for c in COLUMNS.split(", ")) for a in apps], COLUMNS)
+    written, keep = [], dec.kept
+
+    def counting(df, name):
+        written.append(keep(df, name))
+        return written[-1]
+
+    monkeypatch.setattr(dec, "kept", counting)
+    got = {r["id"]: (r["status"], r["assigned_role"], r["decided_at"], r["refused"]) for r in dec.decided(spark, frame, spark.createDataFrame(stock, "item string, size int, qty int")).collect()}
+    assert got == brute_decisions(apps, stock)[0]
+    assert sum(w.count() for w in written) < 3 * len(apps)  # once as they are, once walked; the chain has more turns
+
+
 def test_decisions_of_nothing(spark):
     none = spark.createDataFrame([], COLUMNS)
     assert not dec.decided(spark, none, spark.createDataFrame([], "item string, size int, qty int")).collect()
