@@ -287,3 +287,13 @@ def test_untouched_helpers(spark, tmp_path):
         retrieval.hybrid(rows, rows, 5, 3)
     texts, seen = assembly.search_both(lambda q: q.select("id"), lambda q: q.select("id"), spark.createDataFrame([(1, "Show me a bouquet"), (2, "what time")], "id int, text string"))
     assert texts.count() == 2 and [r.id for r in seen.collect()] == [1]
+
+
+@pytest.mark.parametrize(("strategy", "split"), [("recursive", text.recursive_split), ("structure_aware", text.structure_split)])
+def test_chunks_of_texts_are_not_held_by_the_batch(spark, strategy, split):
+    """Texts reach Python some at a time, not as an Arrow batch of ten thousand with all their chunks."""
+    texts = [None, "", " \n", "One. Two. " * 300, "1. Head\nword é " + "x" * 2000, "A line\n\n" * 200]
+    made = text.chunk_table(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", strategy)
+    assert "ArrowEvalPython" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r["document_id"], r["page_chunk_index"]): r["text"] for r in made.collect()}
+    assert got == {(i, j): c for i, t in enumerate(texts) for j, c in enumerate(split(t or ""), 1)}
