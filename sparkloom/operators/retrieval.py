@@ -61,18 +61,22 @@ def _top(s: np.ndarray, asked: np.ndarray, names: np.ndarray, k: int) -> pa.Reco
 
 
 def _tile_top(k: int, own: bool, gated: bool):
-    """Pairs of a tile of queries and one of rows -> the k best rows of the tile for each query."""
+    """Pairs of a tile of queries and one of rows -> the k best rows of the tile for each query. Pairs are read where they lie
+    in the batch, one after the other, so that no batch of them is copied; sections are compared as numbers."""
 
     def run(batches):
         for batch in batches:
-            for pair in batch.to_pylist():
-                asked, names = np.array(pair["q_ids"], np.int64), np.array(pair["ids"], np.int64)
-                q, x = (np.frombuffer(pair[c]).reshape(n, -1) for c, n in (("q_x", len(asked)), ("x", len(names))))
+            c = {name: batch.column(name) for name in batch.schema.names}
+            for i in range(batch.num_rows):
+                asked, names = (c[n][i].values.to_numpy() for n in ("q_ids", "ids"))
+                q, x = (np.frombuffer(c[n][i].as_buffer()).reshape(len(ids), -1) for n, ids in (("q_x", asked), ("x", names)))
                 s = np.round(q @ x.T, 9)
                 if own:
                     s[asked[:, None] == names[None, :]] = -np.inf
                 if gated:
-                    s[np.array(pair["q_sections"], object)[:, None] != np.array(pair["sections"], object)[None, :]] = -np.inf
+                    both = pa.concat_arrays([c["q_sections"][i].values, c["sections"][i].values])
+                    kinds = both.dictionary_encode("encode").indices.to_numpy()
+                    s[kinds[: len(asked), None] != kinds[None, len(asked) :]] = -np.inf
                 yield _top(s, asked, names, k)
 
     return run

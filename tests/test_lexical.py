@@ -3,12 +3,14 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import lexical
+from sparkloom.operators import lexical, retrieval
 from sparkloom.operators.lexical import build_index, search_index, stored_index
 from sparkloom.sources import shared
 
@@ -148,3 +150,25 @@ def test_vectors_that_are_null_zero_or_broken_take_no_part(spark):
     sections = rows.select("id", F.lit("s").alias("section"), F.col("v").alias("stage1"), F.col("v").alias("full"))
     asked = queries.select("query_id", F.col("v").alias("stage1"), F.col("v").alias("full"))
     assert {r.id for r in retrieval.gated_search(asked, sections, 3, 3).collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("gated", [False, True])
+def test_pairs_of_tiles_are_not_copied_by_the_batch(gated):
+    """Memory of a batch with many pairs stays that of one pair; sections decide as they did."""
+    rng, n, pairs = np.random.default_rng(3), 128, 200
+    x = [rng.standard_normal((n, 64)) for _ in range(2)]
+    tile = lambda at, shift: ([list(range(shift, shift + n))] * pairs, [[None if i % 9 == 0 else f"s{i % 4}" for i in range(n)]] * pairs, [x[at].tobytes()] * pairs)
+    (q_ids, q_sections, q_x), (ids, sections, data) = tile(0, 0), tile(1, 1000)
+    batch = pa.RecordBatch.from_pydict({"ids": ids, "sections": sections, "x": data, "q_ids": q_ids, "q_sections": q_sections, "q_x": q_x})
+    found = retrieval._tile_top(3, False, gated)(iter([batch]))
+    tracemalloc.start()
+    first = next(found).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000  # the pairs hold 26 MB
+    scores = np.round(x[0] @ x[1].T, 9)
+    if gated:
+        scores[np.array(q_sections[0], object)[:, None] != np.array(sections[0], object)[None, :]] = -np.inf
+    want = [(i, 1000 + j, scores[i, j]) for i in range(n) for j in np.lexsort((np.arange(n), -scores[i]))[:3]]
+    assert [(r["query_id"], r["id"], r["score"]) for r in first] == want
+    assert sum(1 for _ in found) == pairs - 1
