@@ -297,3 +297,10 @@ def test_chunks_of_texts_are_not_held_by_the_batch(spark, strategy, split):
     assert "ArrowEvalPython" not in made._jdf.queryExecution().executedPlan().toString()
     got = {(r["document_id"], r["page_chunk_index"]): r["text"] for r in made.collect()}
     assert got == {(i, j): c for i, t in enumerate(texts) for j, c in enumerate(split(t or ""), 1)}
+
+
+def test_ocr_words_are_cut_once(spark):
+    rows = spark.createDataFrame([(1, "Welcome to the grand hall tonight", 90.0), (2, None, None)], "id long, text string, conf double")
+    made = rows.select("id", images.ocr_quality(F.col("text"), F.col("conf")).alias("q")).select("id", "q.*")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= 1
+    assert [r["reasons"] for r in made.orderBy("id").collect()] == [[], ["low_mean_confidence"]]
