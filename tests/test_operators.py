@@ -304,3 +304,27 @@ def test_ocr_words_are_cut_once(spark):
     made = rows.select("id", images.ocr_quality(F.col("text"), F.col("conf")).alias("q")).select("id", "q.*")
     assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= 1
     assert [r["reasons"] for r in made.orderBy("id").collect()] == [[], ["low_mean_confidence"]]
+
+
+def test_issue_texts_are_read_once_and_stay_where_they_lie(spark):
+    """The fit goes over counts that are kept, not over texts again; the split sends a row for each label, not the texts."""
+    from sparkloom.operators import issues
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = spark.createDataFrame([(i, f"{'rain wind' if i % 2 else 'hall stage'} {i}", "ab"[i % 2]) for i in range(40)], "id long, text string, label string")
+    model = issues.fitted(rows.withColumn("text", read("text")))
+    assert seen.value == 40 and model.stages[0].labels == ["a", "b"]
+    assert {(r["label"], r["predicted"]) for r in issues.classified(model, rows).collect()} == {("a", "a"), ("b", "b")}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        plan = issues.stratified(rows, "label", "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
