@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,43 +86,44 @@ def semantic_chunks(docs: DataFrame, load: Callable[[], Encoder], least: float =
     """docs(id, text) -> id, at, text: neighbouring sentences of a text stay together while their vectors' cosine is `least` or
     more and the chunk, joined by blanks, is no longer than `size`.
 
-    Sentences of all documents are encoded in batches and then met in order, one at a time, so that neither a long
-    document nor its vectors are held. Sentences end at . ! ? and blanks, or at line ends. Null and blank texts have no
-    chunks; rows that repeat an id are cut each; an empty table gives an empty result.
+    Sentences of a partition are encoded in batches and met in order where their texts lie, one at a time: neither a long
+    document nor its vectors are held, and no sentence or vector is shuffled. Sentences end at . ! ? and blanks, or at line
+    ends. Null and blank texts have no chunks; rows that repeat an id are cut each; an empty table gives an empty result.
     """
     if not 0 <= least <= 1 or size <= 0:
         raise ValueError("the threshold lies between 0 and 1, and the size is positive")
-    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")  # before a text becomes many rows
-    units = numbered.select("row", "id", F.posexplode(F.split(text, r"(?U)(?<=[.!?])\s+|\n+")).alias("nth", "unit"))
-    units = shared.kept(units.withColumn("unit", F.regexp_replace("unit", r"(?U)^\s+|\s+$", "")).where("unit <> ''"), "units")
+    cut = numbered.select("row", "id", F.explode(F.split("text", r"(?U)(?<=[.!?])\s+|\n+")).alias("unit"))
+    units = cut.withColumn("unit", F.btrim("unit", F.lit(_BLANKS)))
+    kind = dict(docs.dtypes)["id"]
+    return units.mapInArrow(_in_order(load, least, size, prefix), f"id {kind}, at int, text string")
 
-    @F.pandas_udf("array<double>")
-    def vectors(given: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = load()
-        for part in given:
-            yield pd.Series(list(unit_rows(encode, [prefix + x for x in part])))
 
-    met = units.withColumn("vector", vectors("unit")).repartition("row").sortWithinPartitions("row", "nth")
-    kind = dict(docs.dtypes)["id"]
-    return met.select("row", "id", "unit", "vector").mapInArrow(_in_order(least, size), f"id {kind}, at int, text string")
+# Fixed value: the characters that (?U)\s matches in Java.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def _in_order(least: float, size: int):
+def _in_order(load: Callable[[], Encoder], least: float, size: int, prefix: str):
+    """Sentences of a text follow each other, and lie in one task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = load()
         row, id_, at, chunk, before = None, None, 0, "", None
         for batch in batches:
             out, kind = [], batch.column("id").type
-            for r, i, unit, v in zip(*(batch.column(n) for n in ("row", "id", "unit", "vector"))):
-                r, unit, v = r.as_py(), unit.as_py(), v.values.to_numpy()
-                if r == row and float(before @ v) >= least and len(chunk) + 1 + len(unit) <= size:
-                    chunk += " " + unit
-                else:
-                    if row is not None:
-                        out.append((id_, at, chunk))
-                    at = at + 1 if r == row else 0
-                    row, id_, chunk = r, i.as_py(), unit
-                before = v
+            rows, ids, units = (batch.column(n).to_pylist() for n in ("row", "id", "unit"))
+            met = [x for x in zip(rows, ids, units) if x[2]]
+            for start in range(0, len(met), BATCH):
+                some = met[start : start + BATCH]
+                for (r, i, unit), v in zip(some, unit_rows(encode, [prefix + x[2] for x in some])):
+                    if r == row and len(chunk) + 1 + len(unit) <= size and float(before @ v) >= least:
+                        chunk += " " + unit
+                    else:
+                        if row is not None:
+                            out.append((id_, at, chunk))
+                        at = at + 1 if r == row else 0
+                        row, id_, chunk = r, i, unit
+                    before = v
             yield _chunk_rows(out, kind)
         if row is not None:
             yield _chunk_rows([(id_, at, chunk)], kind)
@@ -138,13 +138,29 @@ def _chunk_rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 def hashing_encoder(size: int = 64) -> Encoder:
     """Counts of words by a hash of each; a text without words has one of its own. It needs no model and no training."""
-    word = re.compile(r"\w+")
+    word, place = re.compile(r"\w+"), _Places(size).__getitem__
 
     def encode(texts: Sequence[str]) -> np.ndarray:
-        x = np.zeros((len(texts), size))
-        for i, t in enumerate(texts):
-            for w in word.findall(t.lower()) or [""]:
-                x[i, int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "little") % size] += 1
-        return x
+        places: list[int] = []
+        ends = [0]
+        for t in texts:
+            places.extend(map(place, word.findall(t.lower()) or [""]))
+            ends.append(len(places))
+        cells = np.repeat(np.arange(len(texts)) * size, np.diff(ends)) + np.array(places, np.int64)
+        return np.bincount(cells, minlength=len(texts) * size).reshape(len(texts), size).astype(np.float64)
 
     return encode
+
+
+class _Places(dict):
+    """Places of words by hash, made once for each of the words met lately."""
+
+    def __init__(self, size: int, most: int = 100_000):
+        super().__init__()
+        self.size, self.most = size, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        at = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little") % self.size
+        return at

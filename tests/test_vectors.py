@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import text, vectors
 from sparkloom.operators.vectors import VectorStore, hashing_encoder, semantic_chunks, unit_rows
@@ -86,3 +87,31 @@ def test_semantic_chunks_of_a_table(spark, sf_dir):
     assert Counter(tuple(r) for r in live.chunk_semantic(spark, sf_dir).collect()) == brute(rows, 0.3, 400)
     with pytest.raises(ValueError):
         semantic_chunks(frame(spark, []), hashing_encoder, 2.0)
+
+
+def test_sentences_are_met_where_their_texts_lie(spark):
+    made = semantic_chunks(frame(spark, [(1, "One. Two."), (2, None)]), hashing_encoder)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and plan.count("MapInArrow") == 1
+    assert Counter(tuple(r) for r in made.collect()) == {(1, 0, "One."): 1, (1, 1, "Two."): 1}
+
+
+def test_ends_of_sentences_are_the_blanks_of_the_pattern(spark):
+    rows = spark.createDataFrame([(c, f"{chr(c)}x{chr(c)}") for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000], "id long, t string")
+    other = rows.where(F.regexp_replace("t", r"(?U)^\s+|\s+$", "") != F.btrim("t", F.lit(vectors._BLANKS)))
+    assert not other.collect() and rows.where(F.btrim("t", F.lit(vectors._BLANKS)) == "x").count() == len(vectors._BLANKS)
+
+
+def test_words_are_hashed_once(monkeypatch):
+    hashed, plain = [], vectors.hashlib.blake2b
+    monkeypatch.setattr(vectors.hashlib, "blake2b", lambda data, **options: hashed.append(data) or plain(data, **options))
+    encode, texts = hashing_encoder(8), ["b a B", "", "a é a"] * 5
+    got = encode(texts)
+    want = np.zeros((15, 8))
+    for i, t in enumerate(texts):
+        for w in t.lower().split() or [""]:
+            want[i, int.from_bytes(plain(w.encode(), digest_size=4).digest(), "little") % 8] += 1
+    assert (got == want).all() and got.dtype == np.float64 and sorted(hashed) == [b"", b"a", b"b", "é".encode()]
+    assert encode([]).shape == (0, 8)
+    few = vectors._Places(8, 2)  # no more words than that are held
+    assert [few[w] for w in "abcabc"] == [few[w] for w in "abc"] * 2 and len(few) <= 2
