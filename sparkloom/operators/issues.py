@@ -4,13 +4,13 @@ a linear model, not a transformer, with the same columns of results."""
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+from ..sources.shared import delete, kept, shared_dir, unique
 
 
 def stratified(rows: DataFrame, label: str, key: str, share: float = 0.2) -> DataFrame:
@@ -45,6 +45,10 @@ def fitted(rows: DataFrame, features: int = 1 << 12) -> PipelineModel:
         LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01, maxIter=60),
     ]).fit(counted)
     labels, weights, model = learned.stages
+    spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/model-{unique()}"
+    model.save(path)  # read back without the summary of its training, which holds the session and can't go to tasks
+    model = LogisticRegressionModel.load(path)
+    delete(spark, path)
     return PipelineModel([labels, cut, count, weights, model])
 
 

@@ -319,7 +319,7 @@ def test_issue_texts_are_read_once_and_stay_where_they_lie(spark):
 
     rows = spark.createDataFrame([(i, f"{'rain wind' if i % 2 else 'hall stage'} {i}", "ab"[i % 2]) for i in range(40)], "id long, text string, label string")
     model = issues.fitted(rows.withColumn("text", read("text")))
-    assert seen.value == 40 and model.stages[0].labels == ["a", "b"]
+    assert seen.value == 40 and model.stages[0].labels == ["a", "b"] and not model.stages[-1].hasSummary
     assert {(r["label"], r["predicted"]) for r in issues.classified(model, rows).collect()} == {("a", "a"), ("b", "b")}
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
